@@ -25,10 +25,10 @@ from fixtura.session import cut_lineage
 ROWS_PER_BUCKET = 250_000
 MAX_SLICES = 4096
 _JOIN = """
-    SELECT e.event_id, v.state
-    FROM (SELECT event_id, entity, slice, at FROM events) e
-    ASOF LEFT JOIN (SELECT entity, slice, available, state FROM versions) v
-    ON e.entity = v.entity AND e.slice = v.slice AND e.at >= v.available
+    SELECT e.event_id, v.state AS state
+    FROM events e
+    ASOF LEFT JOIN versions v
+    ON e.entity = v.entity AND e.slice = v.slice AND e.moment >= v.available
 """
 
 
@@ -65,7 +65,7 @@ def state_as_of(
     # ties of availability are settled before the join: one state per entity and moment
     moments = usable.select(F.col(entity).cast("string").alias("entity"), F.greatest(micros(valid_from), micros(recorded_at)).alias("available"), rank.alias("rank")).groupBy("entity", "available").agg(F.max("rank").alias("rank"))
     moments = cut_lineage(moments)
-    asked = events.select(F.col(event_id).cast("string").alias("event_id"), F.col(entity).cast("string").alias("entity"), micros(event_time).alias("at"))
+    asked = events.select(F.col(event_id).cast("string").alias("event_id"), F.col(entity).cast("string").alias("entity"), micros(event_time).alias("moment"))
     size = moments.count()
     slices = min(MAX_SLICES, max(4, size // rows_per_bucket * 4))
     bounds = moments.agg(F.percentile_approx("available", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
@@ -73,10 +73,10 @@ def state_as_of(
     # slice of a moment: how many bounds lie at or below it
     slice_of = lambda c: F.size(F.filter(bounds, lambda b: b <= c)) if slices <= 64 else _slot(bounds, c)
     moments = moments.withColumn("slice", slice_of(F.col("available")))
-    asked = asked.withColumn("slice", slice_of(F.col("at")))
+    asked = asked.withColumn("slice", slice_of(F.col("moment")))
     # the state carried into a slice: the greatest rank of the slices before it
     per_slice = moments.groupBy("entity", "slice").agg(F.max("rank").alias("rank"))
-    needed = per_slice.select("entity", "slice", "rank").unionByName(asked.filter("entity is not null and at is not null").select("entity", "slice").distinct().withColumn("rank", F.lit(None).cast(per_slice.schema["rank"].dataType)))
+    needed = per_slice.select("entity", "slice", "rank").unionByName(asked.filter("entity is not null and moment is not null").select("entity", "slice").distinct().withColumn("rank", F.lit(None).cast(per_slice.schema["rank"].dataType)))
     needed = needed.groupBy("entity", "slice").agg(F.max("rank").alias("rank"))
     before = Window.partitionBy("entity").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = needed.withColumn("rank", F.max("rank").over(before)).filter("rank is not null").select("entity", "slice", F.lit(-(1 << 62)).alias("available"), "rank")
@@ -86,10 +86,10 @@ def state_as_of(
     states = states.select("entity", "slice", "available", "state", "best")
     buckets = max(8, (size // rows_per_bucket + 1) * 2)
     bucket = F.pmod(F.xxhash64("entity", "slice"), F.lit(buckets))
-    ours = asked.filter("entity is not null and at is not null").withColumn("bucket", bucket)
+    ours = asked.filter("entity is not null and moment is not null").withColumn("bucket", bucket)
     theirs = states.select("entity", "slice", "available", "state").withColumn("bucket", bucket)
     found = (
-        ours.select("bucket", F.concat_ws("\x1f", F.col("slice").cast("string"), "entity", "event_id").alias("event_id"), "entity", "slice", "at")
+        ours.select("bucket", F.concat_ws("\x1f", F.col("slice").cast("string"), "entity", "event_id").alias("event_id"), "entity", "slice", "moment")
         .groupBy("bucket")
         .cogroup(theirs.groupBy("bucket"))
         .applyInArrow(_join_bucket, T.StructType([T.StructField("event_id", T.StringType()), T.StructField("state", T.LongType())]))
@@ -100,7 +100,7 @@ def state_as_of(
     got = found.join(named, ["entity", "slice", "state"], "left")
     offset = len(order_by or [])
     out = got.select("event_id", "entity", F.col("best").isNotNull().alias("known"), *[F.col(f"best.r{i + offset}").alias(c) for i, c in enumerate(values)])
-    unknown = asked.filter("entity is null or at is null").select("event_id", "entity", F.lit(False).alias("known"), *[F.lit(None).cast(versions.schema[c].dataType).alias(c) for c in values])
+    unknown = asked.filter("entity is null or moment is null").select("event_id", "entity", F.lit(False).alias("known"), *[F.lit(None).cast(versions.schema[c].dataType).alias(c) for c in values])
     return out.unionByName(unknown)
 
 
