@@ -11,7 +11,7 @@ CUE_START = re.compile(rf"(?:(?<=\n)|^)[﻿ \t]*(?:-?\d+[ \t]*\r?\n[ \t]*)?{_CLO
 _HEADER = re.compile(r"^﻿?WEBVTT[^\n]*(?:\n|$)|^﻿")
 _NUMBER_LEFT = re.compile(r"(?:\r?\n|^)[ \t]*\d+[ \t\r\n]*$")
 #: Markup, zero-width characters, entities: what lies on the text without being of it.
-MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>|\{\\[^{}\n]{0,40}\}|[​-‏⁠﻿­]")
+MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>|<\|[a-zA-Z_]{1,30}\|>|\{\\[^{}\n]{0,40}\}|[\u200b-\u200f\u2060\ufeff\u00ad]")
 ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});")
 #: Sound descriptions: bracketed in one cue, starred, or music signs.
 SOUND = re.compile(r"\[[^\[\]\n]{0,60}\]|\([^()\n]{0,40}\)|（[^（）\n]{0,40}）|【[^【】\n]{0,40}】|\*[^*\n]{1,40}\*|[♪♫♬]+[～~]?")
