@@ -272,7 +272,7 @@ def build_models(rows: list[tuple[str, str, str, int]]) -> dict[str, Model]:
             score = _llr(n, n + rest, total, rate) * math.exp(-len(letters)) * (word.count(".") + 1) * (n / (n + rest)) ** 8
             on = goes_on[word] / max(1, follows[word])
             # written with a period like no ordinary word, or followed by what starts no sentence
-            if n >= 3 and len(letters) == 1 and letters.isalpha() or n >= 3 and (follows[word] >= 3 and on >= 0.3 or score >= ABBREVIATION_SCORE and (on >= 0.1 or n >= 20 and kinds["dotend"].get(word, 0) < 0.005 * n and follows[word] > 0.8 * n)):
+            if n >= 3 and len(letters) == 1 and letters.isalpha() or n >= 3 and (follows[word] >= 3 and on >= 0.3 or score >= ABBREVIATION_SCORE and (on >= 0.1 or n >= 20 and kinds["dotend"].get(word, 0) < 0.01 * n and follows[word] > 0.8 * n)):
                 model.abbreviations[word] = kinds["dotend"].get(word, 0) / n
         for word in {*kinds["pauseup"], *kinds["pauselow"]}:
             up, low = kinds["pauseup"].get(word, 0), kinds["pauselow"].get(word, 0)
