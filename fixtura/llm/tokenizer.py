@@ -30,10 +30,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as the pattern knows it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word with the white space before it. No pre-token reaches over the end of a word, so these
-#: pieces, of which a corpus has few different ones, are cut and encoded on their own.
-_PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
-_DIGIT = re.compile(r"\d").search
+#: Digits, or what else stands between white space and digits, with the white space before it. No
+#: pre-token reaches over the end of such a piece, unless digits of two kinds meet, and a corpus has
+#: few different ones, so that they are cut and encoded once.
+_PIECES = re.compile(rf"[{_SPACE}]*[0-9]+|[{_SPACE}]*[^{_SPACE}0-9]+|[{_SPACE}]+").findall
 CACHED = 400_000
 
 
@@ -97,6 +97,7 @@ class Encoder:
         self.tokens = read_ranks(path)
         self._model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         self._cut = regex.compile(PATTERN).findall
+        self._odd_digits = regex.compile(r"(?V1)[\p{N}--[0-9]]").search
         self._known: dict[str, tuple[int, ...]] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._letters = {b: ord(c) for b, c in enumerate(byte_letters())}
@@ -124,12 +125,12 @@ class Encoder:
                 kept.clear()
         kept, out = self._pieces, []
         for text in texts:
-            pieces = _PIECES(text) if text else []
-            new = [p for p in set(pieces) if p not in kept]
-            own = dict(zip(new, self._encode_pieces(new), strict=True)) if new else {}
-            # numbers (times, above all) are too many to be kept
-            kept.update({p: ids for p, ids in own.items() if not _DIGIT(p)})
-            out.append(np.array(list(chain.from_iterable([own[p] if p in own else kept[p] for p in pieces])), np.int32))
+            pieces = [] if not text else [text] if not text.isascii() and self._odd_digits(text) else _PIECES(text)
+            new = list(set(pieces).difference(kept))
+            kept.update(zip(new, self._encode_pieces(new), strict=True))
+            out.append(np.array(list(chain.from_iterable(map(kept.__getitem__, pieces))), np.int32))
+            if len(pieces) == 1 and len(text) > 1000:
+                del kept[pieces[0]]
         return out
 
     def decode(self, ids: list[int]) -> str:
