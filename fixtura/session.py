@@ -38,3 +38,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="fixtura-checkpoint-")
         context.setCheckpointDir(named)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session (once per session)."""
+    import io
+    import os
+    import tempfile
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_fixtura_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    with tempfile.TemporaryDirectory() as folder:  # on the driver; Spark copies it to the executors
+        path = os.path.join(folder, "fixtura.zip")
+        with open(path, "wb") as out:
+            out.write(data.getvalue())
+        context.addPyFile(path)
+    context._fixtura_shipped = True
