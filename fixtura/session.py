@@ -58,9 +58,8 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     archive.write(path, os.path.relpath(path, os.path.dirname(root)))
-    with tempfile.TemporaryDirectory() as folder:  # on the driver; Spark copies it to the executors
-        path = os.path.join(folder, "fixtura.zip")
-        with open(path, "wb") as out:
-            out.write(data.getvalue())
-        context.addPyFile(path)
+    path = os.path.join(tempfile.mkdtemp(prefix="fixtura-package-"), "fixtura.zip")
+    with open(path, "wb") as out:  # on the driver, from where executors fetch it as long as the session lasts
+        out.write(data.getvalue())
+    context.addPyFile(path)
     context._fixtura_shipped = True
