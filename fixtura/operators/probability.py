@@ -87,7 +87,7 @@ def one_vs_rest(scored: DataFrame, keep: list[str]) -> DataFrame:
 def reliability(long: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """Count and means of every bin of every group; empty bins stay, with nulls."""
     found = long.withColumn("bin", bin_of(F.col("p"), bins)).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_probability"), F.avg("y").alias("observed_frequency"))
-    every = long.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long"))
+    every = long.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     return every.join(found, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -1,9 +1,521 @@
-"""Queries of the match pipeline (filled in below)."""
+"""Queries of the match pipeline over the driver's tables, each with its SQL oracle."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from fixtura.functions import match_columns as C
+from fixtura.operators import elo, form, gold, models, probability, silver
+from fixtura.session import table
+from fixtura.sources import payloads
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+VALIDATION, TEST = "2000", "2001"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def matches(spark: SparkSession, d: str) -> DataFrame:
+    """`orders` as fixtures, by integer arithmetic."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    open_ = F.col("o_orderstatus") == "P"
+    goals = lambda a, m: F.when(~open_, (key * a + cust) % m)
+    name = lambda n: F.concat(F.lit("team-"), F.lpad(n.cast("string"), 2, "0"))
+    m = table(spark, d, "orders").select(
+        F.lpad(key.cast("string"), 12, "0").alias("match_key"), F.year("o_orderdate").cast("string").alias("season"), F.concat(F.lit("League "), (cust % 3).cast("string")).alias("competition"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("kickoff_utc"), F.to_date("o_orderdate").alias("match_date"), F.when(open_, "TIMED").otherwise("FINISHED").alias("status"),
+        name(cust % 20).alias("home_team_id"), name((cust % 20 + 1 + key % 19) % 20).alias("away_team_id"), goals(7, 5).alias("home_goals"), goals(3, 4).alias("away_goals"),
+    )
+    return m.withColumn("full_time_result", C.result_of(F.col("home_goals"), F.col("away_goals")))
+
+
+M = """
+  m AS (SELECT *, CASE WHEN home_goals > away_goals THEN 'H' WHEN home_goals < away_goals THEN 'A' WHEN home_goals = away_goals THEN 'D' END AS full_time_result FROM (
+    SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS match_key, CAST(year(o_orderdate) AS VARCHAR) AS season, 'League ' || CAST(o_custkey % 3 AS VARCHAR) AS competition,
+      o_orderdate AS kickoff_utc, CAST(o_orderdate AS DATE) AS match_date, CASE WHEN o_orderstatus = 'P' THEN 'TIMED' ELSE 'FINISHED' END AS status,
+      'team-' || lpad(CAST(o_custkey % 20 AS VARCHAR), 2, '0') AS home_team_id, 'team-' || lpad(CAST((o_custkey % 20 + 1 + o_orderkey % 19) % 20 AS VARCHAR), 2, '0') AS away_team_id,
+      CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey * 7 + o_custkey) % 5 END AS home_goals, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey * 3 + o_custkey) % 4 END AS away_goals
+    FROM orders))"""
+H = """
+  h AS (SELECT match_key, season, kickoff_utc, 'home' AS venue, home_team_id AS team_id, away_team_id AS opponent_id, home_goals AS goals_for, away_goals AS goals_against,
+      home_goals - away_goals AS goal_difference, CASE full_time_result WHEN 'H' THEN 'W' WHEN 'D' THEN 'D' ELSE 'L' END AS result FROM m WHERE status = 'FINISHED'
+    UNION ALL SELECT match_key, season, kickoff_utc, 'away', away_team_id, home_team_id, away_goals, home_goals, away_goals - home_goals,
+      CASE full_time_result WHEN 'A' THEN 'W' WHEN 'D' THEN 'D' ELSE 'L' END FROM m WHERE status = 'FINISHED'),
+  hp AS (SELECT *, CAST(CASE result WHEN 'W' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS BIGINT) AS points, CAST(result = 'W' AS BIGINT) AS is_win, CAST(result = 'D' AS BIGINT) AS is_draw, CAST(result = 'L' AS BIGINT) AS is_loss FROM h)"""
+
+
+def _form_sql(n: int) -> str:
+    last = f"OVER (PARTITION BY team_id ORDER BY kickoff_utc, match_key ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    sums = ", ".join(f"CAST(coalesce(sum({c}) {last}, 0) AS BIGINT) AS {a}" for c, a in zip(form.SUMS, form.NAMES, strict=True))
+    return f""", f AS (SELECT *, round(CASE WHEN least(matches_played_before, {n}) = 0 THEN 0.0 ELSE points_last_5 / least(matches_played_before, {n}) END, 6) AS average_points_last_5
+      FROM (SELECT hp.*, CAST(row_number() OVER (PARTITION BY team_id ORDER BY kickoff_utc, match_key) - 1 AS BIGINT) AS matches_played_before, {sums} FROM hp))"""
+
+
+FORM_COLUMNS = ["match_key", "team_id", "venue", "matches_played_before", *form.NAMES, "average_points_last_5"]
+
+
+@query(f"WITH {M} SELECT * FROM m")
+def match_adapter(spark: SparkSession, d: str) -> DataFrame:
+    return matches(spark, d)
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS match_id, CAST(o_orderdate AS DATE) AS match_date, 'Team ' || CAST(o_custkey AS VARCHAR) AS home_team, 'Team ' || CAST(o_custkey + 1 AS VARCHAR) AS away_team,
+    CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 5 END AS home_goals, o_custkey % 4 AS away_goals, o_orderstatus AS full_time_result FROM orders""")
+def historical_normalise(spark: SparkSession, d: str) -> DataFrame:
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.when(key % 3 == 0, F.date_format(day, "dd/MM/yyyy")).when(key % 3 == 1, F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.lit(" "), F.date_format(day, "dd/MM/yyyy"), F.lit("\t")))
+    raw = table(spark, d, "orders").select(
+        key.cast("string").alias("match_id"), text.alias("date_text"), F.concat(F.lit("\t Team "), F.col("o_custkey").cast("string"), F.lit(" ")).alias("home_team"), F.concat(F.lit("Team "), (F.col("o_custkey") + 1).cast("string")).alias("away_team"),
+        F.when(key % 11 == 0, "n/a").otherwise((key % 5).cast("string")).alias("home_goals"), F.concat(F.lit(" "), (F.col("o_custkey") % 4).cast("string")).alias("away_goals"), F.lower("o_orderstatus").alias("result"),
+    )
+    return silver.normalise_historical(raw)
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS match_id, event_id AS api_match_id, user_id AS home_team_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS home_goals, CAST(event_id % 3 AS BIGINT) AS away_goals,
+    CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > event_id % 3 THEN 'H' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < event_id % 3 THEN 'A' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) = event_id % 3 THEN 'D' END AS full_time_result,
+    date_trunc('second', ts) AS kickoff_utc, CAST(year(ts) AS VARCHAR) || '/' || lpad(CAST((year(ts) + 1) % 100 AS VARCHAR), 2, '0') AS season FROM events""")
+def json_flatten_current(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    score = F.struct(F.struct(F.get_json_object("props", "$.k").alias("home"), (F.col("event_id") % 3).alias("away")).alias("fullTime"))
+    one = F.struct(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utcDate"), F.struct(F.date_format("ts", "yyyy-MM-dd").alias("startDate")).alias("season"), F.struct(F.col("user_id").alias("id")).alias("homeTeam"), score.alias("score"))
+    return payloads.flatten_matches(e.select(F.to_json(F.struct(F.array(one).alias("matches"))).alias("payload"))).select("match_id", "api_match_id", "home_team_id", "home_goals", "away_goals", "full_time_result", F.col("kickoff_utc").cast("timestamp_ntz").alias("kickoff_utc"), "season")
+
+
+@query("""SELECT n_regionkey AS group_id, 'TOTAL' AS standing_type, CAST(n_nationkey AS BIGINT) AS team_id, n_name AS team, CAST(n_nationkey * 2 AS BIGINT) AS points FROM nation""")
+def json_flatten_standings(spark: SparkSession, d: str) -> DataFrame:
+    row = F.struct(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).alias("team"), (F.col("n_nationkey") * 2).alias("points"))
+    groups = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(row).alias("rows"))
+    payload = F.to_json(F.struct(F.array(F.struct(F.lit("TOTAL").alias("type"), F.col("rows").alias("table"))).alias("standings")))
+    return payloads.flatten_standings(groups.select(F.col("n_regionkey").alias("group_id"), payload.alias("payload")), ["group_id"]).select("group_id", "standing_type", "team_id", "team", "points")
+
+
+def _noisy(spark: SparkSession, d: str) -> DataFrame:
+    """Fixtures between nations under noisy spellings, some unknown."""
+    n = table(spark, d, "nation")
+    names = n.select(F.col("n_nationkey").alias("k"), "n_name")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).cast("int").alias("h"), ((F.col("o_custkey") + 1 + F.col("o_orderkey") % 24) % 25).cast("int").alias("a"))
+    spell = lambda c, i: F.when(i % 3 == 0, F.concat(F.lit("  "), F.lower(c), F.lit("\t"))).when(i % 3 == 1, F.replace(c, F.lit(" "), F.lit("   "))).otherwise(c)
+    j = o.join(F.broadcast(names.select(F.col("k").alias("h"), F.col("n_name").alias("hn"))), "h").join(F.broadcast(names.select(F.col("k").alias("a"), F.col("n_name").alias("an"))), "a")
+    return j.select("id", spell(F.col("hn"), F.col("id")).alias("home_team"), spell(F.col("an"), F.col("id") + 1).alias("away_team"))
+
+
+def _aliases(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").filter("n_nationkey != 7").select(C.normalise_alias(F.col("n_name")).alias("alias"), F.initcap("n_name").alias("canonical"))
+
+
+NATION_PAIRS = "SELECT o_orderkey AS id, h.n_name AS hn, h.n_nationkey AS hk, a.n_name AS an, a.n_nationkey AS ak FROM orders JOIN nation h ON h.n_nationkey = o_custkey % 25 JOIN nation a ON a.n_nationkey = (o_custkey + 1 + o_orderkey % 24) % 25"
+
+
+@query(f"WITH p AS ({NATION_PAIRS}) SELECT id, CASE WHEN hk <> 7 THEN lower(replace(hn, ' ', '-')) END AS home_team_id, CASE WHEN ak <> 7 THEN lower(replace(an, ' ', '-')) END AS away_team_id FROM p")
+def alias_canonicalise(spark: SparkSession, d: str) -> DataFrame:
+    return silver.canonicalise_teams(_noisy(spark, d), _aliases(spark, d)).select("id", "home_team_id", "away_team_id")
+
+
+@query("SELECT DISTINCT lower(n_name) AS team FROM nation WHERE n_nationkey = 7 AND (SELECT count(*) FROM orders) > 0")
+def unknown_teams(spark: SparkSession, d: str) -> DataFrame:
+    unknown = silver.find_unknown_teams(_noisy(spark, d), _aliases(spark, d))
+    return unknown.select(C.normalise_alias(F.col("team")).alias("team")).distinct()
+
+
+@query(f"WITH {M} SELECT match_key AS id, sha256(season || '|' || competition || '|' || CAST(match_date AS VARCHAR) || '|' || home_team_id || '|' || away_team_id) AS match_key FROM m")
+def match_keys(spark: SparkSession, d: str) -> DataFrame:
+    return silver.add_match_keys(matches(spark, d).withColumnRenamed("match_key", "id")).select("id", "match_key")
+
+
+def _two_sources(spark: SparkSession, d: str) -> DataFrame:
+    m = matches(spark, d)
+    late = F.expr("kickoff_utc + make_interval(0, 0, 0, 1)")
+    return m.withColumns({"source": F.lit("football-data.co.uk"), "ingested_at": F.col("kickoff_utc")}).unionByName(m.filter("match_key % 2 = 0").withColumns({"source": F.lit("football-data.org"), "ingested_at": late})).unionByName(
+        m.filter("match_key % 3 = 0").withColumns({"source": F.lit("football-data.co.uk"), "ingested_at": late})
+    )
+
+
+TWO = """t AS (SELECT *, 'football-data.co.uk' AS source, kickoff_utc AS ingested_at FROM m UNION ALL SELECT *, 'football-data.org', kickoff_utc + INTERVAL 1 DAY FROM m WHERE CAST(match_key AS BIGINT) % 2 = 0
+    UNION ALL SELECT *, 'football-data.co.uk', kickoff_utc + INTERVAL 1 DAY FROM m WHERE CAST(match_key AS BIGINT) % 3 = 0)"""
+
+
+@query(f"""WITH {M}, {TWO} SELECT match_key, source, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY match_key ORDER BY CASE source WHEN 'football-data.org' THEN 2 WHEN 'football-data.co.uk' THEN 1 ELSE 0 END DESC, ingested_at DESC) AS n FROM t) WHERE n = 1""")
+def dedup_matches(spark: SparkSession, d: str) -> DataFrame:
+    return silver.deduplicate(_two_sources(spark, d)).select("match_key", "source", "ingested_at")
+
+
+@query(f"""WITH {M}, {TWO} SELECT source, count(*) AS row_count, count(DISTINCT season) AS seasons, min(match_date) AS first_date, max(match_date) AS last_date FROM t GROUP BY source""")
+def silver_report(spark: SparkSession, d: str) -> DataFrame:
+    return _two_sources(spark, d).groupBy("source").agg(F.count("*").alias("row_count"), F.countDistinct("season").alias("seasons"), F.min("match_date").alias("first_date"), F.max("match_date").alias("last_date"))
+
+
+@query(f"""WITH {M} SELECT match_key, CAST(CASE full_time_result WHEN 'H' THEN 3 WHEN 'D' THEN 1 WHEN 'A' THEN 0 END AS BIGINT) AS home_points,
+    CAST(CASE full_time_result WHEN 'A' THEN 3 WHEN 'D' THEN 1 WHEN 'H' THEN 0 END AS BIGINT) AS away_points, home_goals - away_goals AS home_goal_difference FROM m""")
+def match_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return silver.add_outcomes(matches(spark, d)).select("match_key", "home_points", "away_points", "home_goal_difference")
+
+
+@query(f"WITH {M} SELECT home_team_id AS team_id, upper(home_team_id) AS team_name FROM m UNION SELECT away_team_id, upper(away_team_id) FROM m")
+def team_dimension(spark: SparkSession, d: str) -> DataFrame:
+    return silver.team_dimension(matches(spark, d).withColumns({"home_team": F.upper("home_team_id"), "away_team": F.upper("away_team_id")}))
+
+
+@query(f"WITH {M} SELECT match_key, season, NULL::BIGINT AS home_goals FROM m UNION ALL SELECT match_key, NULL, home_goals FROM m")
+def union_relaxed(spark: SparkSession, d: str) -> DataFrame:
+    m = matches(spark, d)
+    return silver.union_relaxed(m.select("match_key", "season"), m.select("match_key", "home_goals"))
+
+
+@query(f"WITH {M}, {TWO} SELECT match_key, kickoff_utc, CAST(CAST(match_date AS TIMESTAMP) AS TIMESTAMP) AS midnight, 'FINISHED' AS status FROM t WHERE source = 'football-data.co.uk'")
+def prepare_historical(spark: SparkSession, d: str) -> DataFrame:
+    rows = _two_sources(spark, d).filter("source = 'football-data.co.uk'").withColumns({"home_team": F.col("home_team_id"), "away_team": F.col("match_key"), "competition": F.date_format("kickoff_utc", "yyyy-MM-dd HH:mm:ss")})
+    out = silver.prepare_historical(rows)
+    return out.select(F.col("away_team").alias("match_key"), F.to_timestamp_ntz("competition", F.lit("yyyy-MM-dd HH:mm:ss")).alias("kickoff_utc"), F.col("kickoff_utc").alias("midnight"), "status")
+
+
+@query(f"WITH {M}, {TWO} SELECT match_key, match_date, CASE WHEN season = '1999' THEN 'Premier League' ELSE competition END AS competition FROM t WHERE source = 'football-data.org'")
+def prepare_current(spark: SparkSession, d: str) -> DataFrame:
+    rows = _two_sources(spark, d).filter("source = 'football-data.org'").drop("match_date").withColumns({"home_team": F.col("home_team_id"), "away_team": F.col("match_key"), "competition": F.when(F.col("season") != "1999", F.col("competition"))})
+    return silver.prepare_current(rows).select(F.col("away_team").alias("match_key"), "match_date", "competition")
+
+
+@query(f"WITH {M}, {H} SELECT match_key, venue, team_id, opponent_id, goals_for, goals_against, goal_difference, result, points, is_win, is_draw, is_loss FROM hp")
+def team_history(spark: SparkSession, d: str) -> DataFrame:
+    return form.team_history(matches(spark, d)).drop("season", "kickoff_utc")
+
+
+@query(f"""WITH {M}, {H} SELECT match_key, team_id, CAST(CASE WHEN p IS NULL THEN NULL ELSE floor((epoch_us(kickoff_utc) - epoch_us(p)) / 86400000000) END AS BIGINT) AS rest_days
+    FROM (SELECT *, lag(kickoff_utc) OVER (PARTITION BY team_id ORDER BY kickoff_utc, match_key) AS p FROM hp)""")
+def rest_days(spark: SparkSession, d: str) -> DataFrame:
+    return form.rest_days(form.team_history(matches(spark, d))).select("match_key", "team_id", "rest_days")
+
+
+def _form(spark: SparkSession, d: str, n: int) -> DataFrame:
+    return form.rolling_form(form.team_history(matches(spark, d)), n)
+
+
+@query(f"WITH {M}, {H} {_form_sql(5)} SELECT {', '.join(FORM_COLUMNS)} FROM f")
+def rolling_form(spark: SparkSession, d: str) -> DataFrame:
+    return _form(spark, d, 5).withColumn("average_points_last_5", F.round("average_points_last_5", 6)).select(*FORM_COLUMNS)
+
+
+@query(f"WITH {M}, {H} {_form_sql(3)} SELECT {', '.join(FORM_COLUMNS)} FROM f")
+def rolling_form_window3(spark: SparkSession, d: str) -> DataFrame:
+    return _form(spark, d, 3).withColumn("average_points_last_5", F.round("average_points_last_5", 6)).select(*FORM_COLUMNS)
+
+
+def _sides(columns: list[str]) -> str:
+    return ", ".join(f"coalesce({v[0]}.{c}, 0) AS {v}_{c}" for v in ("home", "away") for c in columns)
+
+
+FORM_FEATURES = ["matches_played_before", *form.NAMES]
+WIDE = f"""{M}, {H} {_form_sql(5)}, w AS (SELECT m.*, {_sides(FORM_FEATURES)} FROM m LEFT JOIN f h ON h.match_key = m.match_key AND h.venue = 'home' LEFT JOIN f a ON a.match_key = m.match_key AND a.venue = 'away')"""
+WIDE_COLUMNS = [f"{v}_{c}" for v in ("home", "away") for c in FORM_FEATURES]
+
+
+@query(f"WITH {WIDE} SELECT match_key, {', '.join(WIDE_COLUMNS)}, home_points_last_5 - away_points_last_5 AS points_last_5_difference, home_goal_difference_last_5 - away_goal_difference_last_5 AS goal_difference_last_5_difference FROM w")
+def match_form(spark: SparkSession, d: str) -> DataFrame:
+    return form.match_form(matches(spark, d), _form(spark, d, 5)).select("match_key", *WIDE_COLUMNS, "points_last_5_difference", "goal_difference_last_5_difference")
+
+
+@query()
+def form_as_of(spark: SparkSession, d: str) -> DataFrame:
+    m = matches(spark, d)
+    return form.form_as_of(m, form.team_history(m))
+
+
+def _elo(spark: SparkSession, d: str) -> DataFrame:
+    return elo.elo_history(matches(spark, d))
+
+
+@query()
+def elo_history(spark: SparkSession, d: str) -> DataFrame:
+    return _elo(spark, d).select("match_key", *[F.round(c, 6).alias(c) for c in ("home_elo_pre", "away_elo_pre", "home_expected_score", "away_expected_score", "actual_home", "home_elo_post", "away_elo_post")])
+
+
+@query("SELECT count(*) AS row_count, 0::BIGINT AS duplicate_keys, 0::BIGINT AS outside_unit, 0::BIGINT AS not_one, 0::BIGINT AS not_conserved FROM orders")
+def elo_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return elo.elo_invariants(_elo(spark, d))
+
+
+def _model(spark: SparkSession, d: str) -> DataFrame:
+    """Form and ratings of each match with target, flags and split."""
+    m = form.match_form(matches(spark, d), _form(spark, d, 5)).join(_elo(spark, d).select("match_key", "home_elo_pre", "away_elo_pre", "home_expected_score", "away_expected_score"), "match_key")
+    return gold.assign_splits(gold.cold_start_flags(m.withColumn("target", C.target_of(F.col("full_time_result")))), VALIDATION, TEST)
+
+
+@query()
+def model_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return _model(spark, d).select("match_key", "season", "split", "target", "home_points_last_5", "away_points_last_5", F.round("home_elo_pre", 6).alias("home_elo_pre"), F.round("away_elo_pre", 6).alias("away_elo_pre"), "home_is_cold_start", "away_has_limited_history")
+
+
+@query(f"WITH {M} SELECT match_key, CAST(CASE full_time_result WHEN 'A' THEN 0 WHEN 'D' THEN 1 WHEN 'H' THEN 2 END AS BIGINT) AS target FROM m")
+def target_encoding(spark: SparkSession, d: str) -> DataFrame:
+    return matches(spark, d).select("match_key", C.target_of(F.col("full_time_result")).alias("target"))
+
+
+@query(f"WITH {WIDE} SELECT match_key, home_matches_played_before = 0 AS home_is_cold_start, home_matches_played_before < 5 AS home_has_limited_history, away_matches_played_before = 0 AS away_is_cold_start, away_matches_played_before < 5 AS away_has_limited_history FROM w")
+def cold_start_flags(spark: SparkSession, d: str) -> DataFrame:
+    flagged = gold.cold_start_flags(form.match_form(matches(spark, d), _form(spark, d, 5)))
+    return flagged.select("match_key", "home_is_cold_start", "home_has_limited_history", "away_is_cold_start", "away_has_limited_history")
+
+
+SPLIT = f"{M}, sp AS (SELECT m.*, CASE WHEN season = '{VALIDATION}' THEN 'validation' WHEN season = '{TEST}' THEN 'test' WHEN season < '{VALIDATION}' THEN 'train' ELSE 'future' END AS split, CAST(CASE full_time_result WHEN 'A' THEN 0 WHEN 'D' THEN 1 WHEN 'H' THEN 2 END AS BIGINT) AS target FROM m)"
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    return gold.assign_splits(matches(spark, d).withColumn("target", C.target_of(F.col("full_time_result"))), VALIDATION, TEST)
+
+
+@query(f"WITH {SPLIT} SELECT match_key, split FROM sp")
+def season_splits(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).select("match_key", "split")
+
+
+@query(f"WITH {SPLIT} SELECT split, count(*) AS row_count, min(kickoff_utc) AS first_kickoff, max(kickoff_utc) AS last_kickoff, count(DISTINCT season) AS seasons FROM sp GROUP BY split")
+def split_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).groupBy("split").agg(F.count("*").alias("row_count"), F.min("kickoff_utc").alias("first_kickoff"), F.max("kickoff_utc").alias("last_kickoff"), F.countDistinct("season").alias("seasons"))
+
+
+@query(f"WITH {SPLIT} SELECT split, target, count(*) AS row_count FROM sp GROUP BY split, target")
+def target_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).groupBy("split", "target").agg(F.count("*").alias("row_count"))
+
+
+@query(f"WITH {WIDE} SELECT match_key, CAST(home_points_last_5 AS DOUBLE) AS f1, coalesce(CAST(home_goals AS DOUBLE), 0.0) AS f2, CAST(home_matches_played_before = 0 AS DOUBLE) AS f3 FROM w")
+def feature_frame(spark: SparkSession, d: str) -> DataFrame:
+    m = gold.cold_start_flags(form.match_form(matches(spark, d), _form(spark, d, 5)))
+    return m.select("match_key", gold.feature("home_points_last_5").alias("f1"), gold.feature("home_goals").alias("f2"), gold.feature("home_is_cold_start").alias("f3"))
+
+
+@query(f"""WITH {M} SELECT count(*) AS row_count, count(*) - count(DISTINCT match_key) AS duplicate_keys, count(nullif(home_team_id = away_team_id, false)) AS same_team, count(nullif(status = 'FINISHED' AND (home_goals IS NULL OR away_goals IS NULL), false)) AS missing_score,
+    count(nullif(home_goals < 0 OR away_goals < 0, false)) AS negative_goals, 0::BIGINT AS wrong_result, count(nullif(match_date IS NULL, false)) AS missing_date FROM m""")
+def violations_silver(spark: SparkSession, d: str) -> DataFrame:
+    return gold.silver_violations(matches(spark, d))
+
+
+@query(f"""WITH {WIDE} SELECT count(*) AS row_count, 0::BIGINT AS duplicate_keys, 0::BIGINT AS negative_played, count(nullif(home_points_last_5 > 15, false)) AS home_points_over, count(nullif(away_points_last_5 > 15, false)) AS away_points_over,
+    count(nullif(home_wins_last_5 + home_draws_last_5 + home_losses_last_5 > 5, false)) AS home_results_over, count(nullif(away_wins_last_5 + away_draws_last_5 + away_losses_last_5 > 5, false)) AS away_results_over FROM w""")
+def violations_form(spark: SparkSession, d: str) -> DataFrame:
+    return gold.form_violations(form.match_form(matches(spark, d), _form(spark, d, 5)))
+
+
+@query()
+def violations_model(spark: SparkSession, d: str) -> DataFrame:
+    return gold.model_violations(_model(spark, d))
+
+
+@query(f"WITH {M} SELECT season, count(*) AS row_count, count(DISTINCT match_key) AS ids, min(match_date) AS first_date, max(match_date) AS last_date, count(nullif(status = 'FINISHED', false)) AS finished, count(nullif(status <> 'FINISHED', false)) AS not_finished FROM m GROUP BY season")
+def bronze_audit(spark: SparkSession, d: str) -> DataFrame:
+    done = F.col("status") == "FINISHED"
+    return matches(spark, d).groupBy("season").agg(F.count("*").alias("row_count"), F.countDistinct("match_key").alias("ids"), F.min("match_date").alias("first_date"), F.max("match_date").alias("last_date"), F.count_if(done).alias("finished"), F.count_if(~done).alias("not_finished"))
+
+
+def _rounded(df: DataFrame, keep: list[str], digits: int = 9) -> DataFrame:
+    return df.select(*keep, *[F.round(c, digits).alias(c) for c in probability.P])
+
+
+TRAIN = "n AS (SELECT count(nullif(target = 0, false))::DOUBLE AS n0, count(nullif(target = 1, false))::DOUBLE AS n1, count(nullif(target = 2, false))::DOUBLE AS n2 FROM sp WHERE split = 'train')"
+
+
+@query(f"""WITH {SPLIT}, {TRAIN}, b AS (SELECT CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0 WHEN n1 >= n2 THEN 1 ELSE 2 END AS k FROM n)
+    SELECT match_key, {', '.join(f"round(CASE WHEN k = {i} THEN 1 - 2e-9 ELSE 1e-9 END, 9) AS {p}" for i, p in enumerate(probability.P))} FROM sp, b WHERE split = 'test'""")
+def baseline_majority(spark: SparkSession, d: str) -> DataFrame:
+    s = _split(spark, d)
+    return _rounded(probability.with_constant(s.filter("split = 'test'"), probability.majority(s.filter("split = 'train'"))), ["match_key"])
+
+
+@query(f"""WITH {SPLIT}, {TRAIN} SELECT match_key, {', '.join(f"round((n{i} + 1.0) / (n0 + n1 + n2 + 3.0), 9) AS {p}" for i, p in enumerate(probability.P))} FROM sp, n WHERE split = 'test'""")
+def baseline_frequency(spark: SparkSession, d: str) -> DataFrame:
+    s = _split(spark, d)
+    return _rounded(probability.with_constant(s.filter("split = 'test'"), probability.frequency(s.filter("split = 'train'"))), ["match_key"])
+
+
+#: An expected score by integer arithmetic, so that both engines have the same.
+EXPECTED = "((CAST(match_key AS BIGINT) * 37) % 1000) / 1000.0"
+RAW = f"greatest(1e-9, least(1.0, (1 - {EXPECTED}) * 0.75)) AS r0, 0.25 AS r1, greatest(1e-9, least(1.0, {EXPECTED} * 0.75)) AS r2"
+SCORED = f"{SPLIT}, sc AS (SELECT match_key, season, split, target, r0 / (r0 + r1 + r2) AS p0, r1 / (r0 + r1 + r2) AS p1, r2 / (r0 + r1 + r2) AS p2 FROM (SELECT *, {RAW} FROM sp))"
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    expected = (F.col("match_key").cast("long") * 37 % 1000).cast("double") / 1000.0
+    return _split(spark, d).withColumns(dict(zip(probability.P, probability.elo_outcome(expected), strict=True)))
+
+
+@query(f"WITH {SCORED} SELECT match_key, round(p0, 9) AS {probability.P[0]}, round(p1, 9) AS {probability.P[1]}, round(p2, 9) AS {probability.P[2]} FROM sc")
+def baseline_elo(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_scored(spark, d), ["match_key"])
+
+
+def _metric_sql(source: str, by: str) -> str:
+    cells = ", ".join(f"count(nullif(target = {t} AND g = {k}, false))::DOUBLE AS c{t}{k}" for t in range(3) for k in range(3))
+    recall = [f"CASE WHEN c{k}0 + c{k}1 + c{k}2 > 0 THEN c{k}{k} / (c{k}0 + c{k}1 + c{k}2) END" for k in range(3)]
+    f1 = [f"CASE WHEN c{k}0 + c{k}1 + c{k}2 + c0{k} + c1{k} + c2{k} > 0 THEN 2 * c{k}{k} / (c{k}0 + c{k}1 + c{k}2 + c0{k} + c1{k} + c2{k}) END" for k in range(3)]
+    return f"""SELECT {by}, row_count, round((c00 + c11 + c22) / row_count, 6) AS accuracy, round(list_avg(list_filter([{', '.join(recall)}], lambda x: x IS NOT NULL)), 6) AS balanced_accuracy, round(list_avg(list_filter([{', '.join(f1)}], lambda x: x IS NOT NULL)), 6) AS macro_f1,
+      round(log_loss, 6) AS log_loss, round(brier_score, 6) AS brier_score, round(rps, 6) AS ranked_probability_score FROM (SELECT {by}, count(*) AS row_count, {cells}, avg(-ln(CASE target WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)) AS log_loss,
+      avg((p0 - (target = 0)::INT) ** 2 + (p1 - (target = 1)::INT) ** 2 + (p2 - (target = 2)::INT) ** 2) AS brier_score, avg(((p0 - (target = 0)::INT) ** 2 + (p0 + p1 - (target = 0)::INT - (target = 1)::INT) ** 2) / 2) AS rps
+      FROM (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS g FROM {source} WHERE target IS NOT NULL) GROUP BY {by})"""
+
+
+def _round_metrics(df: DataFrame, keep: list[str]) -> DataFrame:
+    return df.select(*keep, "row_count", *[F.round(c, 6).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1", "log_loss", "brier_score", "ranked_probability_score")])
+
+
+@query(f"WITH {SCORED} {_metric_sql('sc', 'split')}")
+def metrics_by_split(spark: SparkSession, d: str) -> DataFrame:
+    return _round_metrics(probability.metrics(_scored(spark, d), ["split"]), ["split"])
+
+
+LONG = f"{SCORED}, lg AS (SELECT split, 'away_win' AS class_label, p0 AS p, (target = 0)::INT::DOUBLE AS y FROM sc WHERE target IS NOT NULL UNION ALL SELECT split, 'draw', p1, (target = 1)::INT::DOUBLE FROM sc WHERE target IS NOT NULL UNION ALL SELECT split, 'home_win', p2, (target = 2)::INT::DOUBLE FROM sc WHERE target IS NOT NULL)"
+EDGES = "[" + ", ".join(repr(e) for e in probability.bin_edges(10)) + "]::DOUBLE[]"
+TABLE = f"{LONG}, rb AS (SELECT split, class_label, least(len(list_filter({EDGES}, lambda e: e <= p)) - 1, 9)::BIGINT AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM lg GROUP BY ALL), rt AS (SELECT g.split, g.class_label, b.bin, coalesce(rb.n, 0) AS n, mp, my FROM (SELECT DISTINCT split, class_label FROM lg) g CROSS JOIN (SELECT range::BIGINT AS bin FROM range(10)) b LEFT JOIN rb ON rb.split = g.split AND rb.class_label = g.class_label AND rb.bin = b.bin)"
+
+
+def _table(spark: SparkSession, d: str) -> DataFrame:
+    return probability.reliability(probability.one_vs_rest(_scored(spark, d), ["split"]), ["split", "class_label"])
+
+
+@query(f"WITH {TABLE} SELECT split, class_label, bin, n, round(mp, 6) AS mean_probability, round(my, 6) AS observed_frequency FROM rt")
+def reliability_by_class(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d).select("split", "class_label", "bin", "n", F.round("mean_probability", 6).alias("mean_probability"), F.round("observed_frequency", 6).alias("observed_frequency"))
+
+
+@query(f"WITH {TABLE} SELECT split, class_label, round(sum(abs(mp - my) * n) / sum(n), 6) AS expected_calibration_error, round(max(abs(mp - my)), 6) AS maximum_calibration_error, count(nullif(n > 0, false)) AS populated_bins FROM rt GROUP BY split, class_label")
+def calibration_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = probability.calibration_summary(_table(spark, d), ["split", "class_label"])
+    return s.select("split", "class_label", F.round("expected_calibration_error", 6).alias("expected_calibration_error"), F.round("maximum_calibration_error", 6).alias("maximum_calibration_error"), "populated_bins")
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT split, greatest(p0, p1, p2) AS p, ((CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END) = target)::INT AS y FROM sc WHERE target IS NOT NULL)
+    SELECT split, round(avg(p), 6) AS mean_confidence, round(avg(y), 6) AS accuracy, round(avg(p) - avg(y), 6) AS over_confidence FROM c GROUP BY split""")
+def confidence_calibration(spark: SparkSession, d: str) -> DataFrame:
+    c = probability.confidence(_scored(spark, d), ["split"])
+    return c.groupBy("split").agg(F.round(F.avg("p"), 6).alias("mean_confidence"), F.round(F.avg("y"), 6).alias("accuracy"), F.round(F.avg("p") - F.avg("y"), 6).alias("over_confidence"))
+
+
+def _two_models(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d)
+    return s.withColumns({f"q{k}": F.lit(v) for k, v in enumerate((0.2, 0.3, 0.5))})
+
+
+BLENDED = f"{SCORED}, ws AS (SELECT range * 0.05 AS w FROM range(21)), bl AS (SELECT match_key, target, round(w, 2) AS first_weight, w * p0 + (1 - w) * 0.2 AS p0, w * p1 + (1 - w) * 0.3 AS p1, w * p2 + (1 - w) * 0.5 AS p2 FROM sc, ws WHERE split = 'validation')"
+
+
+@query(f"WITH {SCORED} SELECT match_key, round(0.3 * p0 + 0.7 * 0.2, 9) AS {probability.P[0]}, round(0.3 * p1 + 0.7 * 0.3, 9) AS {probability.P[1]}, round(0.3 * p2 + 0.7 * 0.5, 9) AS {probability.P[2]} FROM sc")
+def blend(spark: SparkSession, d: str) -> DataFrame:
+    s = _two_models(spark, d)
+    mixed = probability.blend([F.col(c) for c in probability.P], [F.col(f"q{k}") for k in range(3)], F.lit(0.3))
+    return s.select("match_key", *[F.round(m, 9).alias(c) for m, c in zip(mixed, probability.P, strict=True)])
+
+
+@query(f"WITH {BLENDED} {_metric_sql('bl', 'first_weight')}")
+def weight_search(spark: SparkSession, d: str) -> DataFrame:
+    weights = spark.range(21).select((F.col("id") * 0.05).alias("w"))
+    s = _two_models(spark, d).filter("split = 'validation'").crossJoin(F.broadcast(weights))
+    mixed = probability.blend([F.col(c) for c in probability.P], [F.col(f"q{k}") for k in range(3)], F.col("w"))
+    named = s.select("target", F.round("w", 2).alias("first_weight"), *[m.alias(c) for m, c in zip(mixed, probability.P, strict=True)])
+    return _round_metrics(probability.metrics(named, ["first_weight"]), ["first_weight"])
+
+
+@query(f"WITH {SCORED} SELECT match_key, target, round(p0, 9) AS first_away, 0.2 AS second_away FROM sc WHERE split = 'test' AND target IS NOT NULL")
+def align_predictions(spark: SparkSession, d: str) -> DataFrame:
+    s = _two_models(spark, d).filter("split = 'test' and target is not null")
+    first, second = s.select("match_key", "target", F.round(probability.P[0], 9).alias("first_away")), s.select("match_key", F.col("target").alias("_t"), F.col("q0").alias("second_away"))
+    return first.join(second, "match_key").filter("target = _t").drop("_t")
+
+
+@query(f"WITH {M} SELECT season, min(kickoff_utc) AS season_start, row_number() OVER (ORDER BY min(kickoff_utc)) AS position FROM m GROUP BY season")
+def season_order(spark: SparkSession, d: str) -> DataFrame:
+    return gold.season_order(matches(spark, d))
+
+
+FOLDS = f"{M}, so AS (SELECT season, row_number() OVER (ORDER BY min(kickoff_utc)) AS pos FROM m GROUP BY season), ev AS (SELECT season AS es, pos AS last_pos, row_number() OVER (ORDER BY pos) AS fold_number FROM so WHERE pos > 2 AND pos > (SELECT max(pos) FROM so) - 4), fo AS (SELECT fold_number, es AS evaluation_season, CASE WHEN so.pos = last_pos THEN 'evaluation' ELSE 'training' END AS role, so.season FROM ev JOIN so ON so.pos <= last_pos)"
+
+
+@query(f"WITH {FOLDS} SELECT * FROM fo")
+def backtest_folds(spark: SparkSession, d: str) -> DataFrame:
+    return gold.backtest_folds(matches(spark, d))
+
+
+@query(f"""WITH {FOLDS}, q AS (SELECT fo.fold_number, m.home_goals - m.away_goals AS gap FROM m JOIN fo ON fo.season = m.season AND fo.role = 'evaluation' WHERE m.status = 'FINISHED'), e AS (SELECT fold_number, avg(gap) AS v FROM q GROUP BY fold_number)
+    SELECT count(*) AS folds, round(avg(v), 6) AS mean_gap, round(stddev_samp(v), 6) AS sd_gap FROM e""")
+def backtest_summary(spark: SparkSession, d: str) -> DataFrame:
+    m = matches(spark, d)
+    folds = gold.backtest_folds(m).filter("role = 'evaluation'").select("season", "fold_number")
+    each = m.filter("status = 'FINISHED'").join(F.broadcast(folds), "season").groupBy("fold_number").agg(F.avg(F.col("home_goals") - F.col("away_goals")).alias("v"))
+    return each.agg(F.count("*").alias("folds"), F.round(F.avg("v"), 6).alias("mean_gap"), F.round(F.stddev_samp("v"), 6).alias("sd_gap"))
+
+
+@query(f"WITH {SPLIT}, v AS (SELECT match_key, row_number() OVER (ORDER BY kickoff_utc, match_key) AS n, count(*) OVER () AS t FROM sp WHERE split = 'validation' AND target IS NOT NULL) SELECT match_key, CASE WHEN n <= floor(t * 0.6) THEN 'tuning' ELSE 'calibration' END AS part FROM v")
+def validation_partition(spark: SparkSession, d: str) -> DataFrame:
+    return gold.chronological_partition(_split(spark, d).filter("split = 'validation' and target is not null"), 0.6).select("match_key", "part")
+
+
+@query(f"""WITH {SPLIT}, l AS (SELECT match_key, kickoff_utc, row_number() OVER (ORDER BY kickoff_utc, match_key) AS n, count(*) OVER () AS t FROM sp WHERE target IS NOT NULL), f AS (SELECT min(kickoff_utc) AS k FROM l WHERE n = t - greatest(30, ceil(t * 0.15)) + 1)
+    SELECT match_key, CASE WHEN kickoff_utc >= k THEN 'calibration' ELSE 'training' END AS part FROM l, f""")
+def calibration_partition(spark: SparkSession, d: str) -> DataFrame:
+    return gold.calibration_partition(_split(spark, d).filter("target is not null")).select("match_key", "part")
+
+
+@query(f"WITH {SCORED} SELECT match_key, (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END)::BIGINT AS predicted_class, round(greatest(p0, p1, p2), 9) AS prediction_confidence, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'away_win' WHEN p1 >= p2 THEN 'draw' ELSE 'home_win' END AS predicted_outcome FROM sc WHERE target IS NULL")
+def prediction_output(spark: SparkSession, d: str) -> DataFrame:
+    p = [F.col(c) for c in probability.P]
+    best = C.arg_max(*p)
+    outcome = F.when(best == 0, "away_win").when(best == 1, "draw").otherwise("home_win")
+    return _scored(spark, d).filter("target is null").select("match_key", best.alias("predicted_class"), F.round(F.greatest(*p), 9).alias("prediction_confidence"), outcome.alias("predicted_outcome"))
+
+
+@query(f"WITH {SCORED}, c AS (SELECT greatest(p0, p1, p2) AS g, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'away_win' WHEN p1 >= p2 THEN 'draw' ELSE 'home_win' END AS predicted_outcome FROM sc WHERE target IS NULL) SELECT predicted_outcome, count(*) AS row_count, round(avg(g), 6) AS mean_confidence, round(min(g), 6) AS least_confidence, round(max(g), 6) AS most_confidence FROM c GROUP BY predicted_outcome")
+def prediction_audit(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("prediction_confidence")
+    return prediction_output(spark, d).groupBy("predicted_outcome").agg(F.count("*").alias("row_count"), F.round(F.avg(c), 6).alias("mean_confidence"), F.round(F.min(c), 6).alias("least_confidence"), F.round(F.max(c), 6).alias("most_confidence"))
+
+
+@query(f"WITH {M} SELECT match_key, season FROM m WHERE full_time_result IS NULL")
+def future_fixtures(spark: SparkSession, d: str) -> DataFrame:
+    return matches(spark, d).filter("full_time_result is null").select("match_key", "season")
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    names = ["home_points_last_5", "away_points_last_5", "home_goal_difference_last_5", "away_goal_difference_last_5", "home_elo_pre", "away_elo_pre"]
+    m = _model(spark, d)
+    return m.select("match_key", "kickoff_utc", "split", "target", *[gold.feature(n).alias(f"x{i}") for i, n in enumerate(names)])
+
+
+X = [f"x{i}" for i in range(6)]
+
+
+@query()
+def logistic_grid(spark: SparkSession, d: str) -> DataFrame:
+    return models.logistic_grid(_features(spark, d), X).select("c", "class_weight", F.round("log_loss", 4).alias("log_loss"))
+
+
+@query()
+def logistic_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    return models.logistic_coefficients(_features(spark, d).filter("split = 'train' and target is not null"), X)
+
+
+@query()
+def boosting_grid(spark: SparkSession, d: str) -> DataFrame:
+    return models.boosting_grid(_features(spark, d), X)
+
+
+@query()
+def production_predict(spark: SparkSession, d: str) -> DataFrame:
+    return models.production_predict(_features(spark, d), X)
