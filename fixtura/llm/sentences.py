@@ -35,9 +35,11 @@ CUE = "\x1e"
 MOST_ENTRIES = 500_000
 SET_CUE_DOCUMENTS, SET_CUE_SHARE, SET_CUE_LENGTH = 5, 0.7, (16, 100)
 ABBREVIATION_SCORE = 0.3
+LEAST_SHARE = 4e-6
 
-#: Noise within a cue; each branch begins with a character of its own, so that the scan is quick.
+#: Noise within a cue, looked for only where one of the characters stands that it can begin with.
 _NOISE = re.compile("|".join((SOUND.pattern, ENTITY.pattern, MARKUP.pattern)))
+_NOISE_BEGINS = re.compile("[\\[(（【*♪♫♬&<{\u200b-\u200f\u2060\ufeff\u00ad]")
 _ARROW_LINE = re.compile(r"[\ufeff \t]*(?:\d{1,3}:)?\d{1,2}:\d{2}[.,]\d{1,3}[ \t]*-->")
 _HEADER = re.compile(r"\A﻿?WEBVTT[^\n]*")
 _CLOSE = r"(?:[   ]?»|[\"”“’'\)\]』」】）])*"
@@ -97,7 +99,11 @@ def running_text(raw: str) -> Text:
     head = _HEADER.match(raw)
     last = head.end() if head else 0
     spans = [(a, b, None) for a, b in _cue_spans(raw) if b > last]
-    noise = [(m.start(), m.end(), m.group()) for m in _NOISE.finditer(raw, last)]
+    noise, free = [], last
+    for b in _NOISE_BEGINS.finditer(raw, last):
+        if b.start() >= free and (m := _NOISE.match(raw, b.start())):
+            noise.append((m.start(), m.end(), m.group()))
+            free = m.end()
     for a, b, what in sorted(spans + noise, key=lambda x: x[0]) if noise else spans:
         if a < last:
             if b <= last or what is not None:
@@ -313,8 +319,9 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     named = F.col("lang") != "und"
     per_cue = counted.filter("kind = 'cue'").groupBy("word").agg(F.sum("n").alias("n"), F.max(F.when(named, F.col("n"))).alias("most"), F.sum(F.when(named, F.col("n"))).alias("named"))
     set_cues = per_cue.filter((F.col("n") >= SET_CUE_DOCUMENTS) & (F.coalesce("most", F.lit(0)) < SET_CUE_SHARE * F.col("named")))
-    # of words only those seen often enough to enter a list; at most so many are of interest in a language
-    kept = counted.filter((F.col("kind") != "cue") & ((F.col("n") >= 3) | F.col("kind").isin("dotend", "dotnext")))
+    # of words only those that make up a share of the language's words (at most 1 / LEAST_SHARE of a kind)
+    sizes = counted.filter("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("size"))
+    kept = counted.filter("kind != 'cue'").join(F.broadcast(sizes), "lang").filter((F.col("n") >= 2) & (F.col("n") >= LEAST_SHARE * F.col("size"))).select("lang", "kind", "word", "n")
     rows = kept.limit(MOST_ENTRIES + 1).collect()
     cues = set_cues.select("word").limit(MOST_ENTRIES + 1).collect()
     if max(len(rows), len(cues)) > MOST_ENTRIES:
@@ -332,14 +339,28 @@ def language_of(text: str, models: dict[str, Model], said: str) -> str:
         for code, script in _SCRIPTS:
             if len(script.findall(text)) * 8 > len(text):
                 return code
-    words = set(text.split())
-    best, most = said, -1.0
-    for code, model in models.items():
-        if code != "und" and model.common:
-            n = len(words & model.common) + (0.5 if code == said else 0)
-            if n > most:
-                best, most = code, n
-    return best
+    votes: Counter = Counter({said: 0.5})
+    known = _inverted(models)
+    for word in set(text.split()):
+        for code in known.get(word, ()):
+            votes[code] += 1
+    return max(votes, key=lambda c: votes[c])
+
+
+_index: tuple[int, dict[str, list[str]]] = (0, {})
+
+
+def _inverted(models: dict[str, Model]) -> dict[str, list[str]]:
+    """The languages that each common word is common in; made once per set of models."""
+    global _index
+    if _index[0] != id(models):
+        words: dict[str, list[str]] = defaultdict(list)
+        for code, model in models.items():
+            if code != "und":
+                for word in model.common:
+                    words[word].append(code)
+        _index = (id(models), dict(words))
+    return _index[1]
 
 
 def _split_set_cues(text: str, set_cues: set[int]) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
@@ -475,8 +496,8 @@ def _ends(text: str, model: Model) -> Iterator[int]:
                 else:
                     go = starts(nxt, 1)
         else:
-            k = max(text.rfind(c, begun, i) for c in (" ", "\n", CUE, "\xa0", "\u202f"))
-            word = _DIGITS.sub("#", text[max(k + 1, begun) : i].lstrip(_OPEN).lower())
+            tail = text[max(begun, i - 40) : i].split()
+            word = _DIGITS.sub("#", tail[-1].lstrip(_OPEN).lower()) if tail else ""
             share = model.abbreviations.get(word)
             if sure or quoted:
                 pass
