@@ -196,6 +196,7 @@ def count_document(raw: str, counts: dict[str, Counter]) -> list[int | None]:
     counts["pair", case].update([(a, b) for a, b in zip(tokens, tokens[1:], strict=False) if a[-1] in _MARKS])
     counts["quote"].update(_AFTER_QUOTE.findall(flat))
     counts["dialogue"].update(_DIALOGUE.findall(flat))
+    counts["begin"].update(tokens[:1])
     return keys
 
 
@@ -226,6 +227,8 @@ def observations(lang: str, counts: dict, out: Counter) -> None:
                     out[lang, "dotnext", f"{low}\t{whole}"] += n
             elif end and end in _STRONG:
                 out[lang, "start", whole] += n
+    for first, n in counts["begin"].items():
+        out[lang, "start", first_word(first.lstrip(_OPEN))] += n
     for (first, last), n in counts["dialogue"].items():
         out[lang, "start", first_word(first.lstrip(_OPEN))] += n
         last = last or first
