@@ -414,7 +414,7 @@ def _two_models(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({f"q{k}": F.lit(v) for k, v in enumerate((0.2, 0.3, 0.5))})
 
 
-BLENDED = f"{SCORED}, ws AS (SELECT range * 0.05 AS w FROM range(21)), bl AS (SELECT match_key, target, round(w, 2) AS first_weight, w * p0 + (1 - w) * 0.2 AS p0, w * p1 + (1 - w) * 0.3 AS p1, w * p2 + (1 - w) * 0.5 AS p2 FROM sc, ws WHERE split = 'validation')"
+BLENDED = f"{SCORED}, ws AS (SELECT range * 0.05::DOUBLE AS w FROM range(21)), bl AS (SELECT match_key, target, CAST(round(w, 2) AS DOUBLE) AS first_weight, w * p0 + (1 - w) * 0.2 AS p0, w * p1 + (1 - w) * 0.3 AS p1, w * p2 + (1 - w) * 0.5 AS p2 FROM sc, ws WHERE split = 'validation')"
 
 
 @query(f"WITH {SCORED} SELECT match_key, round(0.3 * p0 + 0.7 * 0.2, 9) AS {probability.P[0]}, round(0.3 * p1 + 0.7 * 0.3, 9) AS {probability.P[1]}, round(0.3 * p2 + 0.7 * 0.5, 9) AS {probability.P[2]} FROM sc")
@@ -433,7 +433,7 @@ def weight_search(spark: SparkSession, d: str) -> DataFrame:
     return _round_metrics(probability.metrics(named, ["first_weight"]), ["first_weight"])
 
 
-@query(f"WITH {SCORED} SELECT match_key, target, round(p0, 9) AS first_away, 0.2 AS second_away FROM sc WHERE split = 'test' AND target IS NOT NULL")
+@query(f"WITH {SCORED} SELECT match_key, target, round(p0, 9) AS first_away, 0.2::DOUBLE AS second_away FROM sc WHERE split = 'test' AND target IS NOT NULL")
 def align_predictions(spark: SparkSession, d: str) -> DataFrame:
     s = _two_models(spark, d).filter("split = 'test' and target is not null")
     first, second = s.select("match_key", "target", F.round(probability.P[0], 9).alias("first_away")), s.select("match_key", F.col("target").alias("_t"), F.col("q0").alias("second_away"))

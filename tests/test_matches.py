@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -14,8 +16,8 @@ MATCHES = "match_key string, season string, kickoff_utc timestamp, status string
 
 def three(spark):
     return spark.createDataFrame([
-        ("m1", "2024/25", pd.Timestamp("2024-08-01"), "FINISHED", "arsenal", "chelsea", 2, 0, "H"), ("m2", "2024/25", pd.Timestamp("2024-08-08"), "FINISHED", "chelsea", "arsenal", 1, 1, "D"),
-        ("m3", "2024/25", pd.Timestamp("2024-08-15"), "FINISHED", "arsenal", "chelsea", 0, 3, "A"),
+        ("m1", "2024/25", datetime.fromisoformat("2024-08-01"), "FINISHED", "arsenal", "chelsea", 2, 0, "H"), ("m2", "2024/25", datetime.fromisoformat("2024-08-08"), "FINISHED", "chelsea", "arsenal", 1, 1, "D"),
+        ("m3", "2024/25", datetime.fromisoformat("2024-08-15"), "FINISHED", "arsenal", "chelsea", 0, 3, "A"),
     ], MATCHES)
 
 
