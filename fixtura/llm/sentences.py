@@ -33,9 +33,9 @@ from fixtura.llm.subtitles import ENTITY, MARKUP, SOUND, unmangle, unmangle_mapp
 
 CUE = "\x1e"
 MOST_ENTRIES = 500_000
-SET_CUE_DOCUMENTS, SET_CUE_SHARE, SET_CUE_LENGTH = 5, 0.7, (16, 100)
+SET_CUE_DOCUMENTS, SET_CUE_LANGUAGES, SET_CUE_SHARE, SET_CUE_LENGTH = 5, 4, 0.7, (16, 100)
 ABBREVIATION_SCORE = 0.3
-LEAST_SHARE = 4e-6
+LEAST_SHARE = 1e-5
 
 #: Noise within a cue, looked for only where one of the characters stands that it can begin with.
 _NOISE = re.compile("|".join((SOUND.pattern, ENTITY.pattern, MARKUP.pattern)))
@@ -320,8 +320,8 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple
 
     counted = cut_lineage(counted.filter("n >= 2"))
     named = F.col("lang") != "und"
-    per_cue = counted.filter("kind = 'cue'").groupBy("word").agg(F.sum("n").alias("n"), F.max(F.when(named, F.col("n"))).alias("most"), F.sum(F.when(named, F.col("n"))).alias("named"))
-    set_cues = per_cue.filter((F.col("n") >= SET_CUE_DOCUMENTS) & (F.coalesce("most", F.lit(0)) < SET_CUE_SHARE * F.col("named")))
+    per_cue = counted.filter("kind = 'cue'").groupBy("word").agg(F.sum("n").alias("n"), F.max(F.when(named, F.col("n"))).alias("most"), F.sum(F.when(named, F.col("n"))).alias("named"), F.count_if(named).alias("languages"))
+    set_cues = per_cue.filter((F.col("n") >= SET_CUE_DOCUMENTS) & (F.col("languages") >= SET_CUE_LANGUAGES) & (F.coalesce("most", F.lit(0)) < SET_CUE_SHARE * F.col("named")))
     # of words only those that make up a share of the language's words (at most 1 / LEAST_SHARE of a kind)
     sizes = counted.filter("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("size"))
     kept = counted.filter("kind != 'cue'").join(F.broadcast(sizes), "lang").filter((F.col("n") >= 2) & (F.col("n") >= LEAST_SHARE * F.col("size"))).select("lang", "kind", "word", "n")
