@@ -35,7 +35,7 @@ CUE = "\x1e"
 MOST_ENTRIES = 500_000
 SET_CUE_DOCUMENTS, SET_CUE_LANGUAGES, SET_CUE_SHARE, SET_CUE_LENGTH = 5, 4, 0.7, (16, 100)
 ABBREVIATION_SCORE = 0.3
-LEAST_SHARE = 1e-5
+LEAST_SHARE = 4e-6
 
 #: Noise within a cue, looked for only where one of the characters stands that it can begin with.
 _NOISE = re.compile("|".join((SOUND.pattern, ENTITY.pattern, MARKUP.pattern)))
@@ -324,7 +324,7 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     set_cues = per_cue.filter((F.col("n") >= SET_CUE_DOCUMENTS) & (F.col("languages") >= SET_CUE_LANGUAGES) & (F.coalesce("most", F.lit(0)) < SET_CUE_SHARE * F.col("named")))
     # of words only those that make up a share of the language's words (at most 1 / LEAST_SHARE of a kind)
     sizes = counted.filter("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("size"))
-    kept = counted.filter("kind != 'cue'").join(F.broadcast(sizes), "lang").filter((F.col("n") >= 2) & (F.col("n") >= LEAST_SHARE * F.col("size"))).select("lang", "kind", "word", "n")
+    kept = counted.filter("kind != 'cue'").join(F.broadcast(sizes), "lang").filter((F.col("n") >= 2) & (F.col("n") >= LEAST_SHARE * F.when(F.col("kind") == "dotnext", 0.25).otherwise(1.0) * F.col("size"))).select("lang", "kind", "word", "n")
     rows = kept.limit(MOST_ENTRIES + 1).collect()
     cues = set_cues.select("word").limit(MOST_ENTRIES + 1).collect()
     if max(len(rows), len(cues)) > MOST_ENTRIES:
