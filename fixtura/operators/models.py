@@ -1,11 +1,14 @@
 """Outcome models: multinomial logistic regression, histogram boosting, sigmoid calibration, blending.
 
 A grid's configurations are the parallel axis: each is one group, fitted in one task on the rows of
-the training window (bounded by `MOST_ROWS` labelled rows, the latest ones, a documented parameter).
+the training window (bounded by `MOST_ROWS` labelled rows of it, the latest ones, a documented
+parameter). The bound is for fitting only: fitted models go to the executors and score every row of
+the validation window.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fixtura.operators.gold import chronological_partition
+
 MOST_ROWS = 200_000
 C_VALUES = (0.001, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 #: Iterations, learning rate, leaves, least rows of a leaf, penalty.
@@ -202,19 +207,39 @@ def _xy(frame: pd.DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarra
     return frame[features].to_numpy(float), frame["target"].to_numpy(int)
 
 
-def logistic_grid(df: DataFrame, features: list[str], c_values: tuple[float, ...] = C_VALUES) -> DataFrame:
-    """Validation log loss of each C and class weight."""
-    spark = df.sparkSession
-    grid = [(i, c, b) for i, (c, b) in enumerate((c, b) for c in c_values for b in (False, True))]
+def _grid_losses(df: DataFrame, features: list[str], models: list, valid: DataFrame) -> DataFrame:
+    """(configuration, log_loss) over all rows of `valid`, of unfitted models fitted on the training rows."""
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        _, c, balanced = grid[int(frame["configuration"].iloc[0])]
-        train, valid = frame[frame["split"] == "train"], frame[frame["split"] == "validation"]
-        model = Logistic(c, balanced).fit(*_xy(train, features))
-        x, y = _xy(valid, features)
-        return pd.DataFrame([(c, "balanced" if balanced else "none", log_loss(model.predict(x), y))], columns=["c", "class_weight", "log_loss"])
+        k = int(frame["configuration"].iloc[0])
+        return pd.DataFrame([(k, pickle.dumps(models[k].fit(*_xy(frame, features))))], columns=["configuration", "model"])
+
+    spark = df.sparkSession
+    configurations = spark.createDataFrame([(k,) for k in range(len(models))], "configuration int")
+    rows = _per_configuration(_labelled(df.filter("split = 'train'"), features), configurations, fit, "configuration int, model binary").collect()
+    fitted = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in rows])
+
+    def score(batches):  # noqa: ANN001, ANN202
+        ready = [(k, pickle.loads(m)) for k, m in fitted.value]  # noqa: S301
+        for b in batches:
+            x, y = _xy(b, features)
+            yield pd.DataFrame([(k, len(y), log_loss(m.predict(x), y) * len(y)) for k, m in ready if len(y)], columns=["configuration", "n", "loss"])
 
-    return _per_configuration(_labelled(df, features), spark.createDataFrame([(g[0],) for g in grid], "configuration int"), fit, "c double, class_weight string, log_loss double")
+    scored = valid.filter("target is not null").select(F.col("target").cast("int").alias("target"), *features).mapInPandas(score, "configuration int, n long, loss double")
+    summed = scored.groupBy("configuration").agg((F.sum("loss") / F.sum("n")).alias("log_loss"))
+    return configurations.join(summed, "configuration", "left")
+
+
+def _listed(grid: list[tuple], schema: str, losses: DataFrame) -> DataFrame:
+    listed = losses.sparkSession.createDataFrame([(k, *g) for k, g in enumerate(grid)], f"configuration int, {schema}")
+    return listed.join(F.broadcast(losses), "configuration")
+
+
+def logistic_grid(df: DataFrame, features: list[str], c_values: tuple[float, ...] = C_VALUES) -> DataFrame:
+    """Validation log loss of each C and class weight."""
+    grid = [(c, b) for c in c_values for b in (False, True)]
+    losses = _grid_losses(df, features, [Logistic(c, b) for c, b in grid], df.filter("split = 'validation'"))
+    return _listed([(float(c), "balanced" if b else "none") for c, b in grid], "c double, class_weight string", losses).drop("configuration")
 
 
 def logistic_coefficients(df: DataFrame, features: list[str], c: float = 0.1) -> DataFrame:
@@ -228,17 +253,10 @@ def logistic_coefficients(df: DataFrame, features: list[str], c: float = 0.1) ->
 
 def boosting_grid(df: DataFrame, features: list[str], grid: tuple = BOOSTING) -> DataFrame:
     """Tuning-window log loss of each configuration."""
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        k = int(frame["configuration"].iloc[0])
-        train, valid = frame[frame["split"] == "train"], frame[frame["split"] == "validation"].sort_values(["kickoff_utc", "match_key"])
-        valid = valid.iloc[: int(len(valid) * 0.6)]
-        model = Boosting(*grid[k]).fit(*_xy(train, features))
-        x, y = _xy(valid, features)
-        return pd.DataFrame([(k, *grid[k], round(log_loss(model.predict(x), y), 5))], columns=["configuration", "iterations", "rate", "leaves", "least", "penalty", "log_loss"])
-
-    configurations = df.sparkSession.createDataFrame([(i,) for i in range(len(grid))], "configuration int")
-    return _per_configuration(_labelled(df, features), configurations, fit, "configuration int, iterations int, rate double, leaves int, least int, penalty double, log_loss double")
+    valid = chronological_partition(df.filter("split = 'validation' and target is not null"), 0.6).filter("part = 'tuning'")
+    losses = _grid_losses(df, features, [Boosting(*g) for g in grid], valid)
+    listed = _listed(list(grid), "iterations int, rate double, leaves int, least int, penalty double", losses)
+    return listed.withColumn("log_loss", F.round("log_loss", 5))
 
 
 def production_predict(df: DataFrame, features: list[str], weight: float = 0.5, c: float = 0.1, boosting: tuple = BOOSTING[1], fraction: float = 0.15) -> DataFrame:
