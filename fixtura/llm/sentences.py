@@ -8,24 +8,24 @@ classifies each candidate (period, ellipsis, quotation, line and cue break) with
 cues that stand word for word in documents of many languages are set pieces (adverts, credits): they
 are sentences of their own, and the sentence around them goes on.
 
-Counts are combined on the map side; what comes to the driver are only lists that pass a threshold,
-and their size is checked. Defined results: null, empty and blank texts have no sentence; a document
+Counts are combined on the map side and tested in Spark, however rare the word; what comes to the
+driver are only the words that pass, and their size is checked. Defined results: null, empty and blank texts have no sentence; a document
 without terminal marks ends a sentence with each cue; repeated rows of a document give one result.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixtura.llm.leakage import folding_table
@@ -35,7 +35,7 @@ CUE = "\x1e"
 MOST_ENTRIES = 500_000
 SET_CUE_DOCUMENTS, SET_CUE_LANGUAGES, SET_CUE_SHARE, SET_CUE_LENGTH = 5, 4, 0.7, (16, 100)
 ABBREVIATION_SCORE = 0.3
-LEAST_SHARE = 4e-6
+COMMON = 200
 
 #: Noise within a cue, looked for only where one of the characters stands that it can begin with.
 _NOISE = re.compile("|".join((SOUND.pattern, ENTITY.pattern, MARKUP.pattern)))
@@ -244,57 +244,69 @@ def observations(lang: str, counts: dict, out: Counter) -> None:
 _DIGITS = re.compile(r"\d+")
 
 
-def _llr(a: float, ab: float, n: float, p0: float) -> float:
-    """Dunning's log-likelihood ratio that `a` of `ab` come at a rate of 0.99 rather than p0."""
-    term = lambda k, m, p: k * math.log(max(p, 1e-12)) + (m - k) * math.log(max(1 - p, 1e-12))
-    return -2 * (term(a, ab, p0) - term(a, ab, 0.99))
-
-
-def build_models(rows: list[tuple[str, str, str, int]]) -> dict[str, Model]:
-    """Models from summed counts (lang, kind, word, n)."""
-    by: dict[str, dict[str, dict[str, int]]] = defaultdict(lambda: defaultdict(dict))
-    for lang, kind, word, n in rows:
-        by[lang][kind][word] = n
-    out = {}
-    for lang, kinds in by.items():
-        dot, plain = kinds["dot"], kinds["plain"]
-        total, dots = sum(dot.values()) + sum(plain.values()), sum(dot.values())
-        if not total:
-            continue
-        model = Model()
-        rate = dots / total
-        for word, n in kinds["start"].items():
-            seen = max(n, kinds["word"].get(word, 0))
-            if n >= 3:
-                model.starters[word] = n / seen
-        goes_on: Counter = Counter()
-        follows: Counter = Counter()
-        for pair, n in kinds["dotnext"].items():
-            word, _, after = pair.partition("\t")
-            follows[word] += n
-            known = kinds["word"].get(after, 0) >= 20 and max(model.starters.get(after, 0), model.starters.get(after.capitalize(), 0)) < 0.1
-            if after[0] == "#" or after[0].islower() and model.starters.get(after.capitalize(), 0) < 0.2 or known:
-                goes_on[word] += n
-        for word, n in dot.items():
-            rest = plain.get(word, 0)
-            letters = word.replace(".", "")
-            score = _llr(n, n + rest, total, rate) * math.exp(-len(letters)) * (word.count(".") + 1) * (n / (n + rest)) ** 8
-            on = goes_on[word] / max(1, follows[word])
-            # written with a period like no ordinary word, or followed by what starts no sentence
-            if n >= 3 and len(letters) == 1 and letters.isalpha() or n >= 3 and (follows[word] >= 3 and on >= 0.3 or score >= ABBREVIATION_SCORE and (on >= 0.1 or n >= 20 and kinds["dotend"].get(word, 0) < 0.01 * n and follows[word] > 0.8 * n)):
-                model.abbreviations[word] = kinds["dotend"].get(word, 0) / n
-        for word in {*kinds["pauseup"], *kinds["pauselow"]}:
-            up, low = kinds["pauseup"].get(word, 0), kinds["pauselow"].get(word, 0)
-            if up + low >= 3:
-                model.pauses[word] = up / (up + low)
-        quotes = sum(kinds["quote"].values())
-        for word, n in kinds["quote"].items():
-            seen = max(n, plain.get(word, 0) + dot.get(word, 0))
-            if n >= 5 and n > 0.6 * seen and n > 0.004 * quotes:
-                model.speech.add(word)
-        model.common = {w for w, n in sorted(kinds["word"].items(), key=lambda x: -x[1])[:200] if w.isalpha()}
-        out[lang] = model
-    return out
+def word_lists(counted: DataFrame) -> DataFrame:
+    """(lang, kind, word, value) of the words that pass, from summed counts (lang, kind, word, n).
+
+    Kinds: abbreviation (value: share of sure ends), starter and pause (shares of starts), speech, common.
+    Counts are taken together per word here, however rare; of the starters those whose share makes no
+    difference to `_starter` are left out.
+    """
+    c = F.col
+    languages = F.broadcast(
+        counted.groupBy("lang").agg(*[F.coalesce(F.sum(F.when(c("kind").isin(*kinds), c("n"))), F.lit(0)).alias(name) for name, kinds in (("total", ("dot", "plain")), ("dots", ("dot",)), ("quotes", ("quote",)))]).filter("total > 0")
+    )
+
+    def counts(*kinds: str) -> DataFrame:
+        sums = [F.coalesce(F.sum(F.when(c("kind") == k, c("n"))), F.lit(0)).alias(f"n_{k}") for k in kinds]
+        return counted.filter(c("kind").isin(*kinds)).groupBy("lang", "word").agg(*sums)
+
+    cased = counts("word", "start").withColumn("share", F.when(c("n_start") >= 3, c("n_start") / F.greatest("n_start", "n_word")))
+    head = F.substring("word", 1, 1)
+    starters = cased.filter((c("share") >= 0.4) | (c("share") < 0.2) & (F.lower(head) != head))
+    common = cased.filter("n_word > 0").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_word"), "word"))).filter(c("_n") <= COMMON)
+    pauses = counts("pauseup", "pauselow").filter(c("n_pauseup") + c("n_pauselow") >= 3)
+
+    # what follows a word with a period: does it go on?
+    after = F.split_part("word", F.lit("\t"), F.lit(2))
+    next_head = F.substring("after", 1, 1)
+    pairs = counted.filter("kind = 'dotnext'").select("lang", F.split_part("word", F.lit("\t"), F.lit(1)).alias("word"), after.alias("after"), "n")
+    pairs = pairs.withColumn("capital", F.concat(F.upper(next_head), F.lower(F.expr("substring(after, 2)"))))
+    known = cased.filter("n_word >= 20 or share is not null")
+    pairs = pairs.join(known.select("lang", c("word").alias("after"), c("n_word").alias("seen"), c("share").alias("own")), ["lang", "after"], "left")
+    pairs = pairs.join(known.filter("share is not null").select("lang", c("word").alias("capital"), c("share").alias("upper")), ["lang", "capital"], "left")
+    own, upper = F.coalesce("own", F.lit(0.0)), F.coalesce("upper", F.lit(0.0))
+    lower = (F.lower(next_head) == next_head) & (F.upper(next_head) != next_head)
+    goes_on = (next_head == "#") | lower & (upper < 0.2) | (F.coalesce("seen", F.lit(0)) >= 20) & (F.greatest(own, upper) < 0.1)
+    followed = pairs.groupBy("lang", "word").agg(F.sum("n").alias("follows"), F.coalesce(F.sum(F.when(goes_on, c("n"))), F.lit(0)).alias("goes_on"))
+
+    plain = counts("dot", "plain", "dotend", "quote").join(languages, "lang")
+    dotted = plain.filter("n_dot >= 3").join(followed, ["lang", "word"], "left").fillna(0, ["follows", "goes_on"])
+    n, both, rate = c("n_dot"), c("n_dot") + c("n_plain"), c("dots") / c("total")
+    letters = F.replace("word", F.lit("."), F.lit(""))
+    term = lambda p: n * F.log(F.greatest(p, F.lit(1e-12))) + c("n_plain") * F.log(F.greatest(1 - p, F.lit(1e-12)))
+    # Dunning's log-likelihood ratio that the periods come at a rate of 0.99 rather than at that of all words
+    ratio = -2 * (term(rate) - term(F.lit(0.99)))
+    score = ratio * F.exp(-F.length(letters)) * (F.length("word") - F.length(letters) + 1) * F.pow(n / both, F.lit(8))
+    on = c("goes_on") / F.greatest(F.lit(1), c("follows"))
+    # written with a period like no ordinary word, or followed by what starts no sentence
+    passes = letters.rlike(r"^\p{L}$") | (c("follows") >= 3) & (on >= 0.3) | (score >= ABBREVIATION_SCORE) & ((on >= 0.1) | (n >= 20) & (c("n_dotend") < 0.01 * n) & (c("follows") > 0.8 * n))
+    said = c("n_quote")
+    speech = plain.filter((said >= 5) & (said > 0.6 * F.greatest(said, both)) & (said > 0.004 * c("quotes")))
+    lists = ((dotted.filter(passes), "abbreviation", c("n_dotend") / n), (starters, "starter", c("share")), (pauses, "pause", c("n_pauseup") / (c("n_pauseup") + c("n_pauselow"))), (speech, "speech", F.lit(1.0)), (common, "common", F.lit(1.0)))
+    return reduce(DataFrame.unionByName, [rows.select("lang", F.lit(kind).alias("kind"), "word", value.alias("value")) for rows, kind, value in lists])
+
+
+def build_models(rows: list[tuple[str, str, str, float]]) -> dict[str, Model]:
+    """Models from listed words (lang, kind, word, value)."""
+    out: dict[str, Model] = defaultdict(Model)
+    for lang, kind, word, value in rows:
+        model = out[lang]
+        if kind in ("speech", "common"):
+            if kind == "speech" or word.isalpha():
+                getattr(model, kind).add(word)
+        else:
+            {"abbreviation": model.abbreviations, "starter": model.starters, "pause": model.pauses}[kind][word] = value
+    return dict(out)
 
 
 def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str, Model], set[int]]:
@@ -318,14 +330,12 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     counted = documents.select(F.col(text), F.col(lang).cast("string")).mapInArrow(observe, "lang string, kind string, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     from fixtura.session import cut_lineage
 
-    counted = cut_lineage(counted.filter("n >= 2"))
+    # of cues those that come again in a language; of words all
+    counted = cut_lineage(counted.filter("n >= 2 or kind != 'cue'"))
     named = F.col("lang") != "und"
     per_cue = counted.filter("kind = 'cue'").groupBy("word").agg(F.sum("n").alias("n"), F.max(F.when(named, F.col("n"))).alias("most"), F.sum(F.when(named, F.col("n"))).alias("named"), F.count_if(named).alias("languages"))
     set_cues = per_cue.filter((F.col("n") >= SET_CUE_DOCUMENTS) & (F.col("languages") >= SET_CUE_LANGUAGES) & (F.coalesce("most", F.lit(0)) < SET_CUE_SHARE * F.col("named")))
-    # of words only those that make up a share of the language's words (at most 1 / LEAST_SHARE of a kind)
-    sizes = counted.filter("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("size"))
-    kept = counted.filter("kind != 'cue'").join(F.broadcast(sizes), "lang").filter((F.col("n") >= 2) & (F.col("n") >= LEAST_SHARE * F.when(F.col("kind") == "dotnext", 0.25).otherwise(1.0) * F.col("size"))).select("lang", "kind", "word", "n")
-    rows = kept.limit(MOST_ENTRIES + 1).collect()
+    rows = word_lists(counted.filter("kind != 'cue'")).limit(MOST_ENTRIES + 1).collect()
     cues = set_cues.select("word").limit(MOST_ENTRIES + 1).collect()
     if max(len(rows), len(cues)) > MOST_ENTRIES:
         raise ValueError("more listed words than expected of the languages: raise the thresholds")

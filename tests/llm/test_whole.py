@@ -2,7 +2,7 @@
 
 from datetime import date, datetime
 
-from fixtura.llm import linkage
+from fixtura.llm import linkage, sentences
 
 
 # problem 1
@@ -19,3 +19,18 @@ def test_one_name_of_two_teams(spark):
     K = spark.createDataFrame(cur, "api_match_id long, competition_code string, season string, kickoff_utc timestamp, home_team_id long, away_team_id long, home_team string, away_team string, home_goals long, away_goals long")
     got = {(r[0], r[1]) for r in linkage.link_matches(H, K, comps).collect()}
     assert got == {(f"h{k}", 1000 + k) for k in range(24)}
+
+
+# problem 10
+def test_rare_abbreviations_of_a_large_corpus(spark):
+    counts = [("en", "plain", "ball", 2_000_000), ("en", "dot", "ball", 100_000), ("en", "word", "Smith", 30), ("en", "dot", "prof", 4), ("en", "start", "We", 50_000), ("en", "word", "We", 60_000), ("en", "start", "Rare", 3), ("en", "word", "Rare", 3)]
+    counts += [("en", "dotnext", f"prof\t{w}", 1) for w in ("mccabe", "bolton", "then", "Hayes")] + [("en", "dotnext", "ball\tWe", 90_000), ("en", "quote", "asked", 9), ("en", "plain", "asked", 1), ("en", "pauseup", "but", 1), ("en", "pauselow", "but", 2)]
+    model = sentences.build_models([tuple(r) for r in sentences.word_lists(spark.createDataFrame(counts, "lang string, kind string, word string, n long")).collect()])["en"]
+    assert model.abbreviations == {"prof": 0.0} and model.starters == {"We": 5 / 6, "Rare": 1.0}
+    assert model.speech == {"asked"} and model.common == {"Smith", "We", "Rare"} and model.pauses == {"but": 1 / 3}
+
+
+def test_words_seen_once_count(spark):
+    docs = [(k, f"1\n00:00:01,000 --> 00:00:02,000\nThe prof. {w} spoke. We left now.", "en") for k, w in enumerate(("alpha", "beta", "gamma", "delta"))]
+    models, _ = sentences.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert "prof" in models["en"].abbreviations
