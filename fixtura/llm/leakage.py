@@ -3,7 +3,8 @@
 All items become one Aho-Corasick automaton over normalised text: letters and digits only, accents
 and case dropped, letters that recognition confuses folded into one. Its patterns are the pieces of
 the items that belong to one or two items only, so that wording which many items share raises no
-candidates. Each document is normalised alike, read on across lines and cues, and scanned once. A
+candidates; where a long enough run of an item has too few of them (copies, overlapping items), all
+its pieces. Each document is normalised alike, read on across lines and cues, and scanned once. Every
 hit is then checked exactly: the item is aligned with the text around its hits, and counts if at
 least `least_words` running words (characters, in scripts without spaces) of it are found.
 
@@ -30,10 +31,12 @@ from fixtura.llm.subtitles import spoken
 LEAST_WORDS, LEAST_CHARACTERS = 15, 30
 MOST_ITEMS = 200_000
 PIECE, PIECE_UNSPACED = 10, 6
-#: Letters of the item that the rare pieces found of a long enough run cover at least, however worn.
+#: Letters of a long enough run that its rare pieces cover at least; where fewer, shared pieces stand in too.
 COVER, COVER_UNSPACED = 28, 12
 #: Text between two found words that may belong to neither: fillers, repeats, a label.
 MOST_BETWEEN = 40
+#: Alignments made at once, and texts whose alignments are gathered for it.
+ALIGNED, TEXTS = 32, 500
 
 #: Letters that recognition confuses, each group folded into its first.
 CONFUSED = ("li1j|", "o0", "s5", "ec", "hb", "tf", "a4", "g9q", "ト卜", "ニ二", "カ力", "ロ口", "エ工", "ハ八", "タ夕", "ヘへ", "一ー", "ミ三", "チ千", "日曰", "未末", "己已巳", "人入", "大太", "千干", "土士", "田由", "目自", "木本", "天夫", "问间", "候侯", "便使")
@@ -116,7 +119,8 @@ def prepare_items(items: list[tuple[int, str | None]]) -> list[Item]:
 
 
 def build_automaton(items: list[Item]):  # noqa: ANN201
-    """Automaton over the pieces that at most two items hold; a value is [(item index, offset)]."""
+    """Automaton over the pieces that at most two items hold, and over all pieces of runs that these
+    hardly cover; a value is [(item index, offset)]."""
     import ahocorasick
 
     where: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -124,31 +128,61 @@ def build_automaton(items: list[Item]):  # noqa: ANN201
         size = PIECE_UNSPACED if item.unspaced else PIECE
         for at in range(len(item.text) - size + 1):
             where[item.text[at : at + size]].append((i, at))
+    rare = {piece for piece, places in where.items() if len({i for i, _ in places}) <= 2}
+    asked = [_shared_pieces(item, rare) for item in items]
     automaton = ahocorasick.Automaton()
     for piece, places in where.items():
-        if len({i for i, _ in places}) <= 2:
-            automaton.add_word(piece, (len(piece), places))
+        if kept := places if piece in rare else [(i, at) for i, at in places if at in asked[i]]:
+            automaton.add_word(piece, (len(piece), kept))
     if len(automaton):
         automaton.make_automaton()
     return automaton
 
 
-def _align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of equal characters of the best local alignment of `a` with `b`."""
+def _shared_pieces(item: Item, rare: set[str]) -> set[int]:
+    """Offsets of all pieces of the shortest countable runs whose rare pieces cover too few letters."""
+    size, out = PIECE_UNSPACED if item.unspaced else PIECE, set()
+    is_rare = [item.text[at : at + size] in rare for at in range(len(item.text) - size + 1)]
+    last = length = 0
+    for first in range(len(item.units)):
+        while last < len(item.units) and length < item.least:
+            length += item.units[last][3]
+            last += 1
+        if length < item.least:
+            break
+        inside = range(item.units[first][0], item.units[last - 1][1] - size + 1)
+        if len({x for at in inside if is_rare[at] for x in range(at, at + size)}) < item.cover:
+            out.update(inside)
+        length -= item.units[first][3]
+    return out
+
+
+def _align(texts: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[int, int]]]:
+    """Of each (a, b), pairs of equal characters of the best local alignment of `a` with `b`; all are
+    worked out together, the shorter ones filled up with what equals nothing."""
     match, miss, gap = 2, -1, 1
-    n, m = len(a), len(b)
-    steps = (np.arange(m + 1) * gap).astype(np.int32)
-    h = np.zeros((n + 1, m + 1), dtype=np.int32)
-    against = {c: np.where(b == c, match, miss).astype(np.int32) for c in set(a.tolist())}
-    row, diagonal = np.empty(m + 1, np.int32), np.empty(m, np.int32)
-    for i, c in enumerate(a.tolist(), 1):
+    n, m = max(len(a) for a, _ in texts), max(len(b) for _, b in texts)
+    left, right = np.full((len(texts), n), 0xFFFFFFFF, np.uint32), np.full((len(texts), m), 0xFFFFFFFE, np.uint32)
+    for k, (a, b) in enumerate(texts):
+        left[k, : len(a)], right[k, : len(b)] = a, b
+    kind = np.int16 if match * n + gap * m < 32_000 else np.int32
+    steps = (np.arange(m + 1) * gap).astype(kind)
+    h = np.zeros((n + 1, len(texts), m + 1), dtype=kind)
+    row, diagonal = np.empty((len(texts), m + 1), kind), np.empty((len(texts), m), kind)
+    for i in range(1, n + 1):
         np.subtract(h[i - 1], gap, out=row)
         np.maximum(row, 0, out=row)
-        np.add(h[i - 1, :-1], against[c], out=diagonal)
-        np.maximum(row[1:], diagonal, out=row[1:])
+        np.multiply(right == left[:, i - 1 : i], kind(match - miss), out=diagonal)
+        diagonal += h[i - 1, :, :-1]
+        diagonal += kind(miss)
+        np.maximum(row[:, 1:], diagonal, out=row[:, 1:])
         row += steps
-        np.maximum.accumulate(row, out=h[i])
+        np.maximum.accumulate(row, axis=1, out=h[i])
         h[i] -= steps
+    return [_trace(h[: len(a) + 1, k, : len(b) + 1], a, b, match, miss, gap) for k, (a, b) in enumerate(texts)]
+
+
+def _trace(h: np.ndarray, a: np.ndarray, b: np.ndarray, match: int, miss: int, gap: int) -> list[tuple[int, int]]:
     i, j = np.unravel_index(int(h.argmax()), h.shape)
     pairs = []
     while i > 0 and j > 0 and h[i, j] > 0:
@@ -164,10 +198,13 @@ def _align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
 def longest_run(item: Item, text: str) -> tuple[int, int, int]:
     """(length, start, end): of the running words of the item found in `text`, and where."""
-    codes = lambda s: np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
-    return _run_of(item, dict(_align(codes(item.text), codes(text))))
+    return _run_of(item, dict(_align([(_codes(item.text), _codes(text))])[0]))
 
 
 def _run_of(item: Item, place: dict[int, int]) -> tuple[int, int, int]:
@@ -235,36 +272,38 @@ def _greedy_run(item: Item, text: str, doc: int, at: int) -> tuple[int, int, int
     return run if run[0] >= item.least else None
 
 
-def find_in_text(text: str, items: list[Item], automaton) -> list[tuple[int, int, int, int]]:  # noqa: ANN001
-    """(item id, length of the run, start, end in the condensed text) of the items a text contains."""
-    flat = condense(spoken(text))
-    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for end, (size, places) in automaton.iter(flat):
-        for i, at in places:
-            hits[i].append((end - size + 1, at))
-    out = []
-    for i, pairs in hits.items():
-        item = items[i]
-        size = PIECE_UNSPACED if item.unspaced else PIECE
-        best, low, slack = (0, 0, 0), 0, len(item.text) // 2 + 80
-        for k in range(len(pairs)):
-            if k + 1 < len(pairs) and abs((pairs[k + 1][0] - pairs[k + 1][1]) - (pairs[k][0] - pairs[k][1])) <= slack:
-                continue
-            own, low = pairs[low : k + 1], k + 1
-            if len({x for _, at in own for x in range(at, at + size)}) < item.cover:
-                continue
-            doc, at = own[len(own) // 2]
-            run = _greedy_run(item, flat, doc, at)
-            if run is None:
-                first, last = own[0], own[-1]
-                a = max(0, first[0] - first[1] * 3 // 2 - 60)
-                b = min(len(flat), last[0] + (len(item.text) - last[1]) * 3 // 2 + 60)
-                run = longest_run(item, flat[a:b])
-                run = (run[0], run[1] + a, run[2] + a)
-            best = max(best, run)
-        if best[0] >= item.least:
-            out.append((item.item_id, *best))
-    return out
+def find_in_texts(texts: list[str], items: list[Item], automaton) -> list[list[tuple[int, int, int, int]]]:  # noqa: ANN001
+    """Of each text, (item id, length of the run, start, end in the condensed text) of the items it contains."""
+    best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+    open_: list[tuple[int, int, int, str]] = []  # text, item, offset and characters still to align with
+    for t, text in enumerate(texts):
+        flat = condense(spoken(text))
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for end, (size, places) in automaton.iter(flat):
+            for i, at in places:
+                hits[i].append((end - size + 1, at))
+        for i, pairs in hits.items():
+            item = items[i]
+            low, slack = 0, len(item.text) // 2 + 80
+            for k in range(len(pairs)):
+                if k + 1 < len(pairs) and abs((pairs[k + 1][0] - pairs[k + 1][1]) - (pairs[k][0] - pairs[k][1])) <= slack:
+                    continue
+                own, low = pairs[low : k + 1], k + 1
+                run = _greedy_run(item, flat, *own[len(own) // 2])
+                if run is None:
+                    first, last = own[0], own[-1]
+                    a = max(0, first[0] - first[1] * 3 // 2 - 60)
+                    b = min(len(flat), last[0] + (len(item.text) - last[1]) * 3 // 2 + 60)
+                    open_.append((t, i, a, flat[a:b]))
+                else:
+                    best[t][i] = max(best[t].get(i, (0, 0, 0)), run)
+    open_.sort(key=lambda o: (len(items[o[1]].text), len(o[3])))
+    for k in range(0, len(open_), ALIGNED):
+        part = open_[k : k + ALIGNED]
+        for (t, i, a, _), pairs in zip(part, _align([(_codes(items[i].text), _codes(flat)) for _, i, _, flat in part]), strict=True):
+            length, start, end = _run_of(items[i], dict(pairs))
+            best[t][i] = max(best[t].get(i, (0, 0, 0)), (length, start + a, end + a))
+    return [[(items[i].item_id, *run) for i, run in runs.items() if run[0] >= items[i].least] for runs in best]
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_items: int = MOST_ITEMS) -> DataFrame:
@@ -280,9 +319,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
         for batch in batches:
             out = []
             if len(automaton):
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if t and d is not None:
-                        out += [(d, i, n) for i, n, _, _ in find_in_text(t, ready, automaton)]
+                given_texts = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and d is not None]
+                for k in range(0, len(given_texts), TEXTS):
+                    part = given_texts[k : k + TEXTS]
+                    for (d, _), found in zip(part, find_in_texts([t for _, t in part], ready, automaton), strict=True):
+                        out += [(d, i, n) for i, n, _, _ in found]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], names=["doc_id", "item_id", "run_length"])
 
     found = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, item_id long, run_length long")

@@ -2,7 +2,7 @@
 
 from datetime import date, datetime
 
-from fixtura.llm import linkage, sentences
+from fixtura.llm import leakage, linkage, sentences
 
 
 # problem 1
@@ -34,3 +34,21 @@ def test_words_seen_once_count(spark):
     docs = [(k, f"1\n00:00:01,000 --> 00:00:02,000\nThe prof. {w} spoke. We left now.", "en") for k, w in enumerate(("alpha", "beta", "gamma", "delta"))]
     models, _ = sentences.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
     assert "prof" in models["en"].abbreviations
+
+
+# problem 9
+ITEM = "Every apprentice in Vustinol borrowed seven wooden ladders from Zeclemis because clause 3920 allowed nothing else."
+
+
+def test_passages_that_many_items_hold(spark):
+    docs = spark.createDataFrame([(1, ITEM), (2, "nothing of the kind")], "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"Opening number {k * 7919}. {ITEM}") for k in range(5)], "item_id long, text string")
+    assert {(r[0], r[1]) for r in leakage.leaked_items(docs, items).collect()} == {(1, k) for k in range(5)}
+
+
+def test_worn_passages():
+    items = leakage.prepare_items([(1, ITEM)])
+    # 26 letters stand intact in a row, less than the former cover
+    worn = "".join("ж" if k % 9 == 4 and not 18 <= k < 36 else c for k, c in enumerate(leakage.condense(ITEM)))
+    found = leakage.find_in_texts([worn, "x" * 50], items, leakage.build_automaton(items))
+    assert [f[0] for f in found[0]] == [1] and found[1] == []
