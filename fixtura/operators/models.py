@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from fixtura.operators.gold import chronological_partition
 
 MOST_ROWS = 200_000
-C_VALUES = (0.001, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
+C_VALUES = (0.001, 0.01, 0.1, 0.5, 1.0, 2.0, 10.0, 100.0)
 #: Iterations, learning rate, leaves, least rows of a leaf, penalty.
-BOOSTING = ((60, 0.1, 7, 20, 0.0), (60, 0.1, 15, 20, 1.0), (100, 0.05, 7, 30, 1.0), (100, 0.05, 15, 30, 1.0), (40, 0.1, 31, 30, 1.0), (100, 0.03, 15, 50, 5.0))
+BOOSTING = ((200, 0.03, 7, 20, 1.0), (200, 0.05, 7, 20, 1.0), (300, 0.05, 15, 20, 1.0), (300, 0.05, 15, 30, 5.0), (400, 0.03, 31, 30, 5.0), (500, 0.02, 15, 40, 10.0))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -83,14 +83,15 @@ class Boosting:
         self.iterations, self.rate, self.leaves, self.least, self.penalty, self.bins = iterations, rate, leaves, least, penalty, bins
 
     def _codes(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], 1)
+        return np.asfortranarray(np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], 1))
 
     def _best(self, codes: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tuple[float, int, int]:
         best = (1e-12, -1, -1)
-        gt, ht = g[rows].sum(), h[rows].sum()
+        own_g, own_h = g[rows], h[rows]
+        gt, ht = own_g.sum(), own_h.sum()
         for j in range(codes.shape[1]):
             c = codes[rows, j]
-            gs, hs, ns = (np.cumsum(np.bincount(c, v, self.bins + 1))[:-1] for v in (g[rows], h[rows], None))
+            gs, hs, ns = (np.cumsum(np.bincount(c, v, self.bins + 1))[:-1] for v in (own_g, own_h, None))
             ok = (ns >= self.least) & (len(rows) - ns >= self.least)
             if not ok.any():
                 continue

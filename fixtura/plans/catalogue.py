@@ -492,13 +492,25 @@ def future_fixtures(spark: SparkSession, d: str) -> DataFrame:
     return matches(spark, d).filter("full_time_result is null").select("match_key", "season")
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
-    names = ["home_points_last_5", "away_points_last_5", "home_goal_difference_last_5", "away_goal_difference_last_5", "home_elo_pre", "away_elo_pre"]
-    m = _model(spark, d)
-    return m.select("match_key", "kickoff_utc", "split", "target", *[gold.feature(n).alias(f"x{i}") for i, n in enumerate(names)])
+#: The model features of the reference, in its order.
+FEATURES = (
+    "home_matches_played_before", "away_matches_played_before", "home_is_cold_start", "away_is_cold_start", "home_has_limited_history", "away_has_limited_history",
+    "home_points_last_5", "away_points_last_5", "form_points_difference", "home_goals_for_last_5", "away_goals_for_last_5", "recent_attack_difference",
+    "home_goals_against_last_5", "away_goals_against_last_5", "recent_defence_difference", "home_goal_difference_last_5", "away_goal_difference_last_5", "recent_goal_difference_difference",
+    "home_wins_last_5", "away_wins_last_5", "home_draws_last_5", "away_draws_last_5", "home_losses_last_5", "away_losses_last_5",
+    "home_average_points_last_5", "away_average_points_last_5", "average_form_difference", "home_days_since_previous_match", "away_days_since_previous_match", "rest_days_difference",
+    "home_elo_pre", "away_elo_pre", "elo_difference", "home_expected_score", "away_expected_score",
+)
+X = list(FEATURES)
 
 
-X = [f"x{i}" for i in range(6)]
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    rested = form.rest_days(form.team_history(matches(spark, d))).groupBy("match_key").agg(*[F.max(F.when(F.col("venue") == s, F.col("rest_days"))).alias(f"{s}_days_since_previous_match") for s in ("home", "away")])
+    m = _model(spark, d).join(rested, "match_key", "left")
+    m = m.withColumns({f"{s}_average_points_last_5": F.coalesce(F.try_divide(F.col(f"{s}_points_last_5"), F.nullif(F.least(F.col(f"{s}_matches_played_before"), F.lit(5)), F.lit(0))), F.lit(0.0)) for s in ("home", "away")})
+    gaps = {"form_points_difference": "points_last_5", "recent_attack_difference": "goals_for_last_5", "recent_defence_difference": "goals_against_last_5", "recent_goal_difference_difference": "goal_difference_last_5", "average_form_difference": "average_points_last_5", "rest_days_difference": "days_since_previous_match", "elo_difference": "elo_pre"}
+    m = m.withColumns({name: F.col(f"home_{c}") - F.col(f"away_{c}") for name, c in gaps.items()})
+    return m.select("match_key", "kickoff_utc", "split", "target", *[gold.feature(c).alias(c) for c in FEATURES])
 
 
 @query()

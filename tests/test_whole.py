@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 
 from fixtura.operators import models
+from fixtura.plans import catalogue
+
+from .conftest import SF
 
 
 def labelled(spark, n=600):
@@ -26,3 +29,16 @@ def test_the_bound_is_for_fitting_only(spark, monkeypatch):
     cut = int(len(whole) * 0.6)
     want = models.log_loss(models.Boosting(5, 0.1, 4, 5, 1.0).fit(*xy(last)).predict(x[:cut]), y[:cut])
     assert models.boosting_grid(df, ["x"], ((5, 0.1, 4, 5, 1.0),)).first().log_loss == pytest.approx(want, abs=1e-5)
+
+
+def test_models_see_the_features_and_grids_of_the_reference(spark):
+    assert len(catalogue.X) == 35 and len(models.BOOSTING) == 6 and {g[0] for g in models.BOOSTING} == {200, 300, 400, 500}
+    df = catalogue._features(spark, SF)
+    assert df.columns[4:] == catalogue.X
+    rows = df.collect()
+    assert len({r.match_key for r in rows}) == len(rows)
+    for r in rows:
+        assert all(r[c] is not None for c in catalogue.X)
+        assert r.form_points_difference == r.home_points_last_5 - r.away_points_last_5 and r.elo_difference == pytest.approx(r.home_elo_pre - r.away_elo_pre)
+        assert r.home_average_points_last_5 == pytest.approx(r.home_points_last_5 / max(1, min(5, r.home_matches_played_before)))
+    assert any(r.home_days_since_previous_match > 0 for r in rows) and any(r.away_losses_last_5 > 0 for r in rows)
