@@ -58,6 +58,8 @@ def form_as_of(matches: DataFrame, history: DataFrame, window_size: int = 5) ->
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_team_id").alias("team_id")) for s in ("home", "away")])).alias("s")
     asked = matches.filter("status != 'FINISHED'").select("match_key", "kickoff_utc", sides).select("match_key", "kickoff_utc", "s.side", "s.team_id", F.lit(None).cast("long").alias("points"))
     both = history.select("match_key", "kickoff_utc", F.col("venue").alias("side"), "team_id", "points").unionByName(asked)
-    last = Window.partitionBy("team_id").orderBy("kickoff_utc", "match_key").rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.slice(F.reverse(F.collect_list("points").over(last.rowsBetween(-window_size * 4, -1))), 1, window_size)
-    return both.withColumn("points_last", F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x)).select("match_key", "side", "points_last")
+    # fixtures take the number of the match that would be next, so the last played ones are a range of numbers
+    before = Window.partitionBy("team_id").orderBy("kickoff_utc", "match_key", "side").rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("team_id").orderBy("nth").rangeBetween(-window_size, -1)
+    numbered = both.withColumn("nth", F.count("points").over(before) + 1)
+    return numbered.withColumn("points_last", F.coalesce(F.sum("points").over(last), F.lit(0).cast("long"))).select("match_key", "side", "points_last")

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from fixtura.operators import models
+from fixtura.operators import form, models
 from fixtura.plans import catalogue
 
 from .conftest import SF
@@ -42,3 +42,15 @@ def test_models_see_the_features_and_grids_of_the_reference(spark):
         assert r.form_points_difference == r.home_points_last_5 - r.away_points_last_5 and r.elo_difference == pytest.approx(r.home_elo_pre - r.away_elo_pre)
         assert r.home_average_points_last_5 == pytest.approx(r.home_points_last_5 / max(1, min(5, r.home_matches_played_before)))
     assert any(r.home_days_since_previous_match > 0 for r in rows) and any(r.away_losses_last_5 > 0 for r in rows)
+
+
+def test_form_after_many_scheduled_fixtures(spark):
+    day = lambda k: datetime(2000, 1, 1) + timedelta(days=k)
+    schema = "match_key string, season string, kickoff_utc timestamp, status string, home_team_id string, away_team_id string, home_goals long, away_goals long, full_time_result string"
+    rows = [(f"a{k:02}", "2000", day(k), "FINISHED", "x", "y", 1, 0, "H") for k in range(7)] + [(f"b{k:02}", "2000", day(10 + k), "TIMED", "x", "y", None, None, None) for k in range(30)]
+    rows += [("c00", "2000", day(50), "FINISHED", "x", "y", 0, 0, "D"), ("c01", "2000", day(51), "TIMED", "x", "y", None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = {(r[0], r[1]): r[2] for r in form.form_as_of(df, form.team_history(df)).collect()}
+    assert [got[f"a{k:02}", "home"] for k in range(7)] == [0, 3, 6, 9, 12, 15, 15]
+    assert {got[f"b{k:02}", "home"] for k in range(30)} == {15} == {got["c00", "home"]}
+    assert got["c01", "home"] == 13 and got["c01", "away"] == 1
