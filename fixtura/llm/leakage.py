@@ -4,11 +4,12 @@ All items become one Aho-Corasick automaton over normalised text: letters and di
 and case dropped, letters that recognition confuses folded into one. Its patterns are the pieces of
 the items that belong to one or two items only, so that wording which many items share raises no
 candidates; where a long enough run of an item has too few of them (copies, overlapping items), all
-its pieces. Each document is normalised alike, read on across lines and cues, and scanned once. Every
+its pieces. Copies of an item are one to it. Each document is normalised alike, read on across lines and cues, and scanned once. Every
 hit is then checked exactly: the item is aligned with the text around its hits, and counts if at
-least `least_words` running words (characters, in scripts without spaces) of it are found.
+least `least_words` running words (characters, in scripts without spaces) of it are found. Where the
+run stands is mapped back to positions in the raw text.
 
-The items are few and their number is checked (`most_items`); documents are mapped in place, without
+The automaton is built once and broadcast behind a check of the items' number and letters; documents are mapped in place, without
 a shuffle. Defined results: null and empty documents contain nothing; items with null text, or with
 fewer words than `least_words`, are in no document; repeated documents and items give one row each.
 """
@@ -17,19 +18,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixtura.llm.subtitles import spoken
+from fixtura.llm.subtitles import spoken, spoken_mapped
 
 LEAST_WORDS, LEAST_CHARACTERS = 15, 30
-MOST_ITEMS = 200_000
+#: Bounds of what is broadcast: items and their letters (the automaton takes some hundred bytes a letter).
+MOST_ITEMS, MOST_CHARACTERS = 200_000, 2_000_000
 PIECE, PIECE_UNSPACED = 10, 6
 #: Letters of a long enough run that its rare pieces cover at least; where fewer, shared pieces stand in too.
 COVER, COVER_UNSPACED = 28, 12
@@ -37,6 +40,8 @@ COVER, COVER_UNSPACED = 28, 12
 MOST_BETWEEN = 40
 #: Alignments made at once, and texts whose alignments are gathered for it.
 ALIGNED, TEXTS = 32, 500
+#: Share of a countable run from which on the whole item is aligned.
+NEAR = 0.6
 
 #: Letters that recognition confuses, each group folded into its first.
 CONFUSED = ("li1j|", "o0", "s5", "ec", "hb", "tf", "a4", "g9q", "ト卜", "ニ二", "カ力", "ロ口", "エ工", "ハ八", "タ夕", "ヘへ", "一ー", "ミ三", "チ千", "日曰", "未末", "己已巳", "人入", "大太", "千干", "土士", "田由", "目自", "木本", "天夫", "问间", "候侯", "便使")
@@ -77,6 +82,10 @@ class Item:
     text: str  # condensed
     units: list[tuple[int, int, bool, int]]  # start, end in `text`; rare; length that counts
     unspaced: bool
+    starts: list[int] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.starts = [u[0] for u in self.units]
 
     @property
     def least(self) -> int:
@@ -272,10 +281,31 @@ def _greedy_run(item: Item, text: str, doc: int, at: int) -> tuple[int, int, int
     return run if run[0] >= item.least else None
 
 
+def _around(item: Item, first: int, last: int) -> tuple[int, int]:
+    """Letters of the item that any shortest countable run through the letters first..last lies in."""
+    a, b = bisect_right(item.starts, first) - 1, bisect_right(item.starts, last) - 1
+    for _ in range(2):  # a run may begin or end on a worn word
+        a, b = max(0, a - 1), min(len(item.units) - 1, b + 1)
+    before = after = 0
+    while a > 0 and before < 1.5 * item.least:
+        a -= 1
+        before += item.units[a][3]
+    while b + 1 < len(item.units) and after < 1.5 * item.least:
+        b += 1
+        after += item.units[b][3]
+    return item.units[a][0], item.units[b][1]
+
+
 def find_in_texts(texts: list[str], items: list[Item], automaton) -> list[list[tuple[int, int, int, int]]]:  # noqa: ANN001
-    """Of each text, (item id, length of the run, start, end in the condensed text) of the items it contains."""
+    """Of each text, (item id, length of the run, start, end in the condensed text) of the items it contains.
+
+    A hit that cannot simply be followed is aligned twice: first the part of the item that a countable
+    run through the hit needs and as much again by half, which settles nearly all of them; of those
+    that come near to passing, the whole item.
+    """
     best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-    open_: list[tuple[int, int, int, str]] = []  # text, item, offset and characters still to align with
+    open_: list[tuple] = []  # text, item, offset and characters to align with, letters of the item
+    whole: dict[tuple[int, int, int], tuple] = {}
     for t, text in enumerate(texts):
         flat = condense(spoken(text))
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -285,46 +315,91 @@ def find_in_texts(texts: list[str], items: list[Item], automaton) -> list[list[t
         for i, pairs in hits.items():
             item = items[i]
             low, slack = 0, len(item.text) // 2 + 80
+
+            def span(own: list[tuple[int, int]], a: int, b: int, flat: str = flat) -> tuple[int, str]:
+                start = max(0, own[0][0] - (own[0][1] - a) * 3 // 2 - 60)
+                return start, flat[start : min(len(flat), own[-1][0] + (b - own[-1][1]) * 3 // 2 + 60)]
+
             for k in range(len(pairs)):
                 if k + 1 < len(pairs) and abs((pairs[k + 1][0] - pairs[k + 1][1]) - (pairs[k][0] - pairs[k][1])) <= slack:
                     continue
                 own, low = pairs[low : k + 1], k + 1
                 run = _greedy_run(item, flat, *own[len(own) // 2])
                 if run is None:
-                    first, last = own[0], own[-1]
-                    a = max(0, first[0] - first[1] * 3 // 2 - 60)
-                    b = min(len(flat), last[0] + (len(item.text) - last[1]) * 3 // 2 + 60)
-                    open_.append((t, i, a, flat[a:b]))
+                    a, b = _around(item, min(at for _, at in own), max(at for _, at in own))
+                    open_.append((t, i, *span(own, a, b), a, b))
+                    whole[t, i, open_[-1][2]] = (t, i, *span(own, 0, len(item.text)), 0, len(item.text))
                 else:
                     best[t][i] = max(best[t].get(i, (0, 0, 0)), run)
-    open_.sort(key=lambda o: (len(items[o[1]].text), len(o[3])))
-    for k in range(0, len(open_), ALIGNED):
-        part = open_[k : k + ALIGNED]
-        for (t, i, a, _), pairs in zip(part, _align([(_codes(items[i].text), _codes(flat)) for _, i, _, flat in part]), strict=True):
-            length, start, end = _run_of(items[i], dict(pairs))
-            best[t][i] = max(best[t].get(i, (0, 0, 0)), (length, start + a, end + a))
-    return [[(items[i].item_id, *run) for i, run in runs.items() if run[0] >= items[i].least] for runs in best]
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_items: int = MOST_ITEMS) -> DataFrame:
-    """(doc_id, item_id, run_length) of each document and item of which it holds a long enough run."""
-    rows = items.select(F.col(item_id).cast("long"), F.col(item_text)).distinct().limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} items: scan them in parts")
-    given = [(r[0], r[1]) for r in rows]
+    passed = [whole[key] for key in _runs(open_, items, best)]
+    _runs(passed, items, best)
+    return [[(items[i].item_id, *run) for i, run in runs.items()] for runs in best]
+
+
+def _runs(asked: list[tuple], items: list[Item], best: list[dict[int, tuple[int, int, int]]]) -> list[tuple]:
+    """Aligns what is asked, enters the runs that are long enough into `best`, and names what comes near."""
+    asked, passed = sorted(asked, key=lambda o: (o[5] - o[4], len(o[3]))), []
+    for k in range(0, len(asked), ALIGNED):
+        part = asked[k : k + ALIGNED]
+        for (t, i, at, _, a, _), pairs in zip(part, _align([(_codes(items[i].text[a:b]), _codes(flat)) for _, i, _, flat, a, b in part]), strict=True):
+            length, start, end = _run_of(items[i], {a + x: y for x, y in pairs})
+            if length >= items[i].least:
+                best[t][i] = max(best[t].get(i, (0, 0, 0)), (length, start + at, end + at))
+            if length >= NEAR * items[i].least:
+                passed.append((t, i, at))
+    return passed
+
+
+def _pieces_of(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the shortest parts of a text that can be put into NFC on their own."""
+    start = 0
+    for k in range(1, len(text)):
+        if not unicodedata.combining(text[k]) and unicodedata.normalize("NFC", text[k - 1 : k + 1]) == unicodedata.normalize("NFC", text[k - 1]) + unicodedata.normalize("NFC", text[k]):
+            yield start, k
+            start = k
+    if text:
+        yield start, len(text)
+
+
+def condense_mapped(text: str) -> tuple[str, list[int]]:
+    """As `condense(spoken(text))`, with the raw position of each letter."""
+    flat, places = spoken_mapped(text)
+    out, at = [], []
+    whole = flat.isascii() or unicodedata.is_normalized("NFC", flat)
+    for a, b in ((k, k + 1) for k in range(len(flat))) if whole else _pieces_of(flat):
+        letters = condense(flat[a:b])
+        out.append(letters)
+        at += [places[a]] * len(letters)
+    return "".join(out), at
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_items: int = MOST_ITEMS, most_characters: int = MOST_CHARACTERS) -> DataFrame:
+    """(doc_id, item_id, run_length, start_pos, end_pos) of each document and item of which it holds a
+    long enough run: its length and the raw 0-based positions of its first and last letter, of the
+    longest run (of several rows of one document, the greatest)."""
+    rows = items.select(F.col(item_id).cast("long"), F.col(item_text)).filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).distinct()
+    total = rows.agg(F.count("*"), F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()
+    if total[0] > most_items or total[1] > most_characters:
+        raise ValueError(f"more than {most_items} items or {most_characters} characters: scan them in parts")
+    # copies of one item are one item to the automaton; its hits go to all their ids
+    copies: dict[str, tuple[str, list[int]]] = {}
+    for i, t in rows.collect():
+        copies.setdefault(condense(t), (t, []))[1].append(i)
+    ready = prepare_items([(k, t) for k, (t, _) in enumerate(copies.values())])
+    shared = documents.sparkSession.sparkContext.broadcast((ready, build_automaton(ready), [ids for _, ids in copies.values()]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = prepare_items(given)
-        automaton = build_automaton(ready)
+        known, automaton, ids = shared.value  # read once per worker
         for batch in batches:
             out = []
             if len(automaton):
                 given_texts = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and d is not None]
-                for k in range(0, len(given_texts), TEXTS):
-                    part = given_texts[k : k + TEXTS]
-                    for (d, _), found in zip(part, find_in_texts([t for _, t in part], ready, automaton), strict=True):
-                        out += [(d, i, n) for i, n, _, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], names=["doc_id", "item_id", "run_length"])
-
-    found = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, item_id long, run_length long")
-    return found.groupBy("doc_id", "item_id").agg(F.max("run_length").alias("run_length"))
+                for at in range(0, len(given_texts), TEXTS):
+                    part = given_texts[at : at + TEXTS]
+                    for (d, t), found in zip(part, find_in_texts([t for _, t in part], known, automaton), strict=True):
+                        places = condense_mapped(t)[1] if found else []
+                        out += [(d, item, n, places[a], places[b]) for k, n, a, b in found for item in ids[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "run_length", "start_pos", "end_pos"])
+
+    found = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, item_id long, run_length long, start_pos long, end_pos long")
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("run_length", "start_pos", "end_pos")).alias("r")).select("doc_id", "item_id", "r.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 _CLOCK = r"(?:\d{1,3}:)?\d{1,2}:\d{2}[.,]\d{1,3}"
 #: A cue's start: its number, if it has one, on a line of its own and the line with its times.
@@ -91,3 +92,33 @@ def spoken(text: str) -> str:
     if not joined.isascii():
         joined = unmangle(joined)
     return SOUND.sub(" ", joined)
+
+
+def _sub_mapped(pattern: re.Pattern, said: Callable[[re.Match], str], text: str, at: list[int]) -> tuple[str, list[int]]:
+    out, places, last = [], [], 0
+    for m in pattern.finditer(text):
+        new = said(m)
+        out += (text[last : m.start()], new)
+        places += at[last : m.start()]
+        places += [at[m.start()]] * len(new)
+        last = m.end()
+    out.append(text[last:])
+    return "".join(out), places + at[last:]
+
+
+def spoken_mapped(text: str) -> tuple[str, list[int]]:
+    """As `spoken`, with the raw position of each character."""
+    joined, at = "", []
+    for k, (a, b) in enumerate(cues(text)):
+        if k:
+            joined += " "
+            at.append(a)
+        joined += text[a:b]
+        at += range(a, b)
+    if "<" in joined or "{" in joined or not joined.isascii():
+        joined, at = _sub_mapped(MARKUP, lambda _: "", joined, at)
+    if "&" in joined:
+        joined, at = _sub_mapped(ENTITY, lambda m: html.unescape(m.group()), joined, at)
+    if not joined.isascii():
+        joined, at = unmangle_mapped(joined, at)
+    return _sub_mapped(SOUND, lambda _: " ", joined, at)

@@ -52,3 +52,13 @@ def test_worn_passages():
     worn = "".join("ж" if k % 9 == 4 and not 18 <= k < 36 else c for k, c in enumerate(leakage.condense(ITEM)))
     found = leakage.find_in_texts([worn, "x" * 50], items, leakage.build_automaton(items))
     assert [f[0] for f in found[0]] == [1] and found[1] == []
+
+
+def test_copies_of_items_and_places_in_the_raw_text(spark):
+    raw = "<i>Heading</i>\n\n" + ITEM.replace("wooden", "w&#111;oden").replace("from", "[coughs] from")
+    docs = spark.createDataFrame([(1, raw), (2, "nothing of the kind")], "doc_id long, text string")
+    for copies in (1, 2, 3, 5):
+        items = spark.createDataFrame([(k, ITEM + "!" * (k % 2)) for k in range(copies)], "item_id long, text string")
+        found = leakage.leaked_items(docs, items).collect()
+        assert {(r[0], r[1]) for r in found} == {(1, k) for k in range(copies)}
+        assert {raw[r.start_pos : r.end_pos + 1] for r in found} == {raw[raw.index("Every") : -1]}
