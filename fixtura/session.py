@@ -26,13 +26,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where none is named (tests on one machine) a temporary folder of this machine is set.
+    Only a session of one machine (tests) that names none gets a temporary folder; a cluster must name one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None:
+            if not context.master.startswith("local"):
+                raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="fixtura-checkpoint-")
