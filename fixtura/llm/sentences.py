@@ -22,6 +22,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
+from operator import itemgetter
 
 import pyarrow as pa
 import xxhash
@@ -29,10 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixtura.llm.leakage import folding_table
-from fixtura.llm.subtitles import ENTITY, MARKUP, SOUND, unmangle, unmangle_mapped
+from fixtura.llm.subtitles import ENTITY, MARKUP, SOUND, SURELY_MISREAD, cue_spans, unmangle_mapped
+from fixtura.operators.joins import join_lookup
+from fixtura.session import cut_lineage
 
 CUE = "\x1e"
+_begin = itemgetter(0)
 MOST_ENTRIES = 500_000
+#: Distinct counts that a task holds before it hands them on.
+HELD = 1_000_000
 SET_CUE_DOCUMENTS, SET_CUE_LANGUAGES, SET_CUE_SHARE, SET_CUE_LENGTH = 5, 4, 0.7, (16, 100)
 ABBREVIATION_SCORE = 0.3
 COMMON = 200
@@ -40,22 +47,24 @@ COMMON = 200
 #: Noise within a cue, looked for only where one of the characters stands that it can begin with.
 _NOISE = re.compile("|".join((SOUND.pattern, ENTITY.pattern, MARKUP.pattern)))
 _NOISE_BEGINS = re.compile("[\\[(（【*♪♫♬&<{\u200b-\u200f\u2060\ufeff\u00ad]")
-_ARROW_LINE = re.compile(r"[\ufeff \t]*(?:\d{1,3}:)?\d{1,2}:\d{2}[.,]\d{1,3}[ \t]*-->")
 _HEADER = re.compile(r"\A﻿?WEBVTT[^\n]*")
 _CLOSE = r"(?:[   ]?»|[\"”“’'\)\]』」】）])*"
-_TERMINAL = re.compile(rf"(?:[.!?…]+|[。！？؟।॥]+[.…]*)(?P<close>{_CLOSE})")
-_MARKS_OR_GAP = rf"(?P<term>[.!?…。！？؟।॥]+)(?P<close>{_CLOSE})|(?P<gap>[\n{CUE}][\s{CUE}]*)"
+_TERMS = frozenset(".!?…。！？؟।॥")
+_LABELLED = r"[A-ZÀ-ÞА-ЯЁ][A-ZÀ-ÞА-ЯЁ.'’-]{2,24}(?: [A-ZÀ-Þ.]{1,20})?:[  ]"
+_MARKS_OR_GAP = rf"(?P<term>[.!?…。！？؟।॥]+)(?P<close>{_CLOSE})|(?P<gap>[\n{CUE}][\s{CUE}]*+)"
 _CANDIDATE = re.compile(_MARKS_OR_GAP)
+#: As before, but of the gaps those that can end a sentence outside a dialogue: before a dash, a label or nothing.
+_FEWER = re.compile(_MARKS_OR_GAP + rf"(?=[-–‐‑]|{_LABELLED}|\Z)")
 _THAI_CANDIDATE = re.compile(_MARKS_OR_GAP + "|(?P<space>(?<=[\u0e00-\u0e7f”\"]) (?=[\u0e00-\u0e7f“\"]))")
-_LABEL = re.compile(r"[A-ZÀ-ÞА-ЯЁ][A-ZÀ-ÞА-ЯЁ.'’-]{2,24}(?: [A-ZÀ-Þ.]{1,20})?:[  ]")
+_LABEL = re.compile(_LABELLED)
 _DASH = re.compile(r"[-–‐‑][  ]*(?=\S)")
 _WORD = re.compile(r"[^\W_](?:[^\s\x1e]*[^\W_])?|\S")
 _NEXT = re.compile(r"[\s\x1e]*([«„“\"'‘¿¡(\[『「—–-]*[   ]?)([^\s\x1e]+)")
 _CASED = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ]")
-_THAI = re.compile(r"[฀-๿]")
+_THAI = re.compile(r"[฀-๿]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
 _TOKEN = re.compile(r"\S+")
-_QUOTES = "»”“’\"』」"
+_QUOTES = frozenset("»”“’\"』」")
 _STRONG = "!?。！？؟।॥"
 
 
@@ -74,47 +83,41 @@ class Text:
         return self._map[place] if self._map else place
 
 
-def _cue_spans(raw: str) -> list[tuple[int, int]]:
-    """Where the number and times of each cue stand."""
-    spans, at = [], raw.find("-->")
-    while at >= 0:
-        line = raw.rfind("\n", 0, at) + 1
-        end = raw.find("\n", at) + 1 or len(raw)
-        if _ARROW_LINE.match(raw, line):
-            if line:
-                above = raw.rfind("\n", 0, line - 1) + 1
-                if raw[above : line - 1].strip("\ufeff \t\r").removeprefix("-").isdecimal():
-                    line = above
-            spans.append((line, end))
-        at = raw.find("-->", end)
-    return spans
-
-
 def running_text(raw: str) -> Text:
     mapped = None
-    if not raw.isascii() and unmangle(raw) is not raw:
+    if not raw.isascii() and SURELY_MISREAD.search(raw):
         raw, mapped = unmangle_mapped(raw, list(range(len(raw))))
-    parts: list[str] = []
-    clean, place, size = [0], [0], 0
     head = _HEADER.match(raw)
     last = head.end() if head else 0
-    spans = [(a, b, None) for a, b in _cue_spans(raw) if b > last]
+    spans = cue_spans(raw)
     noise, free = [], last
     for b in _NOISE_BEGINS.finditer(raw, last):
-        if b.start() >= free and (m := _NOISE.match(raw, b.start())):
-            noise.append((m.start(), m.end(), m.group()))
+        at = b.start()
+        if at >= free and (m := _NOISE.match(raw, at)):
             free = m.end()
-    for a, b, what in sorted(spans + noise, key=lambda x: x[0]) if noise else spans:
+            noise.append((at, free, m.group()))
+    if not noise and (not spans or spans[0][0] >= last):
+        begins = [last, *[b for _, b in spans]]
+        pieces = [raw[b:a] for b, a in zip(begins, [*[a for a, _ in spans], len(raw)], strict=True)]
+        return Text(CUE.join(pieces), [0, *accumulate([len(c) + 1 for c in pieces[:-1]])], begins, mapped)
+    parts: list[str] = []
+    clean, place, size = [0], [0], 0
+    for a, b, what in sorted([(a, b, None) for a, b in spans] + noise, key=_begin):
         if a < last:
             if b <= last or what is not None:
                 continue
             a = last
-        for piece, at in ((raw[last:a], last), (CUE if what is None else _said(what), b - 1 if what and what[0] == "&" else a)):
-            if piece:
-                clean.append(size)
-                place.append(at)
-                parts.append(piece)
-                size += len(piece)
+        if last < a:
+            clean.append(size)
+            place.append(last)
+            parts.append(raw[last:a])
+            size += a - last
+        said = CUE if what is None else _said(what)
+        if said:
+            clean.append(size)
+            place.append(b - 1 if what and what[0] == "&" else a)
+            parts.append(said)
+            size += len(said)
         last = b
     clean.append(size)
     place.append(last)
@@ -130,11 +133,15 @@ def _said(noise: str) -> str:
 
 
 _KEEP_CUES = folding_table(CUE)
+#: Letters of a set piece that are compared before its whole wording is.
+HEAD = 3
 
 
-def cue_keys(text: str) -> list[int | None]:
-    """For each cue of a running text a hash of its wording, if it could be a set piece."""
-    return [xxhash.xxh64_intdigest(c) - (1 << 63) if SET_CUE_LENGTH[0] <= len(c) <= SET_CUE_LENGTH[1] else None for c in text.translate(_KEEP_CUES).split(CUE)]
+def cue_keys(text: str) -> list[str]:
+    """The key of each cue of a running text that could be a set piece: the first letters of its
+    wording, and a hash of it all."""
+    least, most = SET_CUE_LENGTH
+    return [c[:HEAD] + str(xxhash.xxh64_intdigest(c)) for c in text.translate(_KEEP_CUES).split(CUE) if least <= len(c) <= most]
 
 
 def first_word(text: str) -> str:
@@ -158,9 +165,9 @@ class Model:
     common: set[str] = field(default_factory=set)
 
 
-_UPPER, _LOWER, _ANY = re.compile(r"[A-ZÀ-ÞА-ЯЁ]"), re.compile(r"[a-zß-ÿа-яё]"), re.compile(r"[^\W_]")
+_UPPER, _LOWER, _ANY = re.compile(r"[A-ZÀ-ÞА-ЯЁ]+"), re.compile(r"[a-zß-ÿа-яё]+"), re.compile(r"[^\W_]")
 #: Scripts that by themselves tell a language.
-_SCRIPTS = (("th", re.compile(r"[\u0e00-\u0e7f]")), ("ja", re.compile(r"[\u3040-\u30ff]")), ("zh", re.compile(r"[\u4e00-\u9fff]")), ("hi", re.compile(r"[\u0900-\u097f]")), ("ar", re.compile(r"[\u0600-\u06ff]")), ("ru", re.compile(r"[\u0400-\u04ff]")))
+_SCRIPTS = (("th", re.compile(r"[\u0e00-\u0e7f]+")), ("ja", re.compile(r"[\u3040-\u30ff]+")), ("zh", re.compile(r"[\u4e00-\u9fff]+")), ("hi", re.compile(r"[\u0900-\u097f]+")), ("ar", re.compile(r"[\u0600-\u06ff]+")), ("ru", re.compile(r"[\u0400-\u04ff]+")))
 
 
 _NOT_UPPER, _NOT_LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -171,7 +178,7 @@ def _case(text: str) -> str:
     plain = text.encode("ascii", "ignore")
     up, low = len(plain) - len(plain.translate(None, _NOT_UPPER)), len(plain) - len(plain.translate(None, _NOT_LOWER))
     if (up + low) * 4 < len(text):
-        up, low = len(_UPPER.findall(text)), len(_LOWER.findall(text))
+        up, low = _letters(_UPPER, text), _letters(_LOWER, text)
     letters = up + low
     if letters * 4 < len(text):
         return "none"
@@ -180,11 +187,11 @@ def _case(text: str) -> str:
 
 _MARKS = frozenset(".!?…؟।॥»”\"")
 _AFTER_QUOTE = re.compile(r"[.!?…,][\xa0\u202f]?[»”“’\"][ \n\xa0]+(\S+)(?: (\S+)(?: (\S+))?)?")
-_DIALOGUE = re.compile(r"^[ \t]*[-–‐‑][ \t\xa0]*(\S+)(?:[^\n]*[ \t])?(\S*)[ \t\r]*$", re.M)
+_DIALOGUE = re.compile(r"\n[ \t]*[-–‐‑][ \t\xa0]*(\S+)(?:[^\n]*[ \t])?(\S*)[ \t\r]*(?=\n)")
 _OPEN = "«„“\"'‘¿¡(—–-"
 
 
-def count_document(raw: str, counts: dict[str, Counter]) -> list[int | None]:
+def count_document(raw: str, counts: dict[str, Counter]) -> list[str]:
     """Adds a document's raw observations (tokens, pairs around marks) to the counters of its
     language, all by C code; they are made sense of once per distinct token, in `observations`."""
     text = running_text(raw).text
@@ -195,7 +202,7 @@ def count_document(raw: str, counts: dict[str, Counter]) -> list[int | None]:
     case = _case(flat)
     counts["pair", case].update([(a, b) for a, b in zip(tokens, tokens[1:], strict=False) if a[-1] in _MARKS])
     counts["quote"].update(_AFTER_QUOTE.findall(flat))
-    counts["dialogue"].update(_DIALOGUE.findall(flat))
+    counts["dialogue"].update(_DIALOGUE.findall(f"\n{flat}\n"))
     counts["begin"].update(tokens[:1])
     return keys
 
@@ -309,27 +316,30 @@ def build_models(rows: list[tuple[str, str, str, float]]) -> dict[str, Model]:
     return dict(out)
 
 
-def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str, Model], set[int]]:
-    """(models by language, hashes of set cues) from all documents."""
+def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str, Model], set[str]]:
+    """(models by language, keys of set cues) from all documents."""
+
+    def rows(out: Counter) -> pa.RecordBatch:
+        keys = list(out)
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(list(out.values()), pa.int64())], names=["lang", "kind", "word", "n"])
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: Counter = Counter()
         for batch in batches:
             raw: dict[str, dict] = defaultdict(lambda: defaultdict(Counter))
-            out: Counter = Counter()
             for t, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if t:
                     code = (code or "und").strip().lower()
                     for key in set(count_document(t, raw[code])):
-                        if key is not None:
-                            out[code, "cue", str(key)] += 1
+                        out[code, "cue", key] += 1
             for code, counts in raw.items():
                 observations(code, counts, out)
-            keys = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([out[k] for k in keys], pa.int64())], names=["lang", "kind", "word", "n"])
+            if len(out) > HELD:
+                yield rows(out)
+                out = Counter()
+        yield rows(out)
 
     counted = documents.select(F.col(text), F.col(lang).cast("string")).mapInArrow(observe, "lang string, kind string, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
-    from fixtura.session import cut_lineage
-
     # of cues those that come again in a language; of words all
     counted = cut_lineage(counted.filter("n >= 2 or kind != 'cue'"))
     named = F.col("lang") != "und"
@@ -339,57 +349,62 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     cues = set_cues.select("word").limit(MOST_ENTRIES + 1).collect()
     if max(len(rows), len(cues)) > MOST_ENTRIES:
         raise ValueError("more listed words than expected of the languages: raise the thresholds")
-    return build_models([tuple(r) for r in rows]), {int(r[0]) for r in cues}
+    return build_models([tuple(r) for r in rows]), {r[0] for r in cues}
 
 
 _FAR = re.compile(r"[\u0400-\uffef](?<![\u2000-\u2fff])")
 
 
+def _letters(script: re.Pattern, text: str) -> int:
+    """How many characters lie in the runs of a script."""
+    return sum(map(len, script.findall(text)))
+
+
 def language_of(text: str, models: dict[str, Model], said: str) -> str:
     """The language of a text: by its script, else by whose commonest words it has most of; its
     label settles a tie."""
     if not text.isascii() and _FAR.search(text):
         for code, script in _SCRIPTS:
-            if len(script.findall(text)) * 8 > len(text):
+            if _letters(script, text) * 8 > len(text):
                 return code
-    votes: Counter = Counter({said: 0.5})
-    known = _inverted(models)
-    for word in set(text.split()):
-        for code in known.get(word, ()):
-            votes[code] += 1
-    return max(votes, key=lambda c: votes[c])
+    known, best, most = set(text.split()), said, 0.0
+    for code, words in _common_words(models):
+        votes = len(known & words) + 0.5 * (code == said)
+        if votes > most:
+            best, most = code, votes
+    return best
 
 
-_index: tuple[int, dict[str, list[str]]] = (0, {})
+_common: tuple[object, list[tuple[str, set[str]]]] = (None, [])
 
 
-def _inverted(models: dict[str, Model]) -> dict[str, list[str]]:
-    """The languages that each common word is common in; made once per set of models."""
-    global _index
-    if _index[0] != id(models):
-        words: dict[str, list[str]] = defaultdict(list)
-        for code, model in models.items():
-            if code != "und":
-                for word in model.common:
-                    words[word].append(code)
-        _index = (id(models), dict(words))
-    return _index[1]
+def _common_words(models: dict[str, Model]) -> list[tuple[str, set[str]]]:
+    """The common words of each language, listed once per set of models."""
+    global _common
+    if _common[0] is not models:
+        _common = (models, [(code, model.common) for code, model in models.items() if code != "und" and model.common])
+    return _common[1]
 
 
-def _split_set_cues(text: str, set_cues: set[int]) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
-    """The (offset, text) of ordinary cues and of set pieces."""
+def _split_set_cues(text: str, set_cues: set[str], heads: set[str]) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """The (offset, text) of ordinary cues and of set pieces, whose first letters are in `heads`."""
     plain, pieces, at = [], [], 0
     for cue in text.split(CUE):
-        known = SET_CUE_LENGTH[0] < len(cue) < 2 * SET_CUE_LENGTH[1] and set_cues and cue_keys(cue)[0] in set_cues
+        begin = cue[: 4 * HEAD].translate(_KEEP_CUES)[:HEAD] if len(cue) > SET_CUE_LENGTH[0] else ""
+        known = begin and (begin in heads or len(begin) < HEAD) and not set_cues.isdisjoint(cue_keys(cue))
         (pieces if known else plain).append((at, cue))
         at += len(cue) + 1
     return plain, pieces
 
 
-def sentence_ends(raw: str, models: dict[str, Model], set_cues: set[int], said: str = "und") -> list[int]:
-    """Raw positions of the last character of each sentence."""
+def sentence_ends(raw: str, models: dict[str, Model], set_cues: set[str], said: str = "und", heads: set[str] | None = None) -> list[int]:
+    """Raw positions of the last character of each sentence; `heads` are the first letters of set cues."""
+    heads = {c[:HEAD] for c in set_cues} if heads is None else heads
     run = running_text(raw)
-    plain, pieces = _split_set_cues(run.text, set_cues)
+    plain, pieces = _split_set_cues(run.text, set_cues, heads) if set_cues else ([], [])
+    if not pieces:
+        model = models.get(language_of(run.text, models, said)) or models.get(said) or Model()
+        return sorted(set(map(run.raw, _ends(run.text, model))))
     out: set[int] = set()
     for at, piece in pieces:
         for m in re.finditer(r"[.!?]+(?=\s+\S)|\S(?=\s*\Z)", piece):
@@ -436,11 +451,11 @@ _LAST = re.compile(rf"[^\s{CUE}](?=[\s{CUE}]*\Z)")
 
 def _ends(text: str, model: Model) -> Iterator[int]:
     n = len(text)
-    case, thai = _case(text), bool(_THAI.search(text)) and len(_THAI.findall(text)) * 4 > n
+    case, thai = _case(text), not text.isascii() and _letters(_THAI, text) * 4 > n
     cues = [c for c in map(str.rstrip, text.split(CUE)) if c]
-    closed = sum(_TERMINAL.search(c, max(0, len(c) - 4)) is not None for c in cues)
+    closed = sum(not _TERMS.isdisjoint(c[-4:]) for c in cues)
     by_cue = not thai and closed < 0.12 * len(cues)  # marks are missing: every cue is a sentence
-    starts = _starter(model, case, thai)
+    starts, abbreviations = _starter(model, case, thai), model.abbreviations
     m = _BLANK.match(text)
     d = _DASH.match(text, m.end())
     dialogue = d is not None
@@ -452,7 +467,10 @@ def _ends(text: str, model: Model) -> Iterator[int]:
             i -= 1
         return i
 
-    for m in (_THAI_CANDIDATE if thai else _CANDIDATE).finditer(text):
+    every = _THAI_CANDIDATE if thai else _CANDIDATE
+    fewer = every if thai or by_cue else _FEWER
+    after = 0
+    while m := (every if dialogue else fewer).search(text, after):
         i, after = m.span()
         gap = m["gap"]
         if gap is not None:
@@ -483,15 +501,23 @@ def _ends(text: str, model: Model) -> Iterator[int]:
                 yield end
                 begun = end + 1
             continue
-        term, shut = m["term"].strip(), m["close"]
+        term, shut = m["term"], m["close"]
         end = after - 1
         follow = _NEXT.match(text, after)
-        nxt, lead, between = (follow[2], follow[1].strip(), text[after : follow.start(2)]) if follow else ("", "", "")
-        if follow is not None and not between and not _CJK.search(term + shut + nxt[:1]) and nxt[0] not in _THAI_LETTERS and term[-1] not in "।॥؟":
-            continue  # inside a word or number
-        broken = "\n" in between or CUE in between
-        sure = not nxt or broken and (dialogue or _DASH.match(text, _BLANK.match(text, after).end()) is not None)
-        quoted = bool(shut) and any(c in _QUOTES for c in shut)
+        if follow is None:
+            nxt = lead = ""
+            sure = True
+        else:
+            lead, nxt = follow.groups()
+            begins, head = follow.start(1), nxt[0]
+            if begins + len(lead) == after and not _CJK.search(term + shut + head) and head not in _THAI_LETTERS and term[-1] not in "।॥؟":
+                continue  # inside a word or number
+            sure = False
+            between = text[after : begins + len(lead)]
+            if "\n" in between or CUE in between:
+                sure = dialogue or text[begins] in "-–‐‑" and _DASH.match(text, begins) is not None
+            lead = lead.strip()
+        quoted = bool(shut) and not _QUOTES.isdisjoint(shut)
         go = True
         if term[-1] in _STRONG or term[0] in _STRONG:
             if quoted and not sure:
@@ -509,12 +535,16 @@ def _ends(text: str, model: Model) -> Iterator[int]:
                 else:
                     go = starts(nxt, 1)
         else:
-            tail = text[max(begun, i - 40) : i].split()
-            word = _DIGITS.sub("#", tail[-1].lstrip(_OPEN).lower()) if tail else ""
-            share = model.abbreviations.get(word)
             if sure or quoted:
-                pass
-            elif thai:
+                yield end
+                begun = after
+                continue
+            tail = text[max(begun, i - 40) : i].split()
+            word = tail[-1].lstrip(_OPEN).lower() if tail else ""
+            if not word.isalpha():
+                word = _DIGITS.sub("#", word)
+            share = abbreviations.get(word)
+            if thai:
                 go = share is None and starts(nxt)
             elif share is not None:
                 go = share >= 0.02 and starts(nxt)
@@ -538,15 +568,23 @@ def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pieces = shared.value
+        heads = {c[:HEAD] for c in pieces}
         for batch in batches:
             ids: list[int] = []
             ends: list[int] = []
             for d, t, code in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if t and d is not None:
-                    found = sentence_ends(t, known, pieces, (code or "und").strip().lower())
+                    found = sentence_ends(t, known, pieces, (code or "und").strip().lower(), heads)
                     ends += found
                     ids += [d] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "end_pos"])
 
-    once = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    return once.mapInArrow(cut, "doc_id long, end_pos long").dropDuplicates(["doc_id", "end_pos"])
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    ends = rows.mapInArrow(cut, "doc_id long, end_pos long")
+    # ends of one row are distinct; only ids that come again need their ends made distinct
+    again = rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
+    if again.isEmpty():
+        return ends
+    known = cut_lineage(again.select("doc_id", F.lit(True).alias("again")))
+    marked = join_lookup(ends, known, ["doc_id"])
+    return marked.filter("again is null").drop("again").unionByName(marked.filter("again").drop("again").distinct())

@@ -6,11 +6,8 @@ import html
 import re
 from collections.abc import Callable
 
-_CLOCK = r"(?:\d{1,3}:)?\d{1,2}:\d{2}[.,]\d{1,3}"
-#: A cue's start: its number, if it has one, on a line of its own and the line with its times.
-CUE_START = re.compile(rf"(?:(?<=\n)|^)[﻿ \t]*(?:-?\d+[ \t]*\r?\n[ \t]*)?{_CLOCK}[ \t]*-->[ \t]*{_CLOCK}[^\n]*(?:\n|$)")
+_ARROW_LINE = re.compile(r"[\ufeff \t]*(?:\d{1,3}:)?\d{1,2}:\d{2}[.,]\d{1,3}[ \t]*-->")
 _HEADER = re.compile(r"^﻿?WEBVTT[^\n]*(?:\n|$)|^﻿")
-_NUMBER_LEFT = re.compile(r"(?:\r?\n|^)[ \t]*\d+[ \t\r\n]*$")
 #: Markup, zero-width characters, entities: what lies on the text without being of it.
 MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>|<\|[a-zA-Z_]{1,30}\|>|\{\\[^{}\n]{0,40}\}|[\u200b-\u200f\u2060\ufeff\u00ad]")
 ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});")
@@ -28,7 +25,8 @@ _CONT = "".join(re.escape(c) for c, b in _BYTES.items() if b < 0xC0)
 _LEAD = lambda lo, hi: "".join(c for c, b in _BYTES.items() if lo <= b <= hi)
 #: A character of UTF-8 that was read as a one-byte encoding.
 MISREAD = re.compile(rf"[{_LEAD(0xC2, 0xDF)}][{_CONT}]|[{_LEAD(0xE0, 0xEF)}][{_CONT}]{{2}}|[{_LEAD(0xF0, 0xF4)}][{_CONT}]{{3}}")
-_SURELY = re.compile(r"[ÂÃÐÑØÙ][" + _CONT + r"]|â€|ã€|à[¤¥¸¹]|[äåæçèé][" + _CONT + r"]{2}")
+#: One set of first characters, so that a search can skip to them; which of them it was is asked after.
+SURELY_MISREAD = re.compile(rf"[ÂÃÐÑØÙâãàäåæçèé](?:(?<=[ÂÃÐÑØÙ])[{_CONT}]|(?<=[âã])€|(?<=à)[¤¥¸¹]|(?<=[äåæçèé])[{_CONT}]{{2}})")
 
 
 def _undo(m: re.Match) -> str:
@@ -41,7 +39,7 @@ def _undo(m: re.Match) -> str:
 def unmangle(text: str) -> str:
     """Text whose UTF-8 was read as a one-byte encoding, once or twice, put right."""
     for _ in range(2):
-        if not _SURELY.search(text):
+        if not SURELY_MISREAD.search(text):
             break
         text = MISREAD.sub(_undo, text)
     return text
@@ -50,7 +48,7 @@ def unmangle(text: str) -> str:
 def unmangle_mapped(text: str, at: list[int]) -> tuple[str, list[int]]:
     """As `unmangle`, keeping for each character the raw position of its last part in `at`."""
     for _ in range(2):
-        if not _SURELY.search(text):
+        if not SURELY_MISREAD.search(text):
             break
         out, places, last = [], [], 0
         for m in MISREAD.finditer(text):
@@ -68,17 +66,29 @@ def unmangle_mapped(text: str, at: list[int]) -> tuple[str, list[int]]:
     return text, at
 
 
+def cue_spans(raw: str) -> list[tuple[int, int]]:
+    """Where the number and times of each cue stand."""
+    spans, at = [], raw.find("-->")
+    while at >= 0:
+        line = raw.rfind("\n", 0, at) + 1
+        end = raw.find("\n", at) + 1 or len(raw)
+        if _ARROW_LINE.match(raw, line):
+            if line:
+                above = raw.rfind("\n", 0, line - 1) + 1
+                if raw[above : line - 1].strip("\ufeff \t\r").removeprefix("-").isdecimal():
+                    line = above
+            spans.append((line, end))
+        at = raw.find("-->", end)
+    return spans
+
+
 def cues(text: str) -> list[tuple[int, int]]:
     """(start, end) of the payload of each cue, in order; a text without cues is one payload."""
-    starts = list(CUE_START.finditer(text))
-    head = _HEADER.match(text)
-    if not starts:
+    spans = cue_spans(text)
+    if not spans:
+        head = _HEADER.match(text)
         return [(head.end() if head else 0, len(text))]
-    out = []
-    for i, m in enumerate(starts):
-        end = starts[i + 1].start() if i + 1 < len(starts) else len(text)
-        out.append((m.end(), end))
-    return out
+    return list(zip([b for _, b in spans], [*[a for a, _ in spans[1:]], len(text)], strict=True))
 
 
 def spoken(text: str) -> str:
