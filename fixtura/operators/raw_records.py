@@ -1,9 +1,10 @@
 """Loading raw CSV lines: good rows as fields of the mapping, bad lines with the reason.
 
-Lines are cut into bounded blocks of one file. A block is parsed and checked at once on Arrow's
-columnar CSV path; only a block that fails is halved, again and again, until single lines are left,
-which a strict reader then diagnoses. So the cost of a clean block is one call, and one file that
-holds a third of all lines is spread over as many tasks as it has blocks.
+Each line gets the projection of its file's header (behind a check of the headers' number), and
+lines are read where they lie, in bounded blocks of equal column count, however many files they come
+from: a block is parsed and checked at once on Arrow's columnar CSV path. Only a block that fails is
+halved, again and again, until few lines are left, which a strict reader then diagnoses. No line is
+shuffled for it, and neither a file with a third of all lines nor thousands of short files matter.
 
 Defined results: a null line is an empty one; a line of a file without a header line is
 `column_count`, since it has no columns to match; repeated rows of one line give one row of output;
@@ -12,10 +13,13 @@ an empty table gives an empty one; further columns of the input, whatever their
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Iterator
+from datetime import datetime
+from functools import lru_cache
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -24,10 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixtura.functions.headers import FIELDS, fields_of
+from fixtura.operators.joins import join_lookup
 
 BLOCK_LINES = 4096
 #: Blocks of at most so many lines are diagnosed line by line rather than halved further.
-LEAF_LINES = 4
+LEAF_LINES = 32
+#: Letter of each field in the code of a projection; "-" stands for a column of no field.
+_LETTERS = {f: chr(ord("a") + i) for i, f in enumerate(FIELDS)}
+_NO_FIELD = "-"
 
 MISSING = ("", "NA", "N/A")
 DATE_FORMS = ((r"^\d{2}/\d{2}/\d{4}$", "%d/%m/%Y"), (r"^\d{2}/\d{2}/\d{2}$", "%d/%m/%y"), (r"^\d{4}-\d{2}-\d{2}$", "%Y-%m-%d"))
@@ -59,9 +67,8 @@ def split_record(line: str) -> list[str] | None:
     return out
 
 
+@lru_cache(maxsize=65_536)
 def valid_date(text: str) -> bool:
-    from datetime import datetime
-
     for form, pattern in DATE_FORMS:
         if re.match(form, text, re.A):
             try:
@@ -96,14 +103,43 @@ def diagnose(line: str, fields: list[str | None]) -> tuple[str | None, list[str]
     return None, values
 
 
-def _bulk(lines: pa.Array, fields: list[str | None]) -> list[pa.Array] | None:
-    """The trimmed columns of a block, or None if any of its lines is not plainly good."""
+def _good(field: str, column: pa.Array) -> bool:
+    """Are all values of a checked field valid? Null stands for a file without the field."""
+    if field == "match_date":
+        if not pc.all(pc.match_substring_regex(column, "|".join(form for form, _ in DATE_FORMS))).as_py():
+            return False
+        return all(valid_date(d) for d in pc.unique(column).to_pylist() if d is not None)
+    if field in ("home_team", "away_team"):
+        return not pc.any(pc.is_in(column, pa.array(MISSING))).as_py()
+    return pc.all(pc.match_substring_regex(column, GOALS if field.endswith("_goals") else RESULT)).as_py()
+
+
+CHECKED = ("match_date", "home_team", "away_team", "home_goals", "away_goals", "full_time_result")
+
+
+def _picked(columns: list[pa.Array], runs: list[tuple[int, int]]) -> pa.Array:
+    """One field's values over (column or -1, lines) runs of the files of a block."""
+    parts, at = [], 0
+    for column, n in runs:
+        parts.append(columns[column].slice(at, n) if column >= 0 else pa.nulls(n, pa.string()))
+        at += n
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
+
+def _runs(codes: list[str], letter: str) -> list[tuple[int, int]]:
+    """(column or -1, lines): where the lines of a block have a field, neighbours taken together."""
+    return [(column, sum(n for _, n in part)) for column, part in groupby(((code.find(letter), sum(1 for _ in same)) for code, same in groupby(codes)), key=lambda r: r[0])]
+
+
+def _bulk(lines: pa.Array, codes: list[str]) -> dict[str, pa.Array] | None:
+    """The trimmed values of each field of a block, or None if any of its lines is not plainly good."""
     if not pc.all(pc.match_substring_regex(lines, WELL_QUOTED)).as_py() or pc.any(pc.match_substring_regex(lines, r"[\r\n]")).as_py() or pc.any(pc.equal(lines, "")).as_py():
         return None
-    names = [f"c{i}" for i in range(len(fields))]
+    names = [f"c{i}" for i in range(len(codes[0]))]
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0]
     try:
         read = pacsv.read_csv(
-            io.BytesIO("\n".join(lines.to_pylist()).encode()),
+            pa.BufferReader(text.as_buffer()),
             pacsv.ReadOptions(use_threads=False, column_names=names, block_size=1 << 26),
             pacsv.ParseOptions(newlines_in_values=False, ignore_empty_lines=False),
             pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False),
@@ -112,66 +148,58 @@ def _bulk(lines: pa.Array, fields: list[str | None]) -> list[pa.Array] | None:
         return None
     if read.num_rows != len(lines):
         return None
-    columns = [pc.utf8_trim_whitespace(c.combine_chunks()) for c in read.columns]
-    for field, column in zip(fields, columns, strict=True):
-        if field == "match_date":
-            for form, pattern in DATE_FORMS:
-                like = column.filter(pc.match_substring_regex(column, form))
-                if pc.strptime(like, pattern, "s", error_is_null=True).null_count:
-                    return None
-                # strptime carries days over the end of a month in some builds: compare what it read
-                if len(like) and not pc.all(pc.equal(pc.strftime(pc.strptime(like, pattern, "s"), pattern), like)).as_py():
-                    return None
-            good = pc.match_substring_regex(column, "|".join(form for form, _ in DATE_FORMS))
-        elif field in ("home_team", "away_team"):
-            good = pc.invert(pc.is_in(column, pa.array(MISSING)))
-        elif field in ("home_goals", "away_goals"):
-            good = pc.match_substring_regex(column, GOALS)
-        elif field == "full_time_result":
-            good = pc.match_substring_regex(column, RESULT)
-        else:
-            continue
-        if not pc.all(good).as_py():
-            return None
-    return columns
+    columns = [c.combine_chunks() for c in read.columns]
+    checked = {f: pc.utf8_trim_whitespace(_picked(columns, _runs(codes, _LETTERS[f]))) for f in CHECKED}
+    if not all(_good(f, column) for f, column in checked.items()):
+        return None
+    return {f: checked[f] if f in checked else pc.utf8_trim_whitespace(_picked(columns, _runs(codes, _LETTERS[f]))) for f in FIELDS}
 
 
-def _halves(lines: pa.Array, numbers: list[int], fields: list[str | None]) -> Iterator[tuple[list[int], list[str | None], list[list | None]]]:
-    """(line numbers, reasons, columns by position) of pieces of a block, bisecting what fails."""
+def _halves(lines: pa.Array, numbers: np.ndarray, codes: list[str]) -> Iterator[tuple[np.ndarray, list[str | None], dict[str, pa.Array]]]:
+    """(line numbers, reasons, values by field) of pieces of a block of equal column count, bisecting
+    what fails; the code of a line names the field of each of its columns."""
     if not len(lines):
         return
-    columns = _bulk(lines, fields)
-    if columns is not None:
-        yield numbers, [None] * len(numbers), columns
+    values = _bulk(lines, codes) if len(lines) > LEAF_LINES else None
+    if values is not None:
+        yield numbers, [None] * len(numbers), values
     elif len(lines) <= LEAF_LINES:
-        said = [diagnose(line, fields) for line in lines.to_pylist()]
-        yield numbers, [r for r, _ in said], [pa.array([v[i] if v else None for _, v in said], pa.string()) for i in range(len(fields))]
+        said = [diagnose(line, _fields(code)) for line, code in zip(lines.to_pylist(), codes, strict=True)]
+        at = {code: {f: code.find(letter) for f, letter in _LETTERS.items()} for code in set(codes)}
+        yield numbers, [r for r, _ in said], {f: pa.array([v[at[code][f]] if v and at[code][f] >= 0 else None for (_, v), code in zip(said, codes, strict=True)], pa.string()) for f in FIELDS}
     else:
         half = len(lines) // 2
-        yield from _halves(lines[:half], numbers[:half], fields)
-        yield from _halves(lines[half:], numbers[half:], fields)
-
-
-def _load_block(block: pa.Table) -> pa.Table:
-    numbers = block["line_no"].to_pylist()
-    texts = [t or "" for t in block["line_text"].to_pylist()]
-    kinds = block["is_header"].to_pylist()
-    name = block["file_name"][0].as_py()
-    projections = [p for p, k in zip(block["projection"].to_pylist(), kinds, strict=True) if k]
-    at = [i for i, k in enumerate(kinds) if not k]
-    if not at:
-        return _ARROW.empty_table()
-    numbers = [numbers[i] for i in at]
-    if not projections or projections[0] is None:
-        nothing = pa.nulls(len(at), pa.string())
-        return pa.table([pa.array([name] * len(at), pa.string()), pa.array(numbers, pa.int64()), pa.array(["column_count"] * len(at))] + [nothing] * len(FIELDS), schema=_ARROW)
-    fields = projections[0]
-    lines = pa.array([texts[i].rstrip("\r") for i in at], pa.string())
-    parts = []
-    for who, reasons, columns in _halves(lines, numbers, fields):
-        own = {f: c for f, c in zip(fields, columns, strict=True) if f}
-        parts.append(pa.table([pa.array([name] * len(who), pa.string()), pa.array(who, pa.int64()), pa.array(reasons, pa.string())] + [own[f] if f in own else pa.nulls(len(who), pa.string()) for f in FIELDS], schema=_ARROW))
-    return pa.concat_tables(parts)
+        yield from _halves(lines[:half], numbers[:half], codes[:half])
+        yield from _halves(lines[half:], numbers[half:], codes[half:])
+
+
+def code_of(fields: list[str | None]) -> str:
+    """A projection as one letter per column."""
+    return "".join(_LETTERS.get(f, _NO_FIELD) for f in fields)
+
+
+@lru_cache(maxsize=65_536)
+def _fields(code: str) -> list[str | None]:
+    return [FIELDS[ord(c) - ord("a")] if c != _NO_FIELD else None for c in code]
+
+
+def _load(batches: Iterator[pa.RecordBatch], block_lines: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = np.array([c or "" for c in batch.column(3).to_pylist()], dtype=object)
+        order = np.array(sorted(range(len(codes)), key=lambda k: (len(codes[k]), codes[k])), dtype=np.int64)
+        lines = pc.utf8_rtrim(pc.fill_null(batch.column(2), ""), "\r")
+        parts = []
+        for width, part in groupby(order, key=lambda k: len(codes[k])):
+            at = np.fromiter(part, np.int64)
+            if not width:
+                parts.append((at, ["column_count"] * len(at), {f: pa.nulls(len(at), pa.string()) for f in FIELDS}))
+                continue
+            for k in range(0, len(at), block_lines):
+                own = at[k : k + block_lines]
+                parts += _halves(lines.take(pa.array(own)), own, list(codes[own]))
+        for who, reasons, values in parts:
+            who = pa.array(who)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(reasons, pa.string()), *[values[f] for f in FIELDS]], schema=_ARROW)
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -202,17 +230,14 @@ def parse_records(lines: DataFrame, projections: DataFrame | None = None, block_
     """One row per data line: its fields if it is good, else the reason why not.
 
     `projections` (file_name, projection array of field or null per column) defaults to what the
-    header lines name. Line 1 of each file is its header. Blocks hold the lines of one file whose
-    numbers share a quotient by `block_lines`, so no group grows with its file.
+    header lines name. Line 1 of each file is its header.
     """
     lines = lines.select("file_name", F.col("line_no").cast("long").alias("line_no"), F.col("line_text").cast("string").alias("line_text")).filter("file_name is not null and line_no is not null")
     projections = header_projections(lines) if projections is None else projections.select("file_name", "projection")
-    data = lines.filter("line_no > 1").withColumn("block", F.floor(F.col("line_no") / block_lines))
-    heads = data.select("file_name", "block").distinct().join(projections, "file_name")
-    rows = data.select("file_name", "block", "line_no", "line_text", F.lit(False).alias("is_header"), F.lit(None).cast("array<string>").alias("projection")).unionByName(
-        heads.select("file_name", "block", F.lit(1).cast("long").alias("line_no"), F.lit("").alias("line_text"), F.lit(True).alias("is_header"), "projection")
-    )
-    return rows.groupBy("file_name", "block").applyInArrow(_load_block, OUTPUT)
+    letters = F.create_map(*[x for f, letter in _LETTERS.items() for x in (F.lit(f), F.lit(letter))])
+    code = F.array_join(F.transform("projection", lambda f: F.coalesce(F.try_element_at(letters, F.coalesce(f, F.lit(""))), F.lit(_NO_FIELD))), "")
+    data = join_lookup(lines.filter("line_no > 1"), projections.select("file_name", code.alias("code")), ["file_name"])
+    return data.select("file_name", "line_no", "line_text", "code").mapInArrow(lambda batches: _load(batches, block_lines), OUTPUT)
 
 
 def good_rows(parsed: DataFrame) -> DataFrame:

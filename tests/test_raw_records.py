@@ -1,3 +1,5 @@
+import numpy as np
+
 from fixtura.functions.headers import field_of
 from fixtura.functions.tree_edit import edit_script
 from fixtura.operators import raw_records as R
@@ -33,7 +35,7 @@ def test_bisection_agrees_with_the_strict_reader():
 
     fields = [field_of(h) for h in HEADER.split(",")]
     texts = [f"{i % 28 + 1:02d}/02/2021,T{i},U,{i % 5},{'x' if i % 37 == 0 else 1},{'HDA'[i % 3]}" for i in range(500)]
-    found = {n: r for who, reasons, _ in R._halves(pa.array(texts), list(range(500)), fields) for n, r in zip(who, reasons, strict=True)}
+    found = {n: r for who, reasons, _ in R._halves(pa.array(texts), np.arange(500), [R.code_of(fields)] * 500) for n, r in zip(who, reasons, strict=True)}
     assert found == {i: R.diagnose(t, fields)[0] for i, t in enumerate(texts)}
 
 
