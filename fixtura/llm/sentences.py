@@ -27,7 +27,7 @@ from operator import itemgetter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixtura.llm.leakage import folding_table
@@ -43,6 +43,9 @@ HELD = 1_000_000
 SET_CUE_DOCUMENTS, SET_CUE_LANGUAGES, SET_CUE_SHARE, SET_CUE_LENGTH = 5, 4, 0.7, (16, 100)
 ABBREVIATION_SCORE = 0.3
 COMMON = 200
+#: Log-likelihood ratio from which an association counts (the chi-square bound at 0.5 %).
+LIKELY = 7.88
+MOST_LANGUAGES = 10_000
 
 #: Noise within a cue, looked for only where one of the characters stands that it can begin with.
 _NOISE = re.compile("|".join((SOUND.pattern, ENTITY.pattern, MARKUP.pattern)))
@@ -148,10 +151,12 @@ def first_word(text: str) -> str:
     """What stands for the next word: in Thai, which has no spaces, its first letters."""
     if not text:
         return ""
-    if _THAI.match(text):
+    if "\u0e00" <= text[0] <= "\u0e7f":
         return text[:5]
+    if text.isalpha():
+        return text
     m = _WORD.match(text)
-    return re.sub(r"\d+", "#", m.group()) if m else text[:1]
+    return _DIGITS.sub("#", m.group()) if m else text[:1]
 
 
 @dataclass
@@ -161,7 +166,9 @@ class Model:
     abbreviations: dict[str, float] = field(default_factory=dict)  # word -> share of sure ends
     starters: dict[str, float] = field(default_factory=dict)  # word -> share of sure starts
     pauses: dict[str, float] = field(default_factory=dict)  # word -> share of starts after a pause
-    speech: set[str] = field(default_factory=set)
+    speech: set[str] = field(default_factory=set)  # words that go on after a quotation
+    collocations: set[str] = field(default_factory=set)  # abbreviation, tab, word that belongs to it
+    clauses: dict[str, set[str]] = field(default_factory=lambda: {"opening": set(), "closing": set(), "leading": set()})
     common: set[str] = field(default_factory=set)
 
 
@@ -204,15 +211,41 @@ def count_document(raw: str, counts: dict[str, Counter]) -> list[str]:
     counts["quote"].update(_AFTER_QUOTE.findall(flat))
     counts["dialogue"].update(_DIALOGUE.findall(f"\n{flat}\n"))
     counts["begin"].update(tokens[:1])
+    if not flat.isascii() and (_CJK.search(flat) or _THAI.search(flat)):
+        count_unspaced(flat, counts)
     return keys
 
 
+#: In scripts without spaces: the clause after a closing quotation, any clause, what stands before an
+#: opening quotation mark and before any gap.
+_QUOTED_CLAUSE = re.compile(r"[。！？…!?][」』”\"]([^\W\d_])((?:[^\W\d_]{0,12}([^\W\d_])(?=[。！？…，、：]))?)")
+_CLAUSE = re.compile(r"(?<![^\W_])([\u3040-\u30ff\u3400-\u9fff])|([\u3040-\u30ff\u3400-\u9fff])(?=[。！？…，、：])")
+_BEFORE_QUOTE = re.compile(r"([\u0e00-\u0e7f]{3}) ?[“\"]")
+_BEFORE_GAP = re.compile(r"([\u0e00-\u0e7f]{3}) ")
+
+
+def count_unspaced(flat: str, counts: dict[str, Counter]) -> None:
+    """Observations of how clauses begin and end, which words take the place of in such scripts."""
+    for opening, _, closing in _QUOTED_CLAUSE.findall(flat):
+        counts["opening"][opening] += 1
+        counts["closing"][closing] += 1
+    for opening, closing in _CLAUSE.findall(flat):
+        counts["anyopening"][opening] += 1
+        counts["anyclosing"][closing] += 1
+    counts["leading"].update(_BEFORE_QUOTE.findall(flat))
+    counts["anyleading"].update(_BEFORE_GAP.findall(flat))
+
+
+UNSPACED = ("opening", "closing", "leading", "anyopening", "anyclosing", "anyleading")
+
+
 def observations(lang: str, counts: dict, out: Counter) -> None:
     """Turns raw counters of one language into counts by (lang, kind, word)."""
-    low_of = lambda t: _DIGITS.sub("#", t.strip("«„“\"'‘¿¡(),;:»”’!?…—-–").rstrip(".").lower())
+    plain = lambda low: low if low.isalpha() else _DIGITS.sub("#", low)
+    low_of = lambda t: plain(t.strip("«„“\"'‘¿¡(),;:»”’!?…—-–").rstrip(".").lower())
     for token, n in counts["word"].items():
         bare = token.strip("«„“\"'‘¿¡(),;:»”’!?…—-–")
-        low = _DIGITS.sub("#", bare.rstrip(".").lower())
+        low = plain(bare.rstrip(".").lower())
         if low:
             out[lang, "word", first_word(token.lstrip(_OPEN))] += n
             out[lang, "dot" if bare.endswith(".") and not bare.endswith("..") else "plain", low] += n
@@ -241,6 +274,10 @@ def observations(lang: str, counts: dict, out: Counter) -> None:
         last = last or first
         if last.endswith(".") and not last.endswith(".."):
             out[lang, "dotend", low_of(last)] += n
+    for kind in UNSPACED:
+        for word, n in counts[kind].items():
+            if word:
+                out[lang, kind, word] += n
     for words, n in counts["quote"].items():
         for w in words:
             low = low_of(w)
@@ -251,25 +288,46 @@ def observations(lang: str, counts: dict, out: Counter) -> None:
 _DIGITS = re.compile(r"\d+")
 
 
+def association(both: Column, one: Column, other: Column, every: Column) -> tuple[Column, Column]:
+    """(more often than by chance, Dunning's log-likelihood ratio) of two events seen `both` times
+    together, `one` and `other` times each, of `every` observations."""
+    held = lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    likelihood = lambda k, n, p: k * F.log(held(p)) + (n - k) * F.log(held(1 - p))
+    rest, left = F.greatest(one - both, F.lit(0)), F.greatest(every - other, F.lit(0))
+    p, p1, p2 = one / every, both / F.greatest(other, F.lit(1)), rest / F.greatest(left, F.lit(1))
+    return p1 > p2, -2 * (likelihood(both, other, p) + likelihood(rest, left, p) - likelihood(both, other, p1) - likelihood(rest, left, p2))
+
+
 def word_lists(counted: DataFrame) -> DataFrame:
     """(lang, kind, word, value) of the words that pass, from summed counts (lang, kind, word, n).
 
-    Kinds: abbreviation (value: share of sure ends), starter and pause (shares of starts), speech, common.
+    Kinds: abbreviation (value: share of sure ends), starter and pause (shares of starts), speech, common,
+    collocation (an abbreviation and the word that belongs to it), clause (how clauses go on after a
+    quotation in scripts without spaces).
     Counts are taken together per word here, however rare; of the starters those whose share makes no
     difference to `_starter` are left out.
     """
     c = F.col
-    languages = F.broadcast(
-        counted.groupBy("lang").agg(*[F.coalesce(F.sum(F.when(c("kind").isin(*kinds), c("n"))), F.lit(0)).alias(name) for name, kinds in (("total", ("dot", "plain")), ("dots", ("dot",)), ("quotes", ("quote",)))]).filter("total > 0")
-    )
+    kinds = ("word", "start", "pauseup", "pauselow", "dot", "plain", "dotend", "quote", *UNSPACED)
+    # one shuffle for the counts of all kinds of a word; the lists are filters of this table
+    wide = counted.filter(c("kind").isin(*kinds)).groupBy("lang", "word").agg(*[F.coalesce(F.sum(F.when(c("kind") == k, c("n"))), F.lit(0)).alias(f"n_{k}") for k in kinds])
+    wide = cut_lineage(wide)
+    totals = {"total": c("n_dot") + c("n_plain"), "dots": c("n_dot"), "quotes": c("n_quote"), "words": c("n_word"), "begun": c("n_start")} | {f"all_{k}": c(f"n_{k}") for k in UNSPACED}
+    per_language = cut_lineage(wide.groupBy("lang").agg(*[F.sum(n).cast("double").alias(name) for name, n in totals.items()]))
+    if per_language.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} language labels")
+    per_language = F.broadcast(per_language)
 
     def counts(*kinds: str) -> DataFrame:
-        sums = [F.coalesce(F.sum(F.when(c("kind") == k, c("n"))), F.lit(0)).alias(f"n_{k}") for k in kinds]
-        return counted.filter(c("kind").isin(*kinds)).groupBy("lang", "word").agg(*sums)
+        found = reduce(lambda a, b: a | b, [c(f"n_{k}") > 0 for k in kinds])
+        return wide.filter(found).select("lang", "word", *[f"n_{k}" for k in kinds])
 
-    cased = counts("word", "start").withColumn("share", F.when(c("n_start") >= 3, c("n_start") / F.greatest("n_start", "n_word")))
+    cased = counts("word", "start").join(per_language.select("lang", F.greatest("words", "total").alias("words"), "begun"), "lang").withColumn("share", F.when(c("n_start") >= 1, c("n_start") / F.greatest("n_start", "n_word")))
+    # as a starter counts what stands at sure starts more often than chance would have it
+    positive, ratio_of = association(c("n_start"), F.greatest("n_start", "n_word"), c("begun"), F.greatest("words", "begun"))
     head = F.substring("word", 1, 1)
-    starters = cased.filter((c("share") >= 0.4) | (c("share") < 0.2) & (F.lower(head) != head))
+    starters = cased.filter((c("share") >= 0.4) & positive & (ratio_of >= LIKELY) | (c("n_start") >= 3) & (c("share") < 0.2) & (F.lower(head) != head))
+    cased = cased.withColumn("share", F.when((c("n_start") >= 3) | positive & (ratio_of >= LIKELY), c("share")))
     common = cased.filter("n_word > 0").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_word"), "word"))).filter(c("_n") <= COMMON)
     pauses = counts("pauseup", "pauselow").filter(c("n_pauseup") + c("n_pauselow") >= 3)
 
@@ -281,12 +339,13 @@ def word_lists(counted: DataFrame) -> DataFrame:
     known = cased.filter("n_word >= 20 or share is not null")
     pairs = pairs.join(known.select("lang", c("word").alias("after"), c("n_word").alias("seen"), c("share").alias("own")), ["lang", "after"], "left")
     pairs = pairs.join(known.filter("share is not null").select("lang", c("word").alias("capital"), c("share").alias("upper")), ["lang", "capital"], "left")
+    pairs = cut_lineage(pairs)
     own, upper = F.coalesce("own", F.lit(0.0)), F.coalesce("upper", F.lit(0.0))
     lower = (F.lower(next_head) == next_head) & (F.upper(next_head) != next_head)
     goes_on = (next_head == "#") | lower & (upper < 0.2) | (F.coalesce("seen", F.lit(0)) >= 20) & (F.greatest(own, upper) < 0.1)
     followed = pairs.groupBy("lang", "word").agg(F.sum("n").alias("follows"), F.coalesce(F.sum(F.when(goes_on, c("n"))), F.lit(0)).alias("goes_on"))
 
-    plain = counts("dot", "plain", "dotend", "quote").join(languages, "lang")
+    plain = counts("dot", "plain", "dotend", "quote").join(per_language.select("lang", "total", "dots", "quotes").filter("total > 0"), "lang")
     dotted = plain.filter("n_dot >= 3").join(followed, ["lang", "word"], "left").fillna(0, ["follows", "goes_on"])
     n, both, rate = c("n_dot"), c("n_dot") + c("n_plain"), c("dots") / c("total")
     letters = F.replace("word", F.lit("."), F.lit(""))
@@ -297,9 +356,23 @@ def word_lists(counted: DataFrame) -> DataFrame:
     on = c("goes_on") / F.greatest(F.lit(1), c("follows"))
     # written with a period like no ordinary word, or followed by what starts no sentence
     passes = letters.rlike(r"^\p{L}$") | (c("follows") >= 3) & (on >= 0.3) | (score >= ABBREVIATION_SCORE) & ((on >= 0.1) | (n >= 20) & (c("n_dotend") < 0.01 * n) & (c("follows") > 0.8 * n))
+    abbreviations = dotted.filter(passes)
+    # a word that belongs to the abbreviation before it, though it could begin a sentence
+    pairs_of = pairs.join(abbreviations.select("lang", "word", "n_dot", c("n_dotend").alias("ends")).filter(c("ends") >= 0.02 * c("n_dot")).drop("ends"), ["lang", "word"]).join(per_language.select("lang", F.greatest("words", "total").alias("words")), "lang")
+    together, how_much = association(c("n"), F.greatest(c("seen"), c("n")), c("n_dot").cast("double"), F.greatest("words", c("seen"), c("n_dot")))
+    collocations = pairs_of.filter((c("n") >= 2) & (c("seen") >= 1) & together & (how_much >= LIKELY) & (F.coalesce("own", F.lit(0.6)) >= 0.2) & (F.coalesce("own", F.lit(0.0)) < 0.4))
+    collocations = collocations.select("lang", F.concat_ws("\t", "word", "after").alias("word"))
+
+    def clauses(kind: str) -> DataFrame:
+        both = counts(kind, f"any{kind}").join(per_language.select("lang", c(f"all_{kind}").alias("at"), c(f"all_any{kind}").alias("of")), "lang")
+        every = F.greatest(c(f"n_{kind}"), c(f"n_any{kind}"))
+        more, ratio = association(c(f"n_{kind}"), every, c("at"), F.greatest("of", "at"))
+        return both.filter(more & (ratio >= LIKELY) & (c(f"n_{kind}") >= 0.3 * every)).select("lang", F.concat(F.lit(f"{kind}\t"), "word").alias("word"))
+
+    unspaced = reduce(DataFrame.unionByName, [clauses(k) for k in UNSPACED[:3]])
     said = c("n_quote")
     speech = plain.filter((said >= 5) & (said > 0.6 * F.greatest(said, both)) & (said > 0.004 * c("quotes")))
-    lists = ((dotted.filter(passes), "abbreviation", c("n_dotend") / n), (starters, "starter", c("share")), (pauses, "pause", c("n_pauseup") / (c("n_pauseup") + c("n_pauselow"))), (speech, "speech", F.lit(1.0)), (common, "common", F.lit(1.0)))
+    lists = ((collocations, "collocation", F.lit(1.0)), (unspaced, "clause", F.lit(1.0)), (abbreviations, "abbreviation", c("n_dotend") / n), (starters, "starter", c("share")), (pauses, "pause", c("n_pauseup") / (c("n_pauseup") + c("n_pauselow"))), (speech, "speech", F.lit(1.0)), (common, "common", F.lit(1.0)))
     return reduce(DataFrame.unionByName, [rows.select("lang", F.lit(kind).alias("kind"), "word", value.alias("value")) for rows, kind, value in lists])
 
 
@@ -308,7 +381,12 @@ def build_models(rows: list[tuple[str, str, str, float]]) -> dict[str, Model]:
     out: dict[str, Model] = defaultdict(Model)
     for lang, kind, word, value in rows:
         model = out[lang]
-        if kind in ("speech", "common"):
+        if kind == "clause":
+            place, _, letters = word.partition("\t")
+            model.clauses[place].add(letters)
+        elif kind == "collocation":
+            model.collocations.add(word)
+        elif kind in ("speech", "common"):
             if kind == "speech" or word.isalpha():
                 getattr(model, kind).add(word)
         else:
@@ -445,7 +523,7 @@ def _starter(model: Model, case: str, thai: bool):  # noqa: ANN202
 
 _BLANK = re.compile(rf"[\s{CUE}]*")
 _TAKEN_UP = re.compile(rf"[\s{CUE}]*(?:\.\.\.|…)")
-_ZH_SAID = re.compile(r"[^。！？…]{0,10}?(?:道|说|喊|问|叫)")
+_CLAUSE_END = re.compile(r"[^\W\d_]{0,13}?([^\W\d_])(?=[。！？…，、：]|$)")
 _LAST = re.compile(rf"[^\s{CUE}](?=[\s{CUE}]*\Z)")
 
 
@@ -456,6 +534,7 @@ def _ends(text: str, model: Model) -> Iterator[int]:
     closed = sum(not _TERMS.isdisjoint(c[-4:]) for c in cues)
     by_cue = not thai and closed < 0.12 * len(cues)  # marks are missing: every cue is a sentence
     starts, abbreviations = _starter(model, case, thai), model.abbreviations
+    opening, closing, leading = model.clauses["opening"], model.clauses["closing"], model.clauses["leading"]
     m = _BLANK.match(text)
     d = _DASH.match(text, m.end())
     dialogue = d is not None
@@ -495,7 +574,7 @@ def _ends(text: str, model: Model) -> Iterator[int]:
         if thai and m["space"] is not None:
             nxt = text[after : after + 40]
             before = text[max(begun, i - 12) : i]
-            said = before.endswith(("ว่า", "บอก"))
+            said = before[-3:] in leading
             if nxt[0] in "“\"" and not said or nxt[0] not in "“\"" and before[-1:] not in "”\"" and starts(nxt) and not said:
                 end = last_char(i)
                 yield end
@@ -522,7 +601,7 @@ def _ends(text: str, model: Model) -> Iterator[int]:
         if term[-1] in _STRONG or term[0] in _STRONG:
             if quoted and not sure:
                 heads = [_DIGITS.sub("#", w.strip("«„“\"'‘(),;:»”’!?…—–.").lower()) for w in (nxt + text[follow.end() : follow.end() + 60]).split()[:3]]
-                if nxt[:1] in "とっ，,、" or lead[:1] in ("—", "–", ",") or _CJK.match(nxt) and _ZH_SAID.match(nxt) or case == "mixed" and nxt[:1].islower() or not model.speech.isdisjoint(heads):
+                if nxt[:1] in "，,、" or lead[:1] in ("—", "–", ",") or _CJK.match(nxt) and (nxt[0] in opening or (m := _CLAUSE_END.match(nxt)) and m[1] in closing) or case == "mixed" and nxt[:1].islower() or not model.speech.isdisjoint(heads):
                     go = False
             elif lead[:1] == "—" and not sure and (nxt[:1].islower() or case != "mixed"):
                 go = False
@@ -547,7 +626,7 @@ def _ends(text: str, model: Model) -> Iterator[int]:
             if thai:
                 go = share is None and starts(nxt)
             elif share is not None:
-                go = share >= 0.02 and starts(nxt)
+                go = share >= 0.02 and starts(nxt) and f"{word}\t{first_word(nxt)}" not in model.collocations
             elif len(word) == 1 and _CASED.match(word) or case == "mixed" and nxt[:1].islower():
                 go = len(word) > 1 and starts(nxt)
         if go:

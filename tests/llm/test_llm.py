@@ -122,8 +122,9 @@ def test_sentence_ends(spark):
     ends = sentences.sentence_ends(text, {"en": model}, set(), "en")
     assert [text[e - 3 : e + 1] for e in ends] == ["his.", "end!", "ere.", "left", "- Hm", "ay?!"]
     assert sentences.sentence_ends("", {}, set()) == [] and sentences.sentence_ends(" \n ", {}, set()) == []
+    quoting = sentences.Model(clauses={"opening": {"と"}, "closing": set(), "leading": set()})
     japanese = "これは試験です。「止まれ。」と彼は言いました。本当？"
-    assert [japanese[: e + 1][-2:] for e in sentences.sentence_ends(japanese, {}, set(), "ja")] == ["す。", "た。", "当？"]
+    assert [japanese[: e + 1][-2:] for e in sentences.sentence_ends(japanese, {"ja": quoting}, set(), "ja")] == ["す。", "た。", "当？"]
 
 
 def test_splitting_documents(spark):

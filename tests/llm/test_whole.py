@@ -30,6 +30,21 @@ def test_rare_abbreviations_of_a_large_corpus(spark):
     assert model.speech == {"asked"} and model.common == {"Smith", "We", "Rare"} and model.pauses == {"but": 1 / 3}
 
 
+def test_how_quotations_go_on_is_learned(spark):
+    cue = "{}\n00:00:0{},000 --> 00:00:0{},900\n{}\n\n"
+    said = ["「止まれ。」と彼は言いました。", "試合は続く。雨が降る。", "「走れ！」と監督は叫んだ。", "これは試験です。"]
+    docs = [(k, "".join(cue.format(i, i, i, said[(i + k) % 4]) for i in range(1, 9)), "ja") for k in range(30)]
+    models, _ = sentences.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert models["ja"].clauses["opening"] == {"と"}
+
+
+def test_collocations_join_an_abbreviation_that_may_end_a_sentence(spark):
+    counts = [("de", "plain", "tor", 900_000), ("de", "dot", "tor", 90_000), ("de", "dot", "nr", 500), ("de", "dotend", "nr", 60), ("de", "word", "Liga", 400), ("de", "word", "Tor", 500_000), ("de", "word", "Die", 60_000), ("de", "start", "Die", 50_000), ("de", "start", "Liga", 120)]
+    counts += [("de", "dotnext", "nr\tLiga", 180), ("de", "dotnext", "nr\tDie", 20), ("de", "dotnext", "nr\t#", 300), ("de", "dotnext", "tor\tDie", 50_000)]
+    model = sentences.build_models([tuple(r) for r in sentences.word_lists(spark.createDataFrame(counts, "lang string, kind string, word string, n long")).collect()])["de"]
+    assert model.collocations == {"nr\tLiga"} and "Die" in model.starters
+
+
 def test_words_seen_once_count(spark):
     docs = [(k, f"1\n00:00:01,000 --> 00:00:02,000\nThe prof. {w} spoke. We left now.", "en") for k, w in enumerate(("alpha", "beta", "gamma", "delta"))]
     models, _ = sentences.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
