@@ -5,9 +5,11 @@ tie ~ exp(d + (s_i + s_j + h) / 2), each strength with a normal penalty. The log
 concave and only needs counts per ordered pair, which Spark aggregates with map-side combine. Newton
 steps solve a system whose matrix is a weighted graph Laplacian, by conjugate gradients.
 
-Behind a check of the number of pairs (`most_pairs`) the optimisation runs in one task on integer
-codes; beyond it the same objective is maximised by accelerated, diagonally scaled steps of joins
-and aggregations, with the lineage cut at each. Both end at the same maximum.
+Everything that a Newton step or a product with the matrix needs is a sum over pairs. Up to
+`most_pairs` pairs lie in one task that adds them up in memory; more of them stay spread over the
+cluster, where each sum is a pass over the partitions with the strengths broadcast (their number is
+checked) and partial sums combined in pieces of bounded size. The steps are the same code in both
+cases, and a fit that does not reach the tolerance raises.
 
 Defined results: comparisons without both items, with itself, or without a known outcome count for
 nothing; repeated rows count each time (deduplicate before); no comparisons give an empty ranking;
@@ -16,14 +18,19 @@ an item that only ever won or lost has a finite strength because of the penalty.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixtura.operators.joins import join_lookup
 from fixtura.session import cut_lineage
 
-MOST_PAIRS = 4_000_000
+MOST_PAIRS, MOST_ITEMS = 1_000_000, 2_000_000
+#: Items of one piece of a partial sum.
+PIECE = 65_536
 PENALTY = 0.25
 GAP_BUCKETS = 4096
 
@@ -43,63 +50,78 @@ def _probabilities(gap: np.ndarray, tie: float) -> tuple[np.ndarray, np.ndarray]
     return a / total, d / total
 
 
-def fit_strengths(i: np.ndarray, j: np.ndarray, won: np.ndarray, tied: np.ndarray, lost: np.ndarray, items: int, penalty: float = PENALTY, steps: int = 60) -> tuple[np.ndarray, float, float]:
-    """(strengths, advantage, tie parameter) at the maximum of the penalised likelihood, by Newton
-    steps with backtracking; i, j are codes of the items of each pair."""
+def pair_sums(i: np.ndarray, j: np.ndarray, won: np.ndarray, tied: np.ndarray, lost: np.ndarray, s: np.ndarray, extra: np.ndarray, along: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over pairs, (per item, for all): of the log-likelihood, its slope and the parts of its
+    curvature at (s, extra), or, given a direction, of the curvature's product with it."""
+    items, n, points = len(s), won + tied + lost, won + tied / 2
+    gap = s[i] + extra[0] - s[j]
+    first, tie = _probabilities(gap, extra[1])
+    mean = first + tie / 2
+    weight, cross = n * (first + tie / 4 - mean**2), n * tie * (0.5 - mean)
+    spread = lambda x: np.bincount(i, x, items) - np.bincount(j, x, items)
+    if along is not None:
+        step = along[0][i] - along[0][j]
+        flow = weight * (step + along[1][0]) + cross * along[1][1]
+        return spread(flow)[None], np.array([flow.sum(), cross @ (step + along[1][0]) + (n * tie * (1 - tie)).sum() * along[1][1]])
+    top = np.maximum(np.maximum(gap, 0.0), extra[1] + gap / 2)
+    log_total = top + np.log(np.exp(gap - top) + np.exp(extra[1] + gap / 2 - top) + np.exp(-top))
+    off = points - n * mean
+    ends = np.bincount(i, weight, items) + np.bincount(j, weight, items)
+    value = points @ gap + tied.sum() * extra[1] - n @ log_total
+    return np.stack([spread(off), ends]), np.array([value, off.sum(), (tied - n * tie).sum(), weight.sum(), (n * tie * (1 - tie)).sum()])
+
+
+def maximise(sums: Callable[..., tuple[np.ndarray, np.ndarray]], items: int, penalty: float = PENALTY, steps: int = 60, tolerance: float = 1e-9) -> tuple[np.ndarray, float, float]:
+    """(strengths, advantage, tie parameter) at the maximum of the penalised likelihood: Newton steps
+    with backtracking, each solved by preconditioned conjugate gradients, ever more exactly.
+    `sums(s, extra, along)` gives the sums of `pair_sums` over all pairs."""
     s, extra = np.zeros(items), np.zeros(2)
-    n = won + tied + lost
-    points = won + tied / 2
+    small = penalty * 1e-3
 
-    def value(s: np.ndarray, extra: np.ndarray) -> float:
-        gap = s[i] + extra[0] - s[j]
-        top = np.maximum(np.maximum(gap, 0.0), extra[1] + gap / 2)
-        log_total = top + np.log(np.exp(gap - top) + np.exp(extra[1] + gap / 2 - top) + np.exp(-top))
-        return float(points @ gap + tied.sum() * extra[1] - n @ log_total - penalty / 2 * (s @ s) - penalty / 2 * (extra @ extra) * 1e-3)
+    def at(s: np.ndarray, extra: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        (slope, ends), (value, *slope_all, hh, dd) = sums(s, extra, None)
+        value -= penalty / 2 * (s @ s) + small / 2 * (extra @ extra)
+        return value, np.r_[slope - penalty * s, np.array(slope_all) - small * extra], np.r_[ends + penalty, hh + small + 1e-9, dd + small + 1e-9], np.abs(np.r_[s, extra])
 
-    now = value(s, extra)
+    now, slope, diagonal, _ = at(s, extra)
+    scale = max(1.0, float(diagonal.max(initial=0)))
     for _ in range(steps):
-        first, tie = _probabilities(s[i] + extra[0] - s[j], extra[1])
-        mean = first + tie / 2
-        off = points - n * mean
-        slope = np.bincount(i, off, items) - np.bincount(j, off, items) - penalty * s
-        slope_extra = np.array([off.sum(), (tied - n * tie).sum()]) - penalty * 1e-3 * extra
-        weight = n * (first + tie / 4 - mean**2)
-        cross = n * tie * (0.5 - mean)
-        hh, hd, dd = weight.sum(), cross.sum(), (n * tie * (1 - tie)).sum()
-        by_h = np.bincount(i, weight, items) - np.bincount(j, weight, items)
-        by_d = np.bincount(i, cross, items) - np.bincount(j, cross, items)
-        diagonal = np.bincount(i, weight, items) + np.bincount(j, weight, items) + penalty
-        small = np.array([[hh, hd], [hd, dd]]) + np.eye(2) * penalty * 1e-3 + np.eye(2) * 1e-9
-
-        def times(v: np.ndarray, v2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            flow = weight * (v[i] - v[j])
-            out = np.bincount(i, flow, items) - np.bincount(j, flow, items) + penalty * v + by_h * v2[0] + by_d * v2[1]
-            return out, np.array([by_h @ v, by_d @ v]) + small @ v2
-
-        x, x2 = np.zeros(items), np.zeros(2)
-        r, r2 = slope.copy(), slope_extra.copy()
-        z, z2 = r / diagonal, r2 / np.diag(small)
-        p, p2 = z.copy(), z2.copy()
-        rz = r @ z + r2 @ z2
-        goal = 1e-16 * max(rz, 1e-30)
-        for _ in range(400):
-            q, q2 = times(p, p2)
-            a = rz / (p @ q + p2 @ q2)
-            x, x2, r, r2 = x + a * p, x2 + a * p2, r - a * q, r2 - a * q2
-            z, z2 = r / diagonal, r2 / np.diag(small)
-            rz, before = r @ z + r2 @ z2, rz
-            if rz <= goal:
+        off = float(np.abs(slope).max(initial=0))
+        if off <= tolerance * scale:
+            return s, float(extra[0]), float(extra[1])
+
+        def times(v: np.ndarray) -> np.ndarray:
+            per_item, for_all = sums(s, extra, (v[:-2], v[-2:]))  # noqa: B023
+            return np.r_[per_item[0] + penalty * v[:-2], for_all + (small + 1e-9) * v[-2:]]
+
+        x, r = np.zeros(items + 2), slope.copy()
+        z = r / diagonal
+        p, rz = z.copy(), float(r @ z)
+        goal = rz * min(0.01, off / scale) ** 2
+        for _ in range(500):
+            q = times(p)
+            a = rz / float(p @ q)
+            x, r = x + a * p, r - a * q
+            z = r / diagonal
+            rz, before = float(r @ z), rz
+            if rz <= max(goal, 1e-30):
                 break
-            p, p2 = z + rz / before * p, z2 + rz / before * p2
+            p = z + rz / before * p
         size = 1.0
-        while size > 1e-6 and (after := value(s + size * x, extra + size * x2)) < now:
+        while True:
+            after, slope_after, diagonal_after, _ = at(s + size * x[:-2], extra + size * x[-2:])
+            if after >= now - 1e-12 * max(1.0, abs(now)):
+                break
             size /= 2
-        if size <= 1e-6:
-            break
-        s, extra, gained, now = s + size * x, extra + size * x2, after - now, after
-        if max(np.abs(x).max(initial=0), np.abs(x2).max()) * size < 1e-9 or gained < 1e-10 * max(1.0, abs(now)):
-            break
-    return s, float(extra[0]), float(extra[1])
+            if size < 1e-9:
+                raise ArithmeticError("the likelihood does not rise along the Newton step")
+        s, extra, now, slope, diagonal = s + size * x[:-2], extra + size * x[-2:], after, slope_after, diagonal_after
+    raise ArithmeticError(f"no maximum within {steps} Newton steps")
+
+
+def fit_strengths(i: np.ndarray, j: np.ndarray, won: np.ndarray, tied: np.ndarray, lost: np.ndarray, items: int, penalty: float = PENALTY) -> tuple[np.ndarray, float, float]:
+    """(strengths, advantage, tie parameter) of pairs in memory; i, j are codes of their items."""
+    return maximise(lambda s, extra, along: pair_sums(i, j, won, tied, lost, s, extra, along), items, penalty)
 
 
 def _fit_in_task(penalty: float):  # noqa: ANN202
@@ -121,42 +143,61 @@ def rank_items(comparisons: DataFrame, first: str, second: str, outcome: str, wi
     """(item, strength, comparisons) of every item that was compared."""
     pairs = cut_lineage(pair_counts(comparisons, first, second, outcome, wins))
     if pairs.limit(most_pairs + 1).count() > most_pairs:
-        return _fit_by_joins(pairs, penalty)
+        return _fit_in_place(pairs, penalty)
     return pairs.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_fit_in_task(penalty), "item string, strength double, comparisons long")
 
 
-def _fit_by_joins(pairs: DataFrame, penalty: float, steps: int = 200, tolerance: float = 1e-7) -> DataFrame:
-    """The same maximum by accelerated ascent, scaled by the diagonal of the curvature."""
+def _coded(pairs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(items with dense codes, pairs by codes, number of items)."""
     total = F.col("won") + F.col("tied") + F.col("lost")
     ends = pairs.select(F.explode(F.array("first", "second")).alias("item"), total.alias("n"))
-    state = cut_lineage(ends.groupBy("item").agg(F.sum("n").alias("n")).select("item", F.lit(0.0).alias("s"), F.lit(0.0).alias("y"), "n"))
-    h = d = yh = yd = 0.0
-    t = 1.0
-    for _ in range(steps):
-        gap = F.col("yi") + F.lit(yh) - F.col("yj")
-        top = F.greatest(gap, F.lit(0.0), F.lit(yd) + gap / 2)
-        a, e, b = F.exp(gap - top), F.exp(F.lit(yd) + gap / 2 - top), F.exp(-top)
-        joined = pairs.join(state.select(F.col("item").alias("first"), F.col("y").alias("yi")), "first").join(state.select(F.col("item").alias("second"), F.col("y").alias("yj")), "second")
-        joined = joined.withColumns({"n": total, "p": a / (a + e + b), "q": e / (a + e + b)})
-        off = F.col("won") + F.col("tied") / 2 - F.col("n") * (F.col("p") + F.col("q") / 2)
-        joined = cut_lineage(joined.select("first", "second", off.alias("off"), (F.col("tied") - F.col("n") * F.col("q")).alias("off_tie"), (F.col("n") / 4).alias("w")))
-        sides = F.explode(F.array(F.struct(F.col("first").alias("item"), F.col("off").alias("g")), F.struct(F.col("second").alias("item"), (-F.col("off")).alias("g")))).alias("e")
-        slopes = joined.select(sides, "w").groupBy("e.item").agg(F.sum("e.g").alias("g"), F.sum("w").alias("w"))
-        # the curvature of a pair is at most n / 4 on either side, twice that bounds the whole matrix
-        t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        moved = state.join(slopes, "item").withColumn("s_new", F.col("y") + (F.col("g") - penalty * F.col("y")) / (2 * F.col("w") + penalty))
-        state = cut_lineage(moved.select("item", F.col("s_new").alias("s"), (F.col("s_new") + (t - 1) / t_next * (F.col("s_new") - F.col("s"))).alias("y"), "n", F.abs(F.col("s_new") - F.col("s")).alias("step")))
-        sums = joined.agg(F.sum("off"), F.sum("off_tie"), F.sum("w")).first()
-        if sums[2] is None:
-            break
-        h_new, d_new = yh + (sums[0] - penalty * 1e-3 * yh) / (4 * sums[2]), yd + (sums[1] - penalty * 1e-3 * yd) / (4 * sums[2])
-        yh, yd = h_new + (t - 1) / t_next * (h_new - h), d_new + (t - 1) / t_next * (d_new - d)
-        most = max(state.agg(F.max("step")).first()[0] or 0.0, abs(h_new - h), abs(d_new - d))
-        h, d, t = h_new, d_new, t_next
-        state = state.drop("step")
-        if most < tolerance:
-            break
-    return state.select("item", F.col("s").alias("strength"), F.col("n").cast("long").alias("comparisons"))
+    items = cut_lineage(ends.groupBy("item").agg(F.sum("n").alias("n")).withColumn("part", F.spark_partition_id()))
+    sizes = sorted(items.groupBy("part").count().collect())  # one row per partition
+    before, number = {}, 0
+    for part, size in sizes:
+        before[part] = number
+        number += size
+    if number > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items: their strengths are broadcast")
+    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    code = (F.row_number().over(Window.partitionBy("part").orderBy("item")) - 1 + F.try_element_at(offset, F.col("part"))).cast("int")
+    items = cut_lineage(items.select("item", "n", code.alias("code")))
+    codes = lambda side: items.select(F.col("item").alias(side), F.col("code").alias(f"{side}_code"))
+    coded = join_lookup(join_lookup(pairs, codes("first"), ["first"]), codes("second"), ["second"])
+    return items, cut_lineage(coded.select("first_code", "second_code", "won", "tied", "lost")), number
+
+
+def _fit_in_place(pairs: DataFrame, penalty: float) -> DataFrame:
+    """The same fit with the pairs left where they are: a sum is a pass over their partitions."""
+    items, coded, number = _coded(pairs)
+    spark = pairs.sparkSession
+
+    def sums(s: np.ndarray, extra: np.ndarray, along: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        shared = spark.sparkContext.broadcast((s, extra, along))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            per_item = for_all = None
+            for batch in batches:
+                i, j, *counts = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                a, b = pair_sums(i, j, *counts, *shared.value)
+                per_item, for_all = (a, b) if per_item is None else (per_item + a, for_all + b)
+            if per_item is not None:
+                pieces = [np.ascontiguousarray(per_item[:, k : k + PIECE]).tobytes() for k in range(0, number, PIECE)] + [for_all.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "sums"])
+
+        def together(rows: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(b.as_py()) for b in rows["sums"])
+            return pa.table({"piece": rows["piece"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        rows = dict(coded.mapInArrow(part, "piece int, sums binary").groupBy("piece").applyInArrow(together, "piece int, sums binary").collect())
+        shared.destroy()
+        for_all = np.frombuffer(rows.pop(max(rows)))
+        height = 2 if along is None else 1
+        return np.concatenate([np.frombuffer(rows[k]).reshape(height, -1) for k in sorted(rows)], axis=1), for_all
+
+    strengths, _, _ = maximise(sums, number, penalty)
+    fitted = spark.createDataFrame(pa.table({"code": pa.array(np.arange(number, dtype=np.int32)), "strength": pa.array(strengths)}))
+    return items.join(fitted, "code").select("item", "strength", F.col("n").cast("long").alias("comparisons"))
 
 
 def cut_at_gap(least: np.ndarray, most: np.ndarray, n: np.ndarray) -> float:
