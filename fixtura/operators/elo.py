@@ -1,13 +1,22 @@
-"""Chronological rating fold. State of two keys interacts, so a window cannot express it."""
+"""Chronological rating fold. State of two keys interacts, so a window cannot express it.
+
+Teams that never meet, not even through others, do not touch each other's ratings: the fold falls
+apart into the connected components of the teams. Each component is a stream: its matches are sorted
+by Spark (which spills) and folded in Arrow batches, and all that a task holds is one rating per team.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fixtura.operators.joins import join_lookup
+from fixtura.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class EloParameters:
@@ -20,33 +29,76 @@ class EloParameters:
             raise ValueError("initial and k must be positive, home_advantage not negative")
 
 
-SCHEMA = "match_key string, home_elo_pre double, away_elo_pre double, home_expected_score double, away_expected_score double, actual_home double, home_elo_post double, away_elo_post double"
+COLUMNS = ["match_key", "home_elo_pre", "away_elo_pre", "elo_difference", "home_expected_score", "away_expected_score", "actual_home", "home_elo_change", "away_elo_change", "home_elo_post", "away_elo_post"]
+SCHEMA = "match_key string, " + ", ".join(f"{c} double" for c in COLUMNS[1:])
+
+
+class Ratings:
+    """Ratings of the teams met so far; a team not met has the initial one."""
+
+    def __init__(self, parameters: EloParameters) -> None:
+        self.p, self.of = parameters, {}
+
+    def play(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Ratings before and after each match, in the order given; scheduled ones only read."""
+        p, of, out = self.p, self.of, []
+        for key, home, away, hg, ag, status in rows[["match_key", "home_team_id", "away_team_id", "home_goals", "away_goals", "status"]].itertuples(index=False):
+            h, a = of.get(home, p.initial), of.get(away, p.initial)
+            expected = 1.0 / (1.0 + 10.0 ** (-(h + p.home_advantage - a) / 400.0))
+            actual, change = None, 0.0
+            if status == "FINISHED" and not pd.isna(hg) and not pd.isna(ag):
+                actual = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
+                change = p.k * (actual - expected)
+                of[home] = h + change
+                of[away] = a - change
+            out.append((key, h, a, h - a, expected, 1.0 - expected, actual, change, -change, h + change, a - change))
+        return pd.DataFrame(out, columns=COLUMNS)
 
 
 def fold(matches: pd.DataFrame, p: EloParameters) -> pd.DataFrame:
-    """Ratings before and after each match in order of kickoff, then key; scheduled ones only read."""
-    ratings: dict = {}
-    out = []
-    ordered = matches.sort_values(["kickoff_utc", "match_key"], kind="stable")
-    for key, home, away, hg, ag, status in ordered[["match_key", "home_team_id", "away_team_id", "home_goals", "away_goals", "status"]].itertuples(index=False):
-        h, a = ratings.get(home, p.initial), ratings.get(away, p.initial)
-        expected = 1.0 / (1.0 + 10.0 ** (-(h + p.home_advantage - a) / 400.0))
-        actual, h2, a2 = None, h, a
-        if status == "FINISHED" and not pd.isna(hg) and not pd.isna(ag):
-            actual = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
-            change = p.k * (actual - expected)
-            h2, a2 = h + change, a - change
-            ratings[home], ratings[away] = h2, a2
-        out.append((key, h, a, expected, 1.0 - expected, actual, h2, a2))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    """The fold of one table in order of kickoff, then key."""
+    return Ratings(p).play(matches.sort_values(["kickoff_utc", "match_key"], kind="stable"))
+
+
+def components(matches: DataFrame) -> DataFrame:
+    """(team_id, component): the least team that each team is linked to, by the least label of the
+    neighbours, and of the labels' own labels, until none changes."""
+    met = matches.filter("home_team_id is not null and away_team_id is not null").select(F.col("home_team_id").alias("a"), F.col("away_team_id").alias("b")).distinct()
+    edges = cut_lineage(met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut_lineage(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("team_id"), "label"))
+    while True:
+        near = edges.join(labels.select(F.col("team_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("team_id")).agg(F.min("label").alias("near"))
+        moved = labels.join(near, "team_id", "left").select("team_id", "label", F.least("label", "near").alias("new"))
+        jumped = moved.join(labels.select(F.col("team_id").alias("new"), F.col("label").alias("further")), "new", "left")
+        after = cut_lineage(jumped.select("team_id", F.least("new", "further").alias("label"), (F.least("new", "further") != F.col("label")).alias("changed")))
+        labels = after.select("team_id", "label")
+        if after.filter("changed").isEmpty():
+            return labels.withColumnRenamed("label", "component")
 
 
 def elo_history(matches: DataFrame, parameters: EloParameters | None = None, group_col: str | None = None) -> DataFrame:
-    """Ratings are global by default: one group, in one task. `group_col` is exact where groups share
-    no team, and then spreads the fold over the groups."""
+    """Ratings before and after every match.
+
+    Components of teams are found unless `group_col` names groups that share no team. Matches of one
+    component are one stream in time, so one component is one task, but a task only holds batches and
+    one number per team. A match without one of its teams is rated by itself from the initial rating.
+    """
     p = parameters or EloParameters()
-    slim = matches.select("match_key", "kickoff_utc", "home_team_id", "away_team_id", "home_goals", "away_goals", "status", (F.col(group_col) if group_col else F.lit(0)).alias("_group"))
-    return slim.groupBy("_group").applyInPandas(lambda frame: fold(frame, p), SCHEMA)
+    slim = matches.select("match_key", "kickoff_utc", "home_team_id", "away_team_id", "home_goals", "away_goals", "status", *([F.col(group_col).cast("string").alias("component")] if group_col else []))
+    if not group_col:
+        slim = join_lookup(slim, components(slim).withColumnRenamed("team_id", "home_team_id"), ["home_team_id"])
+    slim = slim.withColumn("component", F.coalesce("component", F.col("away_team_id").cast("string"), F.lit("")))
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, ratings = None, Ratings(p)
+        for batch in batches:
+            starts = batch.index[batch["component"].ne(batch["component"].shift())]
+            for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+                if batch["component"].iat[a] != component:
+                    component, ratings = batch["component"].iat[a], Ratings(p)
+                yield ratings.play(batch.iloc[a:b])
+
+    return slim.repartition("component").sortWithinPartitions("component", "kickoff_utc", "match_key").mapInPandas(stream, SCHEMA)
 
 
 def elo_invariants(history: DataFrame) -> DataFrame:
@@ -56,3 +108,12 @@ def elo_invariants(history: DataFrame) -> DataFrame:
         F.count("*").alias("row_count"), (F.count("*") - F.countDistinct("match_key")).alias("duplicate_keys"), F.count_if(~inside).alias("outside_unit"),
         F.count_if(F.abs(F.col("home_expected_score") + F.col("away_expected_score") - 1) > 1e-10).alias("not_one"), F.count_if(F.abs(F.col("home_elo_pre") + F.col("away_elo_pre") - F.col("home_elo_post") - F.col("away_elo_post")) > 1e-8).alias("not_conserved"),
     )
+
+
+def match_elo(matches: DataFrame, history: DataFrame) -> DataFrame:
+    """Each match with its ratings (1:1); a match without is an error."""
+    from fixtura.operators.joins import checked_join
+
+    rated = checked_join(matches, history, "match_key", "left", "1:1", "ratings of a match")
+    whole = F.when(F.col("home_elo_pre").isNull(), F.raise_error(F.lit("a match has no rating"))).otherwise(True).cast("boolean")
+    return rated.filter(whole)

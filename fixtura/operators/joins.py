@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,43 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().filter("count > 1")
 
 
-def checked_join(left: DataFrame, right: DataFrame, on: str, how: str, validate: str, message: str = "join keys are not unique") -> DataFrame:
-    """A join that asserts its cardinality: `validate` is "1:1" or "m:1"."""
-    sides = [right] + ([left] if validate == "1:1" else [])
-    for side in sides:
-        if not duplicate_keys(side.filter(F.col(on).isNotNull()), [on]).isEmpty():
-            raise CardinalityError(f"{message}: {on}")
-    return left.join(right, on, how)
+def at_most_one(condition: Column, message: str) -> Column:
+    """An aggregate that is true, and fails the job where more than one row of a group is meant: a
+    cardinality check inside the plan, without a pass of its own over the data."""
+    return F.when(F.count_if(condition) > 1, F.raise_error(F.lit(message))).otherwise(True).cast("boolean")
+
+
+def require_unique(lookup: DataFrame, keys: list[str], message: str) -> DataFrame:
+    """The lookup, if no key of it comes twice; equal rows count as one."""
+    once = lookup.distinct()
+    wrong = [", ".join(str(r[k]) for k in keys) for r in duplicate_keys(once, keys).orderBy(*keys).limit(5).collect()]
+    if wrong:
+        raise CardinalityError(f"{message}: {'; '.join(wrong)}")
+    return once
+
+
+def checked_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, validate: str, message: str = "join keys are not unique") -> DataFrame:
+    """A join that asserts its cardinality, "1:1" or "m:1": each side that must be unique is
+    aggregated by its key, and a key that comes twice fails the job. Null keys never join and are not
+    counted. The aggregation shares its shuffle with the join."""
+    on = [on] if isinstance(on, str) else list(on)
+
+    def once(side: DataFrame) -> DataFrame:
+        rest = [c for c in side.columns if c not in on]
+        null_key = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in on])
+        known = side.filter(~null_key).groupBy(*on).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None)).alias("_row"), at_most_one(F.lit(True), f"{message}: {', '.join(on)}").alias("_once")).filter("_once")
+        return known.select(*on, *[F.col("_row")[c].alias(c) for c in rest]).unionByName(side.filter(null_key))
+
+    if validate not in ("1:1", "m:1"):
+        raise ValueError("validate is 1:1 or m:1")
+    return (once(left) if validate == "1:1" else left).join(once(right), on, how)
+
+
+def key_differences(first: DataFrame, second: DataFrame, keys: list[str], shown: int = 5) -> dict[str, list[tuple]]:
+    """The keys that only one of two frames has, the first `shown` of each in order (two anti joins)."""
+    a, b = first.select(*keys).distinct(), second.select(*keys).distinct()
+    only = lambda x, y: [tuple(r) for r in x.join(y, keys, "left_anti").orderBy(*keys).limit(shown).collect()]
+    return {"only_first": only(a, b), "only_second": only(b, a)}
 
 
 def null_safe_differs(a: Column, b: Column) -> Column:

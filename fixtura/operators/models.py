@@ -1,15 +1,16 @@
 """Outcome models: multinomial logistic regression, histogram boosting, sigmoid calibration, blending.
 
-A grid's configurations are the parallel axis: each is one group, fitted in one task on the rows of
-the training window (bounded by `MOST_ROWS` labelled rows of it, the latest ones, a documented
-parameter). The bound is for fitting only: fitted models go to the executors and score every row of
-the validation window.
+A grid's configurations are the parallel axis: each is fitted in one task on the rows of the training
+window (bounded by `MOST_ROWS` labelled rows of it, the latest ones, a documented parameter), which
+are broadcast once. The bound is for fitting only: fitted models go to the executors and score every
+row of the validation window.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from fixtura.operators.gold import chronological_partition
 
 MOST_ROWS = 200_000
+PROBABILITIES = ("probability_away_win", "probability_draw", "probability_home_win")
 C_VALUES = (0.001, 0.01, 0.1, 0.5, 1.0, 2.0, 10.0, 100.0)
 #: Iterations, learning rate, leaves, least rows of a leaf, penalty.
 BOOSTING = ((200, 0.03, 7, 20, 1.0), (200, 0.05, 7, 20, 1.0), (300, 0.05, 15, 20, 1.0), (300, 0.05, 15, 30, 5.0), (400, 0.03, 31, 30, 5.0), (500, 0.02, 15, 40, 10.0))
@@ -184,24 +186,58 @@ class Sigmoid:
         return p / p.sum(1, keepdims=True)
 
 
-def permutation_importance(predict: Callable[[np.ndarray], np.ndarray], x: np.ndarray, y: np.ndarray, repeats: int = 20, seed: int = 42) -> np.ndarray:
-    """(features, 2): mean and deviation of how much log loss a shuffled column adds."""
+def permutation_importance(predict: Callable[[np.ndarray], np.ndarray], x: np.ndarray, y: np.ndarray, repeats: int = 20, seed: int = 42, columns: list[int] | None = None) -> np.ndarray:
+    """(columns, 2): mean and deviation of how much log loss a shuffled column adds."""
     rng, base = np.random.default_rng(seed), log_loss(predict(x), y)
-    out = np.zeros((x.shape[1], repeats))
-    for j in range(x.shape[1]):
+    columns = list(range(x.shape[1])) if columns is None else columns
+    out = np.zeros((len(columns), repeats))
+    for k, j in enumerate(columns):
         for r in range(repeats):
             z = x.copy()
             z[:, j] = rng.permutation(z[:, j])
-            out[j, r] = log_loss(predict(z), y) - base
+            out[k, r] = log_loss(predict(z), y) - base
     return np.c_[out.mean(1), out.std(1)]
 
 
-def _labelled(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.filter("target is not null").orderBy(F.desc("kickoff_utc"), F.desc("match_key")).limit(MOST_ROWS).select("match_key", "kickoff_utc", "split", F.col("target").cast("int").alias("target"), *features)
+def training_matrix(df: DataFrame, features: list[str], most_rows: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, targets, kickoff micros) of the latest labelled rows (`MOST_ROWS`), in order of time.
 
+    This bounded sample is what a model is fitted on; it is broadcast, once for all configurations.
+    """
+    latest = df.filter("target is not null").orderBy(F.desc("kickoff_utc"), F.desc("match_key")).limit(MOST_ROWS if most_rows is None else most_rows)
+    frame = latest.select(F.unix_micros(F.col("kickoff_utc").cast("timestamp")).alias("_at"), "match_key", F.col("target").cast("int").alias("target"), *features).toPandas().sort_values(["_at", "match_key"])
+    return (*_xy(frame, features), frame["_at"].to_numpy())
 
-def _per_configuration(df: DataFrame, configurations: DataFrame, fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.crossJoin(F.broadcast(configurations)).groupBy("configuration").applyInPandas(fit, schema)
+
+def fit_all(df: DataFrame, features: list[str], models: list) -> list:
+    """The models fitted on the rows of `df`, each in a task of its own."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(training_matrix(df, features)[:2])
+
+    def fit(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            yield pd.DataFrame([(k, pickle.dumps(models[k].fit(*shared.value))) for k in batch["id"]], columns=["id", "model"])
+
+    rows = dict(spark.range(0, len(models), 1, max(1, len(models))).mapInPandas(fit, "id long, model binary").collect())
+    shared.destroy()
+    return [pickle.loads(bytes(rows[k])) for k in range(len(models))]  # noqa: S301
+
+
+def score_with(df: DataFrame, features: list[str], models: dict[str, object], kept: list[str]) -> DataFrame:
+    """Rows of `df` with the probabilities of each model, one row per model."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(pickle.dumps(models))
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "model string", *(f"{p} double" for p in PROBABILITIES)])
+
+    def score(batches):  # noqa: ANN001, ANN202
+        ready = pickle.loads(shared.value)  # noqa: S301
+        for b in batches:
+            for name, model in ready.items():
+                p = model.predict(b[features].to_numpy(float)) if len(b) else np.zeros((0, 3))
+                yield b[kept].assign(model=name, **{c: p[:, k] for k, c in enumerate(PROBABILITIES)})
+
+    return df.select(*kept, *[c for c in features if c not in kept]).mapInPandas(score, schema)
 
 
 def _xy(frame: pd.DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,25 +245,20 @@ def _xy(frame: pd.DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarra
 
 
 def _grid_losses(df: DataFrame, features: list[str], models: list, valid: DataFrame) -> DataFrame:
-    """(configuration, log_loss) over all rows of `valid`, of unfitted models fitted on the training rows."""
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        k = int(frame["configuration"].iloc[0])
-        return pd.DataFrame([(k, pickle.dumps(models[k].fit(*_xy(frame, features))))], columns=["configuration", "model"])
-
+    """(configuration, log_loss, brier_score) over all rows of `valid`, of unfitted models fitted on the training rows."""
+    fitted = fit_all(df.filter("split = 'train'"), features, models)
     spark = df.sparkSession
     configurations = spark.createDataFrame([(k,) for k in range(len(models))], "configuration int")
-    rows = _per_configuration(_labelled(df.filter("split = 'train'"), features), configurations, fit, "configuration int, model binary").collect()
-    fitted = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in rows])
+    shared = spark.sparkContext.broadcast(fitted)
 
     def score(batches):  # noqa: ANN001, ANN202
-        ready = [(k, pickle.loads(m)) for k, m in fitted.value]  # noqa: S301
         for b in batches:
             x, y = _xy(b, features)
-            yield pd.DataFrame([(k, len(y), log_loss(m.predict(x), y) * len(y)) for k, m in ready if len(y)], columns=["configuration", "n", "loss"])
+            rows = [(k, len(y), log_loss(p := m.predict(x), y) * len(y), float(((p - np.eye(3)[y]) ** 2).sum())) for k, m in enumerate(shared.value) if len(y)]
+            yield pd.DataFrame(rows, columns=["configuration", "n", "loss", "brier"])
 
-    scored = valid.filter("target is not null").select(F.col("target").cast("int").alias("target"), *features).mapInPandas(score, "configuration int, n long, loss double")
-    summed = scored.groupBy("configuration").agg((F.sum("loss") / F.sum("n")).alias("log_loss"))
+    scored = valid.filter("target is not null").select(F.col("target").cast("int").alias("target"), *features).mapInPandas(score, "configuration int, n long, loss double, brier double")
+    summed = scored.groupBy("configuration").agg((F.sum("loss") / F.sum("n")).alias("log_loss"), (F.sum("brier") / F.sum("n")).alias("brier_score"))
     return configurations.join(summed, "configuration", "left")
 
 
@@ -243,13 +274,11 @@ def logistic_grid(df: DataFrame, features: list[str], c_values: tuple[float, ...
     return _listed([(float(c), "balanced" if b else "none") for c, b in grid], "c double, class_weight string", losses).drop("configuration")
 
 
-def logistic_coefficients(df: DataFrame, features: list[str], c: float = 0.1) -> DataFrame:
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        w = Logistic(c).fit(*_xy(frame, features)).w
-        rows = [(name, f, round(float(w[j, k]), 5), round(abs(float(w[j, k])), 5)) for k, name in enumerate(("away_win", "draw", "home_win")) for j, f in enumerate(features)]
-        return pd.DataFrame(rows, columns=["class_label", "feature", "coefficient", "absolute"])
-
-    return _per_configuration(_labelled(df, features), df.sparkSession.createDataFrame([(0,)], "configuration int"), fit, "class_label string, feature string, coefficient double, absolute double")
+def logistic_coefficients(df: DataFrame, features: list[str], c: float = 0.1, balanced: bool = False) -> DataFrame:
+    """Coefficients of the final fit, by class, the greatest first."""
+    w = fit_all(df, features, [Logistic(c, balanced)])[0].w
+    rows = [(name, f, round(float(w[j, k]), 5), round(abs(float(w[j, k])), 5)) for k, name in enumerate(("away_win", "draw", "home_win")) for j, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "class_label string, feature string, coefficient double, absolute double").orderBy("class_label", F.desc("absolute"), "feature")
 
 
 def boosting_grid(df: DataFrame, features: list[str], grid: tuple = BOOSTING) -> DataFrame:
@@ -260,21 +289,81 @@ def boosting_grid(df: DataFrame, features: list[str], grid: tuple = BOOSTING) ->
     return listed.withColumn("log_loss", F.round("log_loss", 5))
 
 
-def production_predict(df: DataFrame, features: list[str], weight: float = 0.5, c: float = 0.1, boosting: tuple = BOOSTING[1], fraction: float = 0.15) -> DataFrame:
-    """Probabilities of the unlabelled rows: a blend of logistic regression on all labelled rows and
-    boosting on the early ones, calibrated on the late ones. The model goes to the executors."""
-    frame = _labelled(df, features).toPandas().sort_values(["kickoff_utc", "match_key"])
-    x, y = _xy(frame, features)
-    boundary = frame["kickoff_utc"].iloc[len(frame) - max(30, int(np.ceil(len(frame) * fraction)))]
-    late = (frame["kickoff_utc"] >= boundary).to_numpy()
-    first = Logistic(c).fit(x, y)
-    second = Boosting(*boosting).fit(x[~late], y[~late])
-    sigmoid = Sigmoid().fit(second.raw(x[late]), y[late])
+def boosting_importance(df: DataFrame, features: list[str], boosting: tuple = BOOSTING[0], repeats: int = 20, most_rows: int = 20_000) -> DataFrame:
+    """(feature, mean, deviation): how much log loss on the tuning window a shuffled feature adds, the
+    greatest first. Features are the parallel axis; the window counts with its latest `most_rows` rows."""
+    model = fit_all(df.filter("split = 'train'"), features, [Boosting(*boosting)])[0]
+    window = chronological_partition(df.filter("split = 'validation' and target is not null"), 0.6).filter("part = 'tuning'")
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((model, *training_matrix(window, features, most_rows)[:2]))
 
-    def score(batches):  # noqa: ANN001, ANN202
+    def shuffle(batches):  # noqa: ANN001, ANN202
+        known, x, y = shared.value
         for b in batches:
-            z = b[features].to_numpy(float)
-            p = weight * first.predict(z) + (1 - weight) * sigmoid.predict(second.raw(z)) if len(b) else np.zeros((0, 3))
-            yield pd.DataFrame({"match_key": b["match_key"], "probability_away_win": p[:, 0], "probability_draw": p[:, 1], "probability_home_win": p[:, 2]})
+            for j in b["id"]:
+                mean, sd = permutation_importance(known.predict, x, y, repeats, 42 + int(j), [int(j)])[0]
+                yield pd.DataFrame([(features[j], mean, sd)], columns=["feature", "importance_mean", "importance_std"])
+
+    return spark.range(0, len(features), 1, len(features)).mapInPandas(shuffle, "feature string, importance_mean double, importance_std double").orderBy(F.desc("importance_mean"), "feature")
+
 
-    return df.filter("target is null").select("match_key", *features).mapInPandas(score, "match_key string, probability_away_win double, probability_draw double, probability_home_win double")
+class Calibrated:
+    """Boosting with the sigmoid that calibrates its raw scores."""
+
+    def __init__(self, model: Boosting, sigmoid: Sigmoid) -> None:
+        self.model, self.sigmoid = model, sigmoid
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.sigmoid.predict(self.model.raw(x))
+
+
+class Blend:
+    """Two fitted models and the weight of the first."""
+
+    def __init__(self, first: object, second: object, weight: float) -> None:
+        self.first, self.second, self.weight = first, second, weight
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        p = self.weight * self.first.predict(x) + (1 - self.weight) * self.second.predict(x)
+        return p / p.sum(1, keepdims=True)
+
+
+class _Production:
+    """What a production fit is made of: fitted in one task on the bounded training rows."""
+
+    def __init__(self, weight: float, c: float, balanced: bool, boosting: tuple, late: np.ndarray) -> None:
+        self.weight, self.c, self.balanced, self.boosting, self.late = weight, c, balanced, boosting, late
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Blend:
+        early = ~self.late
+        model = Boosting(*self.boosting).fit(x[early], y[early])
+        return Blend(Logistic(self.c, self.balanced).fit(x, y), Calibrated(model, Sigmoid().fit(model.raw(x[self.late]), y[self.late])), self.weight)
+
+
+def fit_production(df: DataFrame, features: list[str], weight: float = 0.5, c: float = 0.1, balanced: bool = False, boosting: tuple = BOOSTING[1], fraction: float = 0.15, least: int = 30) -> tuple[Blend, dict]:
+    """(model, what it was fitted on): logistic regression on all labelled rows and boosting on the
+    early ones, calibrated on the late ones (whole kickoff times), fitted on an executor."""
+    _, y, at = training_matrix(df, features)
+    if len(y) <= least:
+        raise ValueError(f"no more than {least} labelled rows")
+    late = at >= at[len(at) - max(least, int(np.ceil(len(at) * fraction)))]
+    model = fit_all(df, features, [_Production(weight, c, balanced, boosting, late)])[0]
+    return model, {"labelled_rows": len(y), "hgb_fit_rows": int((~late).sum()), "calibration_rows": int(late.sum()), "training_cutoff": str(np.datetime64(int(at[-1]), "us"))}
+
+
+def production_predict(df: DataFrame, features: list[str], weight: float = 0.5, c: float = 0.1, boosting: tuple = BOOSTING[1], fraction: float = 0.15) -> DataFrame:
+    """Probabilities of the unlabelled rows by a production fit on the labelled ones."""
+    model, _ = fit_production(df, features, weight, c, False, boosting, fraction)
+    return score_with(df.filter("target is null"), features, {"production": model}, ["match_key"]).drop("model")
+
+
+def backtest(folds: DataFrame, features: list[str], c: float = 0.1, boosting: tuple = BOOSTING[0]) -> DataFrame:
+    """Scored evaluation rows of every fold by logistic regression and boosting fitted on the fold's
+    training rows; `folds` has fold_number, evaluation_season and role (see `evaluation.folds_of`)."""
+    numbers = [r[0] for r in folds.select("fold_number").distinct().orderBy("fold_number").collect()]
+    parts = []
+    for n in numbers:  # at most four: each fit is a job on its own bounded training rows
+        own = folds.filter(F.col("fold_number") == n)
+        first, second = fit_all(own.filter("role = 'training'"), features, [Logistic(c), Boosting(*boosting)])
+        parts.append(score_with(own.filter("role = 'evaluation' and target is not null"), features, {"logistic_regression": first, "hist_gradient_boosting": second}, ["fold_number", "evaluation_season", "match_key", "target"]))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixtura.functions import match_columns as C
-from fixtura.operators.joins import join_lookup
+from fixtura.operators.joins import join_lookup, require_unique
 
 COMMON = ["season", "competition", "kickoff_utc", "match_date", "status", "home_team", "away_team", "home_goals", "away_goals", "full_time_result", "source", "ingested_at"]
 #: Priority of the providers.
@@ -17,13 +17,38 @@ class UnknownTeams(ValueError):
     """Names that no alias covers."""
 
 
-def normalise_historical(raw: DataFrame) -> DataFrame:
-    """Text columns of a results file as typed columns; what cannot be read is null."""
-    long = lambda c: F.expr(f"try_cast(nullif(trim({c}), '') AS bigint)")
-    return raw.select(
-        "match_id", C.parse_match_date(C.strip_space(F.col("date_text"))).alias("match_date"), C.strip_space(F.col("home_team")).alias("home_team"), C.strip_space(F.col("away_team")).alias("away_team"),
-        long("home_goals").alias("home_goals"), long("away_goals").alias("away_goals"), F.upper(C.strip_space(F.col("result"))).alias("full_time_result"),
-    )
+#: Columns of a results file and what they are called here, in the order of the layer.
+SOURCE_COLUMNS = {
+    "Date": "match_date", "Time": "kickoff_time", "HomeTeam": "home_team", "AwayTeam": "away_team", "FTHG": "home_goals", "FTAG": "away_goals", "FTR": "full_time_result",
+    "HTHG": "half_time_home_goals", "HTAG": "half_time_away_goals", "HTR": "half_time_result", "HS": "home_shots", "AS": "away_shots", "HST": "home_shots_on_target", "AST": "away_shots_on_target",
+    "HF": "home_fouls", "AF": "away_fouls", "HC": "home_corners", "AC": "away_corners", "HY": "home_yellow_cards", "AY": "away_yellow_cards", "HR": "home_red_cards", "AR": "away_red_cards",
+}
+#: Columns without which a results file is refused.
+REQUIRED = ("match_date", "home_team", "away_team", "home_goals", "away_goals", "full_time_result")
+TEXTS = ("kickoff_time", "half_time_result")
+
+
+def normalise_historical(raw: DataFrame, start_year: int | Column, ingested_at: Column | None = None, competition: str = "Premier League", source: str = "football-data.co.uk") -> DataFrame:
+    """Text columns of a results file as the typed columns of the layer; optional ones are kept where
+    the file has them, and what cannot be read is null. The season is that of `start_year`."""
+    named = raw.withColumnsRenamed({k: v for k, v in SOURCE_COLUMNS.items() if k in raw.columns})
+    if missing := sorted(set(REQUIRED) - set(named.columns)):
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    text = lambda c: C.strip_space(F.col(c).cast("string"))
+
+    def typed(c: str) -> Column:
+        if c == "match_date":
+            return C.parse_match_date(text(c))
+        if c in ("home_team", "away_team"):
+            return text(c)
+        if c == "full_time_result":
+            return F.upper(text(c))
+        return F.col(c) if c in TEXTS else F.expr(f"try_cast(nullif(trim({c}), '') AS bigint)")
+
+    year = F.lit(start_year) if isinstance(start_year, int) else start_year
+    kept = [c for c in SOURCE_COLUMNS.values() if c in named.columns]
+    out = named.select(*[typed(c).alias(c) for c in kept], C.season_label(year).alias("season"), F.lit(competition).alias("competition"), F.lit(source).alias("source"), (F.current_timestamp() if ingested_at is None else ingested_at).alias("ingested_at"))
+    return out.select(C.match_key(F.col("season"), F.col("match_date"), F.col("home_team"), F.col("away_team")).alias("match_id"), "season", "competition", *kept, "source", "ingested_at")
 
 
 def prepare_historical(df: DataFrame) -> DataFrame:
@@ -41,9 +66,10 @@ def find_unknown_teams(df: DataFrame, aliases: DataFrame, columns: tuple[str, ..
 
 
 def canonicalise_teams(df: DataFrame, aliases: DataFrame, strict: bool = False) -> DataFrame:
-    """Both teams by their canonical names, with slugs as ids."""
+    """Both teams by their canonical names, with slugs as ids (m:1: an alias of two teams is an error)."""
     if strict and (unknown := [r[0] for r in find_unknown_teams(df, aliases).orderBy("team").limit(20).collect()]):
         raise UnknownTeams(f"unknown teams: {', '.join(unknown)}")
+    aliases = require_unique(aliases.select("alias", "canonical"), ["alias"], "an alias stands for more than one team")
     for side in ("home", "away"):
         lookup = aliases.select(F.col("alias").alias(f"_{side}"), F.col("canonical").alias(f"_{side}_name"))
         df = join_lookup(df.withColumn(f"_{side}", C.normalise_alias(F.col(f"{side}_team"))), lookup, [f"_{side}"])
@@ -51,6 +77,14 @@ def canonicalise_teams(df: DataFrame, aliases: DataFrame, strict: bool = False)
     return df
 
 
+def canonical_name(name: str, aliases: dict[str, str]) -> str:
+    """The canonical name of one team; an unknown name is an error."""
+    key = " ".join(name.split()).lower()
+    if key not in aliases:
+        raise UnknownTeams(f"unknown team: {name}")
+    return aliases[key]
+
+
 def add_match_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("match_key", C.match_key(F.col("season"), F.col("competition"), F.col("match_date"), F.col("home_team_id"), F.col("away_team_id")))
 
@@ -88,3 +122,8 @@ def union_relaxed(*frames: DataFrame) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def chronological(df: DataFrame, *before: str) -> DataFrame:
+    """In order of kickoff, then key (range-partitioned by Spark, no single task)."""
+    return df.orderBy(*before, "kickoff_utc", "match_key")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixtura.functions import match_columns as C
-from fixtura.operators import elo, form, gold, models, probability, silver
+from fixtura.operators import elo, evaluation, form, gold, models, probability, silver
 from fixtura.session import table
 from fixtura.sources import payloads
 
@@ -37,10 +37,10 @@ def oracle_sql() -> dict[str, str]:
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    """`orders` as fixtures, by integer arithmetic."""
+    """`orders` as fixtures, by integer arithmetic; some finished ones lack their score."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     open_ = F.col("o_orderstatus") == "P"
-    goals = lambda a, m: F.when(~open_, (key * a + cust) % m)
+    goals = lambda a, m: F.when(~open_ & (key % 97 != 0), (key * a + cust) % m)
     name = lambda n: F.concat(F.lit("team-"), F.lpad(n.cast("string"), 2, "0"))
     m = table(spark, d, "orders").select(
         F.lpad(key.cast("string"), 12, "0").alias("match_key"), F.year("o_orderdate").cast("string").alias("season"), F.concat(F.lit("League "), (cust % 3).cast("string")).alias("competition"),
@@ -55,13 +55,13 @@ M = """
     SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS match_key, CAST(year(o_orderdate) AS VARCHAR) AS season, 'League ' || CAST(o_custkey % 3 AS VARCHAR) AS competition,
       o_orderdate AS kickoff_utc, CAST(o_orderdate AS DATE) AS match_date, CASE WHEN o_orderstatus = 'P' THEN 'TIMED' ELSE 'FINISHED' END AS status,
       'team-' || lpad(CAST(o_custkey % 20 AS VARCHAR), 2, '0') AS home_team_id, 'team-' || lpad(CAST((o_custkey % 20 + 1 + o_orderkey % 19) % 20 AS VARCHAR), 2, '0') AS away_team_id,
-      CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey * 7 + o_custkey) % 5 END AS home_goals, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey * 3 + o_custkey) % 4 END AS away_goals
+      CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 97 <> 0 THEN (o_orderkey * 7 + o_custkey) % 5 END AS home_goals, CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 97 <> 0 THEN (o_orderkey * 3 + o_custkey) % 4 END AS away_goals
     FROM orders))"""
 H = """
   h AS (SELECT match_key, season, kickoff_utc, 'home' AS venue, home_team_id AS team_id, away_team_id AS opponent_id, home_goals AS goals_for, away_goals AS goals_against,
-      home_goals - away_goals AS goal_difference, CASE full_time_result WHEN 'H' THEN 'W' WHEN 'D' THEN 'D' ELSE 'L' END AS result FROM m WHERE status = 'FINISHED'
+      home_goals - away_goals AS goal_difference, CASE full_time_result WHEN 'H' THEN 'W' WHEN 'D' THEN 'D' ELSE 'L' END AS result FROM m WHERE status = 'FINISHED' AND home_goals IS NOT NULL AND away_goals IS NOT NULL
     UNION ALL SELECT match_key, season, kickoff_utc, 'away', away_team_id, home_team_id, away_goals, home_goals, away_goals - home_goals,
-      CASE full_time_result WHEN 'A' THEN 'W' WHEN 'D' THEN 'D' ELSE 'L' END FROM m WHERE status = 'FINISHED'),
+      CASE full_time_result WHEN 'A' THEN 'W' WHEN 'D' THEN 'D' ELSE 'L' END FROM m WHERE status = 'FINISHED' AND home_goals IS NOT NULL AND away_goals IS NOT NULL),
   hp AS (SELECT *, CAST(CASE result WHEN 'W' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS BIGINT) AS points, CAST(result = 'W' AS BIGINT) AS is_win, CAST(result = 'D' AS BIGINT) AS is_draw, CAST(result = 'L' AS BIGINT) AS is_loss FROM h)"""
 
 
@@ -80,34 +80,40 @@ def match_adapter(spark: SparkSession, d: str) -> DataFrame:
     return matches(spark, d)
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS match_id, CAST(o_orderdate AS DATE) AS match_date, 'Team ' || CAST(o_custkey AS VARCHAR) AS home_team, 'Team ' || CAST(o_custkey + 1 AS VARCHAR) AS away_team,
-    CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 5 END AS home_goals, o_custkey % 4 AS away_goals, o_orderstatus AS full_time_result FROM orders""")
+@query("""WITH r AS (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 5 END AS hg FROM orders)
+    SELECT sha256('2019/20|' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '|Team ' || CAST(o_custkey AS VARCHAR) || '|Team ' || CAST(o_custkey + 1 AS VARCHAR)) AS match_id, '2019/20' AS season, 'Premier League' AS competition, CAST(o_orderdate AS DATE) AS match_date, '12:30' AS kickoff_time,
+    'Team ' || CAST(o_custkey AS VARCHAR) AS home_team, 'Team ' || CAST(o_custkey + 1 AS VARCHAR) AS away_team, hg AS home_goals, o_custkey % 4 AS away_goals, o_orderstatus AS full_time_result, o_orderkey % 7 AS home_shots, o_orderkey % 3 AS away_red_cards, 'football-data.co.uk' AS source FROM r""")
 def historical_normalise(spark: SparkSession, d: str) -> DataFrame:
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     text = F.when(key % 3 == 0, F.date_format(day, "dd/MM/yyyy")).when(key % 3 == 1, F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.lit(" "), F.date_format(day, "dd/MM/yyyy"), F.lit("\t")))
     raw = table(spark, d, "orders").select(
-        key.cast("string").alias("match_id"), text.alias("date_text"), F.concat(F.lit("\t Team "), F.col("o_custkey").cast("string"), F.lit(" ")).alias("home_team"), F.concat(F.lit("Team "), (F.col("o_custkey") + 1).cast("string")).alias("away_team"),
-        F.when(key % 11 == 0, "n/a").otherwise((key % 5).cast("string")).alias("home_goals"), F.concat(F.lit(" "), (F.col("o_custkey") % 4).cast("string")).alias("away_goals"), F.lower("o_orderstatus").alias("result"),
-    )
-    return silver.normalise_historical(raw)
+        text.alias("Date"), F.lit("12:30").alias("Time"), F.concat(F.lit("\t Team "), F.col("o_custkey").cast("string"), F.lit(" ")).alias("HomeTeam"), F.concat(F.lit("Team "), (F.col("o_custkey") + 1).cast("string")).alias("AwayTeam"),
+        F.when(key % 11 == 0, "n/a").otherwise((key % 5).cast("string")).alias("FTHG"), F.concat(F.lit(" "), (F.col("o_custkey") % 4).cast("string")).alias("FTAG"), F.lower("o_orderstatus").alias("FTR"), (key % 7).cast("string").alias("HS"), (key % 3).cast("string").alias("AR"), F.lit("x").alias("Referee"),
+    )
+    return silver.normalise_historical(raw, 2019).drop("ingested_at")
 
 
-@query("""SELECT CAST(event_id AS VARCHAR) AS match_id, event_id AS api_match_id, user_id AS home_team_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS home_goals, CAST(event_id % 3 AS BIGINT) AS away_goals,
-    CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > event_id % 3 THEN 'H' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < event_id % 3 THEN 'A' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) = event_id % 3 THEN 'D' END AS full_time_result,
-    date_trunc('second', ts) AS kickoff_utc, CAST(year(ts) AS VARCHAR) || '/' || lpad(CAST((year(ts) + 1) % 100 AS VARCHAR), 2, '0') AS season FROM events""")
+@query("""SELECT 'football-data.org:' || event_id AS match_id, event_id AS api_match_id, 7::BIGINT AS competition_id, 'AAA' AS competition_code, user_id AS home_team_id, CASE WHEN event_id % 5 <> 0 THEN 'Home ' || user_id END AS home_team, CASE WHEN event_id % 5 <> 0 THEN 'H' || user_id % 10 END AS home_team_tla,
+    CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS home_goals, CAST(event_id % 3 AS BIGINT) AS away_goals, CASE WHEN event_id % 3 = 0 THEN NULL WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > event_id % 3 THEN 'H'
+    WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < event_id % 3 THEN 'A' ELSE 'D' END AS full_time_result, date_trunc('second', ts) AS kickoff_utc, 'REGULAR' AS duration, CAST(year(ts) AS VARCHAR) || '/' || lpad(CAST((year(ts) + 1) % 100 AS VARCHAR), 2, '0') AS season FROM events WHERE event_id % 13 <> 0""")
 def json_flatten_current(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    score = F.struct(F.struct(F.get_json_object("props", "$.k").alias("home"), (F.col("event_id") % 3).alias("away")).alias("fullTime"))
-    one = F.struct(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utcDate"), F.struct(F.date_format("ts", "yyyy-MM-dd").alias("startDate")).alias("season"), F.struct(F.col("user_id").alias("id")).alias("homeTeam"), score.alias("score"))
-    return payloads.flatten_matches(e.select(F.to_json(F.struct(F.array(one).alias("matches"))).alias("payload"))).select("match_id", "api_match_id", "home_team_id", "home_goals", "away_goals", "full_time_result", F.col("kickoff_utc").cast("timestamp_ntz").alias("kickoff_utc"), "season")
+    """Payloads with missing objects, scores that are no numbers, and entries that are no objects."""
+    e, k = table(spark, d, "events"), F.col("event_id").cast("string")
+    score = F.concat(F.lit('{"duration": "REGULAR", "fullTime": {"home": '), F.when(F.col("event_id") % 3 == 0, '"abandoned"').otherwise(F.get_json_object("props", "$.k")), F.lit(', "away": '), (F.col("event_id") % 3).cast("string"), F.lit("}}"))
+    home = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"id": '), F.col("user_id").cast("string"), F.lit("}"))).otherwise(F.concat(F.lit('{"id": '), F.col("user_id").cast("string"), F.lit(', "name": "Home '), F.col("user_id").cast("string"), F.lit('", "tla": "H'), (F.col("user_id") % 10).cast("string"), F.lit('"}')))
+    one = F.concat(F.lit('{"id": '), k, F.lit(', "utcDate": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('", "season": {"startDate": "'), F.date_format("ts", "yyyy-MM-dd"), F.lit('"}, "homeTeam": '), home, F.lit(', "awayTeam": null, "score": '), score, F.lit("}"))
+    payload = F.concat(F.lit('{"competition": {"id": 7, "code": "AAA"}, "matches": ['), F.when(F.col("event_id") % 13 == 0, "17").otherwise(one), F.lit("]}"))
+    kept = ["match_id", "api_match_id", "competition_id", "competition_code", "home_team_id", "home_team", "home_team_tla", "home_goals", "away_goals", "full_time_result", "duration", "season"]
+    return payloads.flatten_matches(e.select(payload.alias("payload"))).select(*kept, F.col("kickoff_utc").cast("timestamp_ntz").alias("kickoff_utc"))
 
 
-@query("""SELECT n_regionkey AS group_id, 'TOTAL' AS standing_type, CAST(n_nationkey AS BIGINT) AS team_id, n_name AS team, CAST(n_nationkey * 2 AS BIGINT) AS points FROM nation""")
+@query("""SELECT n_regionkey AS group_id, 'TOTAL' AS standing_type, CAST(n_nationkey AS BIGINT) AS team_id, n_name AS team, CAST(n_nationkey * 2 AS BIGINT) AS points, CAST(n_nationkey % 4 AS BIGINT) AS won, 'W,D' AS form, '2023/24' AS season FROM nation WHERE n_nationkey <> 3""")
 def json_flatten_standings(spark: SparkSession, d: str) -> DataFrame:
-    row = F.struct(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).alias("team"), (F.col("n_nationkey") * 2).alias("points"))
+    k = F.col("n_nationkey").cast("string")
+    row = F.when(F.col("n_nationkey") == 3, "null").otherwise(F.concat(F.lit('{"form": "W,D", "team": {"id": '), k, F.lit(', "name": "'), F.col("n_name"), F.lit('"}, "won": '), (F.col("n_nationkey") % 4).cast("string"), F.lit(', "points": '), (F.col("n_nationkey") * 2).cast("string"), F.lit("}")))
     groups = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(row).alias("rows"))
-    payload = F.to_json(F.struct(F.array(F.struct(F.lit("TOTAL").alias("type"), F.col("rows").alias("table"))).alias("standings")))
-    return payloads.flatten_standings(groups.select(F.col("n_regionkey").alias("group_id"), payload.alias("payload")), ["group_id"]).select("group_id", "standing_type", "team_id", "team", "points")
+    payload = F.concat(F.lit('{"season": {"startDate": "2023-08-11"}, "standings": [5, {"type": "HOME"}, {"type": "TOTAL", "table": ['), F.array_join("rows", ","), F.lit("]}]}"))
+    return payloads.flatten_standings(groups.select(F.col("n_regionkey").alias("group_id"), payload.alias("payload")), ["group_id"]).select("group_id", "standing_type", "team_id", "team", "points", "won", "form", "season")
 
 
 def _noisy(spark: SparkSession, d: str) -> DataFrame:
@@ -224,45 +230,79 @@ def _sides(columns: list[str]) -> str:
     return ", ".join(f"coalesce({v[0]}.{c}, 0) AS {v}_{c}" for v in ("home", "away") for c in columns)
 
 
-FORM_FEATURES = ["matches_played_before", *form.NAMES]
-WIDE = f"""{M}, {H} {_form_sql(5)}, w AS (SELECT m.*, {_sides(FORM_FEATURES)} FROM m LEFT JOIN f h ON h.match_key = m.match_key AND h.venue = 'home' LEFT JOIN f a ON a.match_key = m.match_key AND a.venue = 'away')"""
-WIDE_COLUMNS = [f"{v}_{c}" for v in ("home", "away") for c in FORM_FEATURES]
+FORM_FEATURES = ["matches_played_before", *form.NAMES, "average_points_last_5"]
+REST = "fr AS (SELECT f.*, CAST(floor((epoch_us(kickoff_utc) - epoch_us(lag(kickoff_utc) OVER (PARTITION BY team_id ORDER BY kickoff_utc, match_key))) / 86400000000) AS BIGINT) AS days FROM f)"
+WIDE = f"""{M}, {H} {_form_sql(5)}, {REST}, w AS (SELECT m.*, {_sides(FORM_FEATURES)}, h.days AS home_days_since_previous_match, a.days AS away_days_since_previous_match FROM m
+    LEFT JOIN fr h ON h.match_key = m.match_key AND h.venue = 'home' LEFT JOIN fr a ON a.match_key = m.match_key AND a.venue = 'away')"""
+WIDE_COLUMNS = [f"{v}_{c}" for v in ("home", "away") for c in [*FORM_FEATURES, "days_since_previous_match"]]
+_GAPS = ", ".join(f"round(home_{c} - away_{c}, 6) AS {name}" if "average" in c else f"home_{c} - away_{c} AS {name}" for name, c in form.DIFFERENCES.items())
+
 
+def _match_form(spark: SparkSession, d: str) -> DataFrame:
+    m = matches(spark, d)
+    return form.match_form(m, form.rolling_form(form.rest_days(form.team_history(m))))
 
-@query(f"WITH {WIDE} SELECT match_key, {', '.join(WIDE_COLUMNS)}, home_points_last_5 - away_points_last_5 AS points_last_5_difference, home_goal_difference_last_5 - away_goal_difference_last_5 AS goal_difference_last_5_difference FROM w")
+
+@query(f"WITH {WIDE} SELECT match_key, {', '.join(WIDE_COLUMNS)}, {_GAPS} FROM w")
 def match_form(spark: SparkSession, d: str) -> DataFrame:
-    return form.match_form(matches(spark, d), _form(spark, d, 5)).select("match_key", *WIDE_COLUMNS, "points_last_5_difference", "goal_difference_last_5_difference")
+    rounded = {c: F.round(c, 6) for c in ("home_average_points_last_5", "away_average_points_last_5", "average_form_difference")}
+    return _match_form(spark, d).withColumns(rounded).select("match_key", *WIDE_COLUMNS, *form.DIFFERENCES)
 
 
-@query()
+@query(f"""WITH {M}, {H}, pl AS (SELECT team_id, row_number() OVER w AS pn, sum(points) OVER (w ROWS UNBOUNDED PRECEDING) AS cs FROM hp WINDOW w AS (PARTITION BY team_id ORDER BY kickoff_utc, match_key, venue)),
+    al AS (SELECT match_key, kickoff_utc, venue AS side, team_id, points FROM hp UNION ALL SELECT match_key, kickoff_utc, 'home', home_team_id, NULL FROM m WHERE status <> 'FINISHED' UNION ALL SELECT match_key, kickoff_utc, 'away', away_team_id, NULL FROM m WHERE status <> 'FINISHED'),
+    ak AS (SELECT *, count(points) OVER (PARTITION BY team_id ORDER BY kickoff_utc, match_key, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM al)
+    SELECT ak.match_key, side, CAST(coalesce(a.cs, 0) - coalesce(b.cs, 0) AS BIGINT) AS points_last FROM ak LEFT JOIN pl a ON a.team_id = ak.team_id AND a.pn = k LEFT JOIN pl b ON b.team_id = ak.team_id AND b.pn = k - 5""")
 def form_as_of(spark: SparkSession, d: str) -> DataFrame:
     m = matches(spark, d)
     return form.form_as_of(m, form.team_history(m))
 
 
+#: The fold as a recursion over the matches in order, with the ratings of the twenty teams as a list.
+_TEAM = "CAST(right({0}_team_id, 2) AS INT) + 1"
+ELO = f"""{M}, eo AS MATERIALIZED (SELECT row_number() OVER (ORDER BY kickoff_utc, match_key) AS n, match_key, {_TEAM.format('home')} AS h, {_TEAM.format('away')} AS a,
+    CASE WHEN status = 'FINISHED' AND home_goals IS NOT NULL AND away_goals IS NOT NULL THEN CASE WHEN home_goals > away_goals THEN 1.0::DOUBLE WHEN home_goals = away_goals THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END END AS s FROM m),
+  ee AS (SELECT 0::BIGINT AS n, list_transform(range(20), lambda x: 1500.0::DOUBLE) AS r, NULL::VARCHAR AS match_key, 0.0::DOUBLE AS hp, 0.0::DOUBLE AS ap, 0.0::DOUBLE AS x, NULL::DOUBLE AS s, 0.0::DOUBLE AS c
+    UNION ALL SELECT q.n, list_transform(q.r, lambda v, i: v + CASE WHEN i = q.h THEN q.c WHEN i = q.a THEN -q.c ELSE 0.0::DOUBLE END), q.match_key, q.hp, q.ap, q.x, q.s, q.c FROM (
+      SELECT p.*, coalesce(20.0 * (p.s - p.x), 0.0) AS c FROM (SELECT eo.n, eo.match_key, eo.h, eo.a, eo.s, ee.r, ee.r[eo.h] AS hp, ee.r[eo.a] AS ap, 1 / (1 + pow(10.0, -(ee.r[eo.h] + 60.0 - ee.r[eo.a]) / 400.0)) AS x FROM ee JOIN eo ON eo.n = ee.n + 1) p) q),
+  el AS (SELECT match_key, hp AS home_elo_pre, ap AS away_elo_pre, hp - ap AS elo_difference, x AS home_expected_score, 1 - x AS away_expected_score, s AS actual_home, c AS home_elo_change, -c AS away_elo_change, hp + c AS home_elo_post, ap - c AS away_elo_post FROM ee WHERE n > 0)"""
+
+
 def _elo(spark: SparkSession, d: str) -> DataFrame:
     return elo.elo_history(matches(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {ELO} SELECT match_key, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in elo.COLUMNS[1:])} FROM el")
 def elo_history(spark: SparkSession, d: str) -> DataFrame:
-    return _elo(spark, d).select("match_key", *[F.round(c, 6).alias(c) for c in ("home_elo_pre", "away_elo_pre", "home_expected_score", "away_expected_score", "actual_home", "home_elo_post", "away_elo_post")])
+    return _elo(spark, d).select("match_key", *[F.round(c, 6).alias(c) for c in elo.COLUMNS[1:]])
 
 
-@query("SELECT count(*) AS row_count, 0::BIGINT AS duplicate_keys, 0::BIGINT AS outside_unit, 0::BIGINT AS not_one, 0::BIGINT AS not_conserved FROM orders")
+@query(f"""WITH {M} SELECT count(*) + count(nullif(CAST(match_key AS BIGINT) % 50 = 0, false)) AS row_count, count(nullif(CAST(match_key AS BIGINT) % 50 = 0, false)) AS duplicate_keys, 2 * count(nullif(CAST(match_key AS BIGINT) % 300 = 0, false)) + count(nullif(CAST(match_key AS BIGINT) % 60 = 0 AND CAST(match_key AS BIGINT) % 300 <> 0, false)) AS outside_unit,
+    2 * count(nullif(CAST(match_key AS BIGINT) % 300 = 0, false)) + count(nullif(CAST(match_key AS BIGINT) % 60 = 0 AND CAST(match_key AS BIGINT) % 300 <> 0, false)) AS not_one,
+    2 * count(nullif(CAST(match_key AS BIGINT) % 350 = 0, false)) + count(nullif(CAST(match_key AS BIGINT) % 70 = 0 AND CAST(match_key AS BIGINT) % 350 <> 0, false)) AS not_conserved FROM m""")
 def elo_invariants(spark: SparkSession, d: str) -> DataFrame:
-    return elo.elo_invariants(_elo(spark, d))
+    """Counted on a history with planted faults."""
+    k = F.col("match_key").cast("long")
+    history = _elo(spark, d).withColumns({"home_expected_score": F.when(k % 60 == 0, F.col("home_expected_score") + 1).otherwise(F.col("home_expected_score")), "away_elo_post": F.when(k % 70 == 0, F.col("away_elo_post") + 1).otherwise(F.col("away_elo_post"))})
+    return elo.elo_invariants(history.unionByName(history.filter(k % 50 == 0)))
 
 
 def _model(spark: SparkSession, d: str) -> DataFrame:
     """Form and ratings of each match with target, flags and split."""
-    m = form.match_form(matches(spark, d), _form(spark, d, 5)).join(_elo(spark, d).select("match_key", "home_elo_pre", "away_elo_pre", "home_expected_score", "away_expected_score"), "match_key")
+    m = elo.match_elo(_match_form(spark, d), _elo(spark, d).select("match_key", "home_elo_pre", "away_elo_pre", "elo_difference", "home_expected_score", "away_expected_score"))
     return gold.assign_splits(gold.cold_start_flags(m.withColumn("target", C.target_of(F.col("full_time_result")))), VALIDATION, TEST)
 
 
-@query()
+MODEL = f"""{ELO.replace(M, WIDE)}, md AS (SELECT w.*, el.home_elo_pre, el.away_elo_pre, el.elo_difference, el.home_expected_score, el.away_expected_score, CAST(CASE full_time_result WHEN 'A' THEN 0 WHEN 'D' THEN 1 WHEN 'H' THEN 2 END AS BIGINT) AS target,
+    CASE WHEN season = '{VALIDATION}' THEN 'validation' WHEN season = '{TEST}' THEN 'test' WHEN season < '{VALIDATION}' THEN 'train' ELSE 'future' END AS split, home_matches_played_before = 0 AS home_is_cold_start, away_matches_played_before = 0 AS away_is_cold_start,
+    home_matches_played_before < 5 AS home_has_limited_history, away_matches_played_before < 5 AS away_has_limited_history FROM w JOIN el USING (match_key))"""
+_ROUNDED = ("home_elo_pre", "away_elo_pre", "elo_difference", "home_expected_score", "away_expected_score")
+_MODEL_KEPT = ["match_key", "season", "split", "target", "home_points_last_5", "away_points_last_5", "home_is_cold_start", "away_is_cold_start", "home_has_limited_history", "away_has_limited_history", "rest_days_difference"]
+
+
+@query(f"WITH RECURSIVE {MODEL} SELECT {', '.join(c for c in _MODEL_KEPT if c != 'rest_days_difference')}, home_days_since_previous_match - away_days_since_previous_match AS rest_days_difference, {', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)} FROM md")
 def model_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return _model(spark, d).select("match_key", "season", "split", "target", "home_points_last_5", "away_points_last_5", F.round("home_elo_pre", 6).alias("home_elo_pre"), F.round("away_elo_pre", 6).alias("away_elo_pre"), "home_is_cold_start", "away_has_limited_history")
+    return _model(spark, d).select(*_MODEL_KEPT, *[F.round(c, 6).alias(c) for c in _ROUNDED])
 
 
 @query(f"WITH {M} SELECT match_key, CAST(CASE full_time_result WHEN 'A' THEN 0 WHEN 'D' THEN 1 WHEN 'H' THEN 2 END AS BIGINT) AS target FROM m")
@@ -272,7 +312,7 @@ def target_encoding(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {WIDE} SELECT match_key, home_matches_played_before = 0 AS home_is_cold_start, home_matches_played_before < 5 AS home_has_limited_history, away_matches_played_before = 0 AS away_is_cold_start, away_matches_played_before < 5 AS away_has_limited_history FROM w")
 def cold_start_flags(spark: SparkSession, d: str) -> DataFrame:
-    flagged = gold.cold_start_flags(form.match_form(matches(spark, d), _form(spark, d, 5)))
+    flagged = gold.cold_start_flags(_match_form(spark, d))
     return flagged.select("match_key", "home_is_cold_start", "home_has_limited_history", "away_is_cold_start", "away_has_limited_history")
 
 
@@ -300,25 +340,76 @@ def target_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {WIDE} SELECT match_key, CAST(home_points_last_5 AS DOUBLE) AS f1, coalesce(CAST(home_goals AS DOUBLE), 0.0) AS f2, CAST(home_matches_played_before = 0 AS DOUBLE) AS f3 FROM w")
 def feature_frame(spark: SparkSession, d: str) -> DataFrame:
-    m = gold.cold_start_flags(form.match_form(matches(spark, d), _form(spark, d, 5)))
+    m = gold.cold_start_flags(_match_form(spark, d))
     return m.select("match_key", gold.feature("home_points_last_5").alias("f1"), gold.feature("home_goals").alias("f2"), gold.feature("home_is_cold_start").alias("f3"))
 
 
-@query(f"""WITH {M} SELECT count(*) AS row_count, count(*) - count(DISTINCT match_key) AS duplicate_keys, count(nullif(home_team_id = away_team_id, false)) AS same_team, count(nullif(status = 'FINISHED' AND (home_goals IS NULL OR away_goals IS NULL), false)) AS missing_score,
-    count(nullif(home_goals < 0 OR away_goals < 0, false)) AS negative_goals, 0::BIGINT AS wrong_result, count(nullif(match_date IS NULL, false)) AS missing_date FROM m""")
+#: Faults planted by key: what a validator must count.
+BROKEN = f"""{M}, bm AS (SELECT match_key, season, kickoff_utc, CASE WHEN k % 90 <> 0 THEN match_date END AS match_date, status, home_team_id, CASE WHEN k % 60 = 0 THEN home_team_id ELSE away_team_id END AS away_team_id, CASE WHEN k % 70 = 0 THEN -1 ELSE home_goals END AS home_goals, away_goals,
+    CASE WHEN k % 50 = 0 THEN 'D' ELSE full_time_result END AS full_time_result FROM (SELECT *, CAST(match_key AS BIGINT) AS k FROM m)), br AS (SELECT * FROM bm UNION ALL SELECT * FROM bm WHERE CAST(match_key AS BIGINT) % 80 = 0)"""
+_TRUE_RESULT = "CASE WHEN home_goals > away_goals THEN 'H' WHEN home_goals < away_goals THEN 'A' WHEN home_goals = away_goals THEN 'D' END"
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("match_key").cast("long")
+    changed = {"match_date": F.when(k % 90 != 0, F.col("match_date")), "away_team_id": F.when(k % 60 == 0, F.col("home_team_id")).otherwise(F.col("away_team_id")), "home_goals": F.when(k % 70 == 0, -1).otherwise(F.col("home_goals")), "full_time_result": F.when(k % 50 == 0, "D").otherwise(F.col("full_time_result"))}
+    m = matches(spark, d).withColumns(changed)
+    return m.unionByName(m.filter(k % 80 == 0))
+
+
+def _count(condition: str) -> str:
+    return f"count(nullif({condition}, false))"
+
+
+@query(f"""WITH {BROKEN} SELECT count(*) AS row_count, count(*) - count(DISTINCT match_key) AS duplicate_keys, {_count('home_team_id = away_team_id')} AS same_team, {_count("status = 'FINISHED' AND (home_goals IS NULL OR away_goals IS NULL)")} AS missing_score,
+    {_count('home_goals < 0 OR away_goals < 0')} AS negative_goals, {_count(f"status = 'FINISHED' AND full_time_result <> {_TRUE_RESULT}")} AS wrong_result, {_count('match_date IS NULL')} AS missing_date FROM br""")
 def violations_silver(spark: SparkSession, d: str) -> DataFrame:
-    return gold.silver_violations(matches(spark, d))
+    return gold.silver_violations(_broken(spark, d))
 
 
-@query(f"""WITH {WIDE} SELECT count(*) AS row_count, 0::BIGINT AS duplicate_keys, 0::BIGINT AS negative_played, count(nullif(home_points_last_5 > 15, false)) AS home_points_over, count(nullif(away_points_last_5 > 15, false)) AS away_points_over,
-    count(nullif(home_wins_last_5 + home_draws_last_5 + home_losses_last_5 > 5, false)) AS home_results_over, count(nullif(away_wins_last_5 + away_draws_last_5 + away_losses_last_5 > 5, false)) AS away_results_over FROM w""")
+@query(f"""WITH {BROKEN} SELECT count(*) AS row_count, count(*) - count(DISTINCT match_key) AS duplicate_keys, {_count("trim(home_team_id) = '' OR away_team_id IS NULL")} AS blank_team, {_count('home_team_id = away_team_id')} AS same_team, {_count('home_goals IS NULL OR away_goals IS NULL')} AS missing_score,
+    {_count('home_goals < 0 OR away_goals < 0')} AS negative_goals, {_count(f'home_goals IS NOT NULL AND away_goals IS NOT NULL AND full_time_result IS DISTINCT FROM {_TRUE_RESULT}')} AS wrong_result, {_count('match_date IS NULL')} AS missing_date FROM br""")
+def violations_historical(spark: SparkSession, d: str) -> DataFrame:
+    return gold.historical_violations(_broken(spark, d).withColumnsRenamed({"match_key": "match_id", "home_team_id": "home_team", "away_team_id": "away_team"}))
+
+
+@query(f"""WITH {M}, {H}, v AS (SELECT match_key, team_id, opponent_id, result, points, CASE WHEN CAST(match_key AS BIGINT) % 40 = 0 THEN 'neutral' ELSE venue END AS venue FROM hp), u AS (SELECT * FROM v UNION ALL SELECT match_key, team_id, team_id, result, points + 1, venue FROM v WHERE CAST(match_key AS BIGINT) % 30 = 0)
+    SELECT count(*) AS row_count, {_count("venue NOT IN ('home', 'away')")} AS bad_venue, count(*) - count(DISTINCT (match_key, team_id)) AS duplicate_keys, {_count('team_id = opponent_id')} AS same_team, {_count("points <> CASE result WHEN 'W' THEN 3 WHEN 'D' THEN 1 ELSE 0 END")} AS bad_points FROM u""")
+def violations_history(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("match_key").cast("long")
+    h = form.team_history(matches(spark, d)).withColumn("venue", F.when(k % 40 == 0, "neutral").otherwise(F.col("venue")))
+    return gold.history_violations(h.unionByName(h.filter(k % 30 == 0).withColumns({"opponent_id": F.col("team_id"), "points": F.col("points") + 1})))
+
+
+@query(f"""WITH {WIDE}, b AS (SELECT match_key, CASE WHEN k % 50 = 0 THEN -1 ELSE home_matches_played_before END AS home_matches_played_before, away_matches_played_before, CASE WHEN k % 60 = 0 THEN 16 ELSE home_points_last_5 END AS home_points_last_5, away_points_last_5,
+      CASE WHEN k % 70 = 0 THEN 6 ELSE home_wins_last_5 END + home_draws_last_5 + home_losses_last_5 AS hr, away_wins_last_5 + away_draws_last_5 + away_losses_last_5 AS ar FROM (SELECT *, CAST(match_key AS BIGINT) AS k FROM w)), u AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE CAST(match_key AS BIGINT) % 80 = 0)
+    SELECT count(*) AS row_count, count(*) - count(DISTINCT match_key) AS duplicate_keys, {_count('home_matches_played_before < 0 OR away_matches_played_before < 0')} AS negative_played, {_count('home_points_last_5 > 15')} AS home_points_over, {_count('away_points_last_5 > 15')} AS away_points_over,
+      {_count('hr > 5')} AS home_results_over, {_count('ar > 5')} AS away_results_over FROM u""")
 def violations_form(spark: SparkSession, d: str) -> DataFrame:
-    return gold.form_violations(form.match_form(matches(spark, d), _form(spark, d, 5)))
+    k = F.col("match_key").cast("long")
+    planted = {"home_matches_played_before": F.when(k % 50 == 0, -1).otherwise(F.col("home_matches_played_before")), "home_points_last_5": F.when(k % 60 == 0, 16).otherwise(F.col("home_points_last_5")), "home_wins_last_5": F.when(k % 70 == 0, 6).otherwise(F.col("home_wins_last_5"))}
+    f = _match_form(spark, d).withColumns(planted)
+    return gold.form_violations(f.unionByName(f.filter(k % 80 == 0)))
 
 
-@query()
+_FLAGS = " OR ".join(f"{s}_is_cold_start <> ({s}_matches_played_before = 0) OR {s}_has_limited_history <> ({s}_matches_played_before < 5)" for s in ("home", "away"))
+_EDGE = "CASE WHEN split = '{0}' THEN kickoff_utc END"
+
+
+@query(f"""WITH RECURSIVE {MODEL}, b AS (SELECT match_key, kickoff_utc, CASE WHEN split = 'test' THEN 'none' ELSE split END AS split, CASE WHEN k % 50 = 0 THEN 3 ELSE target END AS target, CASE WHEN k % 60 = 0 THEN 1.5 ELSE home_expected_score END AS x, away_expected_score AS y, home_matches_played_before, away_matches_played_before,
+      home_is_cold_start, away_is_cold_start, home_has_limited_history, CASE WHEN k % 70 = 0 THEN NOT away_has_limited_history ELSE away_has_limited_history END AS away_has_limited_history FROM (SELECT *, CAST(match_key AS BIGINT) AS k FROM md)), u AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE CAST(match_key AS BIGINT) % 80 = 0)
+    SELECT count(*) AS row_count, count(*) - count(DISTINCT match_key) AS duplicate_keys, {_count('target NOT IN (0, 1, 2)')} AS bad_target, {_count('x NOT BETWEEN 0 AND 1 OR y NOT BETWEEN 0 AND 1')} AS bad_expectation, {_count('abs(x + y - 1) > 1e-9')} AS expectation_sum,
+      {', '.join(f"CAST(count(nullif(split = '{s}', false)) = 0 AS INT) AS no_{s}" for s in gold.SPLITS)}, coalesce(CAST(max({_EDGE.format('train')}) >= min({_EDGE.format('validation')}) AS INT), 0) AS train_overlaps, coalesce(CAST(max({_EDGE.format('validation')}) >= min({_EDGE.format('test')}) AS INT), 0) AS validation_overlaps, {_count(_FLAGS)} AS bad_flag FROM u""")
 def violations_model(spark: SparkSession, d: str) -> DataFrame:
-    return gold.model_violations(_model(spark, d))
+    k = F.col("match_key").cast("long")
+    planted = {"split": F.when(F.col("split") == "test", "none").otherwise(F.col("split")), "target": F.when(k % 50 == 0, 3).otherwise(F.col("target")), "home_expected_score": F.when(k % 60 == 0, 1.5).otherwise(F.col("home_expected_score")), "away_has_limited_history": (k % 70 == 0) != F.col("away_has_limited_history")}
+    m = _model(spark, d).withColumns(planted)
+    return gold.model_violations(m.unionByName(m.filter(k % 80 == 0)))
+
+
+@query(f"WITH {BROKEN} SELECT {', '.join(f'{_count(f"{c} IS NULL")} AS {c}' for c in ('match_key', 'match_date', 'home_goals', 'away_goals', 'full_time_result'))} FROM br")
+def null_counts(spark: SparkSession, d: str) -> DataFrame:
+    return gold.null_counts(_broken(spark, d).select("match_key", "match_date", "home_goals", "away_goals", "full_time_result"))
 
 
 @query(f"WITH {M} SELECT season, count(*) AS row_count, count(DISTINCT match_key) AS ids, min(match_date) AS first_date, max(match_date) AS last_date, count(nullif(status = 'FINISHED', false)) AS finished, count(nullif(status <> 'FINISHED', false)) AS not_finished FROM m GROUP BY season")
@@ -396,17 +487,19 @@ def reliability_by_class(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d).select("split", "class_label", "bin", "n", F.round("mean_probability", 6).alias("mean_probability"), F.round("observed_frequency", 6).alias("observed_frequency"))
 
 
-@query(f"WITH {TABLE} SELECT split, class_label, round(sum(abs(mp - my) * n) / sum(n), 6) AS expected_calibration_error, round(max(abs(mp - my)), 6) AS maximum_calibration_error, count(nullif(n > 0, false)) AS populated_bins FROM rt GROUP BY split, class_label")
+@query(f"WITH {TABLE} SELECT split, class_label, round(sum(abs(mp - my) * n) / sum(n), 6) AS expected_calibration_error, round(max(abs(mp - my)), 6) AS maximum_calibration_error, round(sum(mp * n) / sum(n) - sum(my * n) / sum(n), 6) AS bias, count(nullif(n > 0, false)) AS populated_bins FROM rt GROUP BY split, class_label")
 def calibration_summary(spark: SparkSession, d: str) -> DataFrame:
     s = probability.calibration_summary(_table(spark, d), ["split", "class_label"])
-    return s.select("split", "class_label", F.round("expected_calibration_error", 6).alias("expected_calibration_error"), F.round("maximum_calibration_error", 6).alias("maximum_calibration_error"), "populated_bins")
+    return s.select("split", "class_label", F.round("expected_calibration_error", 6).alias("expected_calibration_error"), F.round("maximum_calibration_error", 6).alias("maximum_calibration_error"), F.round("bias", 6).alias("bias"), "populated_bins")
+
 
+SURE = f"{SCORED}, cf AS (SELECT split, greatest(p0, p1, p2) AS p, ((CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END) = target)::INT::DOUBLE AS y FROM sc WHERE target IS NOT NULL), cb AS (SELECT split, least(len(list_filter({EDGES}, lambda e: e <= p)) - 1, 9)::BIGINT AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM cf GROUP BY ALL)"
 
-@query(f"""WITH {SCORED}, c AS (SELECT split, greatest(p0, p1, p2) AS p, ((CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END) = target)::INT AS y FROM sc WHERE target IS NOT NULL)
-    SELECT split, round(avg(p), 6) AS mean_confidence, round(avg(y), 6) AS accuracy, round(avg(p) - avg(y), 6) AS over_confidence FROM c GROUP BY split""")
+
+@query(f"WITH {SURE} SELECT split, round(sum(mp * n) / sum(n), 6) AS mean_confidence, round(sum(my * n) / sum(n), 6) AS accuracy, round(sum((mp - my) * n) / sum(n), 6) AS over_confidence, round(sum(abs(mp - my) * n) / sum(n), 6) AS expected_calibration_error, round(max(abs(mp - my)), 6) AS maximum_calibration_error, count(*) AS populated_bins FROM cb GROUP BY split")
 def confidence_calibration(spark: SparkSession, d: str) -> DataFrame:
-    c = probability.confidence(_scored(spark, d), ["split"])
-    return c.groupBy("split").agg(F.round(F.avg("p"), 6).alias("mean_confidence"), F.round(F.avg("y"), 6).alias("accuracy"), F.round(F.avg("p") - F.avg("y"), 6).alias("over_confidence"))
+    c = probability.confidence_summary(_scored(spark, d), ["split"])
+    return c.select("split", *[F.round(n, 6).alias(n) for n in ("mean_confidence", "accuracy", "over_confidence", "expected_calibration_error", "maximum_calibration_error")], "populated_bins")
 
 
 def _two_models(spark: SparkSession, d: str) -> DataFrame:
@@ -414,6 +507,13 @@ def _two_models(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({f"q{k}": F.lit(v) for k, v in enumerate((0.2, 0.3, 0.5))})
 
 
+def _aligned(spark: SparkSession, d: str, split: str) -> DataFrame:
+    """The ratings' probabilities against a constant, aligned by key."""
+    s = _two_models(spark, d).filter((F.col("split") == split) & F.col("target").isNotNull())
+    second = s.select("match_key", "target", *[F.col(f"q{k}").alias(c) for k, c in enumerate(probability.P)])
+    return probability.align(s.select("match_key", "target", *probability.P), second)
+
+
 BLENDED = f"{SCORED}, ws AS (SELECT range * 0.05::DOUBLE AS w FROM range(21)), bl AS (SELECT match_key, target, CAST(round(w, 2) AS DOUBLE) AS first_weight, w * p0 + (1 - w) * 0.2 AS p0, w * p1 + (1 - w) * 0.3 AS p1, w * p2 + (1 - w) * 0.5 AS p2 FROM sc, ws WHERE split = 'validation')"
 
 
@@ -426,18 +526,80 @@ def blend(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BLENDED} {_metric_sql('bl', 'first_weight')}")
 def weight_search(spark: SparkSession, d: str) -> DataFrame:
-    weights = spark.range(21).select((F.col("id") * 0.05).alias("w"))
-    s = _two_models(spark, d).filter("split = 'validation'").crossJoin(F.broadcast(weights))
-    mixed = probability.blend([F.col(c) for c in probability.P], [F.col(f"q{k}") for k in range(3)], F.col("w"))
-    named = s.select("target", F.round("w", 2).alias("first_weight"), *[m.alias(c) for m, c in zip(mixed, probability.P, strict=True)])
-    return _round_metrics(probability.metrics(named, ["first_weight"]), ["first_weight"])
+    return _round_metrics(probability.weight_metrics(_aligned(spark, d, "validation"), tuple(round(k * 0.05, 2) for k in range(21))), ["first_weight"])
+
+
+@query(f"WITH {BLENDED}, wm AS ({_metric_sql('bl', 'first_weight')}) SELECT * FROM wm ORDER BY log_loss, brier_score, first_weight LIMIT 1")
+def best_weight(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.best(weight_search(spark, d), "first_weight")
 
 
 @query(f"WITH {SCORED} SELECT match_key, target, round(p0, 9) AS first_away, 0.2::DOUBLE AS second_away FROM sc WHERE split = 'test' AND target IS NOT NULL")
 def align_predictions(spark: SparkSession, d: str) -> DataFrame:
-    s = _two_models(spark, d).filter("split = 'test' and target is not null")
-    first, second = s.select("match_key", "target", F.round(probability.P[0], 9).alias("first_away")), s.select("match_key", F.col("target").alias("_t"), F.col("q0").alias("second_away"))
-    return first.join(second, "match_key").filter("target = _t").drop("_t")
+    a = _aligned(spark, d, "test")
+    return a.select("match_key", "target", F.round(f"first_{probability.P[0]}", 9).alias("first_away"), F.col(f"second_{probability.P[0]}").alias("second_away"))
+
+
+@query(f"""WITH {SCORED} SELECT match_key, (CASE WHEN b0 >= b1 AND b0 >= b2 THEN 0 WHEN b1 >= b2 THEN 1 ELSE 2 END)::BIGINT AS predicted_class, round(greatest(b0, b1, b2), 9) AS prediction_confidence, 0.4::DOUBLE AS first_model_weight, 0.6::DOUBLE AS second_model_weight, 'elo' AS first_model, 'constant' AS second_model
+    FROM (SELECT match_key, 0.4 * p0 + 0.6 * 0.2 AS b0, 0.4 * p1 + 0.6 * 0.3 AS b1, 0.4 * p2 + 0.6 * 0.5 AS b2 FROM sc WHERE split = 'test' AND target IS NOT NULL)""")
+def ensemble_frame(spark: SparkSession, d: str) -> DataFrame:
+    e = probability.blended(_aligned(spark, d, "test"), 0.4, "elo", "constant")
+    return e.select("match_key", "predicted_class", F.round("prediction_confidence", 9).alias("prediction_confidence"), "first_model_weight", F.round("second_model_weight", 9).alias("second_model_weight"), "first_model", "second_model")
+
+
+@query(f"""WITH {SCORED}, b AS (SELECT match_key, target, CASE WHEN CAST(match_key AS BIGINT) % 50 = 0 THEN NULL ELSE p0 END AS p0, CASE WHEN CAST(match_key AS BIGINT) % 60 = 1 THEN 1.25 ELSE p1 END AS p1, CASE WHEN CAST(match_key AS BIGINT) % 70 = 2 THEN p2 / 2 ELSE p2 END AS p2 FROM sc),
+      u AS (SELECT * FROM b UNION ALL SELECT match_key, 5, p0, p1, p2 FROM b WHERE CAST(match_key AS BIGINT) % 80 = 3)
+    SELECT count(*) AS row_count, {_count('p0 IS NULL')} AS not_finite, {_count('p0 IS NOT NULL AND p1 > 1')} AS outside_unit, {_count('p0 IS NOT NULL AND abs(p0 + p1 + p2 - 1) > 1e-8')} AS not_one, count(*) - count(DISTINCT match_key) AS duplicate_keys, {_count('target NOT IN (0, 1, 2)')} AS bad_target FROM u""")
+def violations_predictions(spark: SparkSession, d: str) -> DataFrame:
+    k, (a, b, c) = F.col("match_key").cast("long"), probability.P
+    planted = {a: F.when(k % 50 == 0, float("nan")).otherwise(F.col(a)), b: F.when(k % 60 == 1, 1.25).otherwise(F.col(b)), c: F.when(k % 70 == 2, F.col(c) / 2).otherwise(F.col(c))}
+    s = _scored(spark, d).withColumns(planted)
+    return probability.prediction_violations(s.unionByName(s.filter(k % 80 == 3).withColumn("target", F.lit(5).cast("long"))))
+
+
+#: Probabilities from the ratings themselves, of every match.
+RATED = f"""{ELO}, rs AS (SELECT m.match_key, m.season, CASE WHEN season = '{VALIDATION}' THEN 'validation' WHEN season = '{TEST}' THEN 'test' WHEN season < '{VALIDATION}' THEN 'train' ELSE 'future' END AS split, CAST(CASE full_time_result WHEN 'A' THEN 0 WHEN 'D' THEN 1 WHEN 'H' THEN 2 END AS BIGINT) AS target,
+    (1 - home_expected_score) * 0.75 AS p0, 0.25::DOUBLE AS p1, home_expected_score * 0.75 AS p2 FROM m JOIN el USING (match_key))"""
+
+
+@query(f"WITH RECURSIVE {RATED} {_metric_sql('rs', 'split')}")
+def elo_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the rating baseline, its expectations being those of the rating fold."""
+    rated = _split(spark, d).join(_elo(spark, d).select("match_key", "home_expected_score"), "match_key")
+    return _round_metrics(probability.metrics(rated.withColumns(dict(zip(probability.P, probability.elo_outcome(F.col("home_expected_score")), strict=True))), ["split"]), ["split"])
+
+
+_BASE = f"""{SCORED}, {TRAIN}, bk AS (SELECT CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0 WHEN n1 >= n2 THEN 1 ELSE 2 END AS k FROM n), bs AS (SELECT 'elo' AS model, split, target, p0, p1, p2 FROM sc WHERE split IN ('validation', 'test')
+    UNION ALL SELECT 'frequency', split, target, (n0 + 1) / (n0 + n1 + n2 + 3), (n1 + 1) / (n0 + n1 + n2 + 3), (n2 + 1) / (n0 + n1 + n2 + 3) FROM sc, n WHERE split IN ('validation', 'test')
+    UNION ALL SELECT 'majority', split, target, CASE WHEN k = 0 THEN 1 - 2e-9 ELSE 1e-9 END, CASE WHEN k = 1 THEN 1 - 2e-9 ELSE 1e-9 END, CASE WHEN k = 2 THEN 1 - 2e-9 ELSE 1e-9 END FROM sc, bk WHERE split IN ('validation', 'test'))"""
+
+
+@query(f"WITH {_BASE} {_metric_sql('bs', 'model, split')}")
+def baseline_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Three baselines on two splits: all six records in one job."""
+    s = _split(spark, d).withColumn("home_expected_score", (F.col("match_key").cast("long") * 37 % 1000).cast("double") / 1000.0)
+    return _round_metrics(probability.metrics(evaluation.baselines(s), ["model", "split"]), ["model", "split"])
+
+
+_CAL = f"""{_BASE}, cl AS (SELECT model, 'away_win' AS class_label, p0 AS p, (target = 0)::INT::DOUBLE AS y FROM bs WHERE target IS NOT NULL UNION ALL SELECT model, 'draw', p1, (target = 1)::INT::DOUBLE FROM bs WHERE target IS NOT NULL UNION ALL SELECT model, 'home_win', p2, (target = 2)::INT::DOUBLE FROM bs WHERE target IS NOT NULL
+      UNION ALL SELECT model, 'confidence', greatest(p0, p1, p2), ((CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END) = target)::INT::DOUBLE FROM bs WHERE target IS NOT NULL),
+    ct AS (SELECT model, class_label, least(len(list_filter({EDGES}, lambda e: e <= p)) - 1, 9)::BIGINT AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM cl GROUP BY ALL),
+    cs AS (SELECT model, class_label, sum(abs(mp - my) * n) / sum(n) AS ece, max(abs(mp - my)) AS mce, sum(mp * n) / sum(n) AS p, sum(my * n) / sum(n) AS y FROM ct GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CAL} SELECT a.model, round(mean_class_ece, 6) AS mean_class_ece, round(maximum_class_mce, 6) AS maximum_class_mce, round(mean_absolute_bias, 6) AS mean_absolute_bias, round(c.p, 6) AS mean_confidence, round(c.y, 6) AS accuracy, round(c.p - c.y, 6) AS over_confidence, round(c.ece, 6) AS confidence_ece, round(c.mce, 6) AS confidence_mce
+    FROM (SELECT model, avg(ece) AS mean_class_ece, max(mce) AS maximum_class_mce, avg(abs(p - y)) AS mean_absolute_bias FROM cs WHERE class_label <> 'confidence' GROUP BY model) a JOIN cs c ON c.model = a.model AND c.class_label = 'confidence'""")
+def calibration_of_models(spark: SparkSession, d: str) -> DataFrame:
+    s = _split(spark, d).withColumn("home_expected_score", (F.col("match_key").cast("long") * 37 % 1000).cast("double") / 1000.0)
+    per_model = probability.calibration_of_models(evaluation.baselines(s))[2]
+    return per_model.select("model", *[F.round(c, 6).alias(c) for c in per_model.columns if c != "model"])
+
+
+@query(f"WITH {_CAL}, g AS (SELECT DISTINCT model, class_label FROM cl) SELECT g.model, g.class_label, b.bin, coalesce(n, 0) AS n, round(mp, 6) AS mean_probability, round(my, 6) AS observed_frequency FROM g CROSS JOIN (SELECT range::BIGINT AS bin FROM range(10)) b LEFT JOIN ct ON ct.model = g.model AND ct.class_label = g.class_label AND ct.bin = b.bin")
+def calibration_bins_of_models(spark: SparkSession, d: str) -> DataFrame:
+    s = _split(spark, d).withColumn("home_expected_score", (F.col("match_key").cast("long") * 37 % 1000).cast("double") / 1000.0)
+    bins = probability.calibration_of_models(evaluation.baselines(s))[1]
+    return bins.select("model", "class_label", "bin", "n", F.round("mean_probability", 6).alias("mean_probability"), F.round("observed_frequency", 6).alias("observed_frequency"))
 
 
 @query(f"WITH {M} SELECT season, min(kickoff_utc) AS season_start, row_number() OVER (ORDER BY min(kickoff_utc)) AS position FROM m GROUP BY season")
@@ -453,13 +615,30 @@ def backtest_folds(spark: SparkSession, d: str) -> DataFrame:
     return gold.backtest_folds(matches(spark, d))
 
 
-@query(f"""WITH {FOLDS}, q AS (SELECT fo.fold_number, m.home_goals - m.away_goals AS gap FROM m JOIN fo ON fo.season = m.season AND fo.role = 'evaluation' WHERE m.status = 'FINISHED'), e AS (SELECT fold_number, avg(gap) AS v FROM q GROUP BY fold_number)
-    SELECT count(*) AS folds, round(avg(v), 6) AS mean_gap, round(stddev_samp(v), 6) AS sd_gap FROM e""")
+FOLD_SCORES = f"""{FOLDS}, ft AS (SELECT *, CAST(CASE full_time_result WHEN 'A' THEN 0 WHEN 'D' THEN 1 WHEN 'H' THEN 2 END AS BIGINT) AS target FROM m), fc AS (SELECT fold_number, count(nullif(target = 0, false))::DOUBLE AS n0, count(nullif(target = 1, false))::DOUBLE AS n1, count(nullif(target = 2, false))::DOUBLE AS n2 FROM ft JOIN fo ON fo.season = ft.season AND role = 'training' GROUP BY fold_number),
+    fs AS (SELECT fo.fold_number, evaluation_season, target, (n0 + 1) / (n0 + n1 + n2 + 3) AS p0, (n1 + 1) / (n0 + n1 + n2 + 3) AS p1, (n2 + 1) / (n0 + n1 + n2 + 3) AS p2 FROM ft JOIN fo ON fo.season = ft.season AND role = 'evaluation' JOIN fc ON fc.fold_number = fo.fold_number)"""
+
+
+@query(f"WITH {FOLD_SCORES} {_metric_sql('fs', 'fold_number, evaluation_season')}")
+def backtest_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of every fold's own class frequencies on its evaluation season."""
+    m = matches(spark, d).withColumn("target", C.target_of(F.col("full_time_result")))
+    return _round_metrics(probability.metrics(evaluation.frequency_folds(m), ["fold_number", "evaluation_season"]), ["fold_number", "evaluation_season"])
+
+
+@query(f"""WITH {FOLD_SCORES}, fm AS ({_metric_sql('fs', 'fold_number, evaluation_season')}) SELECT 'frequency' AS model, count(*) AS fold_count, {', '.join(f"round(avg({c}), 5) AS {c}_mean, round(stddev_samp({c}), 5) AS {c}_std" for c in ('accuracy', 'balanced_accuracy', 'macro_f1', 'log_loss', 'brier_score', 'ranked_probability_score'))} FROM fm""")
 def backtest_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and deviation over the folds of each metric."""
+    summary = evaluation.summarise_folds(backtest_frequency(spark, d).withColumn("model", F.lit("frequency")))
+    return summary.select("model", "fold_count", *[F.round(c, 5).alias(c) for c in summary.columns if c not in ("model", "fold_count")])
+
+
+@query(f"WITH {FOLDS}, b AS (SELECT fo.fold_number, max(CASE WHEN role = 'training' THEN kickoff_utc END) AS l, min(CASE WHEN role = 'evaluation' THEN kickoff_utc END) AS f FROM m JOIN fo ON fo.season = m.season GROUP BY 1) SELECT fold_number, CAST(l >= f AS INT) AS not_in_order FROM b")
+def violations_folds(spark: SparkSession, d: str) -> DataFrame:
     m = matches(spark, d)
-    folds = gold.backtest_folds(m).filter("role = 'evaluation'").select("season", "fold_number")
-    each = m.filter("status = 'FINISHED'").join(F.broadcast(folds), "season").groupBy("fold_number").agg(F.avg(F.col("home_goals") - F.col("away_goals")).alias("v"))
-    return each.agg(F.count("*").alias("folds"), F.round(F.avg("v"), 6).alias("mean_gap"), F.round(F.stddev_samp("v"), 6).alias("sd_gap"))
+    rows = m.join(F.broadcast(gold.backtest_folds(m)), "season")
+    edges = rows.groupBy("fold_number").agg(F.max(F.when(F.col("role") == "training", F.col("kickoff_utc"))).alias("l"), F.min(F.when(F.col("role") == "evaluation", F.col("kickoff_utc"))).alias("f"))
+    return edges.select("fold_number", (F.col("l") >= F.col("f")).cast("int").alias("not_in_order"))
 
 
 @query(f"WITH {SPLIT}, v AS (SELECT match_key, row_number() OVER (ORDER BY kickoff_utc, match_key) AS n, count(*) OVER () AS t FROM sp WHERE split = 'validation' AND target IS NOT NULL) SELECT match_key, CASE WHEN n <= floor(t * 0.6) THEN 'tuning' ELSE 'calibration' END AS part FROM v")
@@ -475,10 +654,8 @@ def calibration_partition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SCORED} SELECT match_key, (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END)::BIGINT AS predicted_class, round(greatest(p0, p1, p2), 9) AS prediction_confidence, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'away_win' WHEN p1 >= p2 THEN 'draw' ELSE 'home_win' END AS predicted_outcome FROM sc WHERE target IS NULL")
 def prediction_output(spark: SparkSession, d: str) -> DataFrame:
-    p = [F.col(c) for c in probability.P]
-    best = C.arg_max(*p)
-    outcome = F.when(best == 0, "away_win").when(best == 1, "draw").otherwise("home_win")
-    return _scored(spark, d).filter("target is null").select("match_key", best.alias("predicted_class"), F.round(F.greatest(*p), 9).alias("prediction_confidence"), outcome.alias("predicted_outcome"))
+    predicted = probability.prediction_frame(_scored(spark, d).filter("target is null"))
+    return predicted.select("match_key", "predicted_class", F.round("prediction_confidence", 9).alias("prediction_confidence"), "predicted_outcome")
 
 
 @query(f"WITH {SCORED}, c AS (SELECT greatest(p0, p1, p2) AS g, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'away_win' WHEN p1 >= p2 THEN 'draw' ELSE 'home_win' END AS predicted_outcome FROM sc WHERE target IS NULL) SELECT predicted_outcome, count(*) AS row_count, round(avg(g), 6) AS mean_confidence, round(min(g), 6) AS least_confidence, round(max(g), 6) AS most_confidence FROM c GROUP BY predicted_outcome")
@@ -505,17 +682,23 @@ X = list(FEATURES)
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    rested = form.rest_days(form.team_history(matches(spark, d))).groupBy("match_key").agg(*[F.max(F.when(F.col("venue") == s, F.col("rest_days"))).alias(f"{s}_days_since_previous_match") for s in ("home", "away")])
-    m = _model(spark, d).join(rested, "match_key", "left")
-    m = m.withColumns({f"{s}_average_points_last_5": F.coalesce(F.try_divide(F.col(f"{s}_points_last_5"), F.nullif(F.least(F.col(f"{s}_matches_played_before"), F.lit(5)), F.lit(0))), F.lit(0.0)) for s in ("home", "away")})
-    gaps = {"form_points_difference": "points_last_5", "recent_attack_difference": "goals_for_last_5", "recent_defence_difference": "goals_against_last_5", "recent_goal_difference_difference": "goal_difference_last_5", "average_form_difference": "average_points_last_5", "rest_days_difference": "days_since_previous_match", "elo_difference": "elo_pre"}
-    m = m.withColumns({name: F.col(f"home_{c}") - F.col(f"away_{c}") for name, c in gaps.items()})
-    return m.select("match_key", "kickoff_utc", "split", "target", *[gold.feature(c).alias(c) for c in FEATURES])
+    m = _model(spark, d)
+    return m.select("match_key", "season", "kickoff_utc", "split", "target", *[gold.feature(c).alias(c) for c in FEATURES])
+
+
+_AS_FEATURE = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0.0), 6) AS {c}" for c in FEATURES if c not in form.DIFFERENCES)
+_GAP_FEATURE = ", ".join(f"round(coalesce(CAST(home_{c} - away_{c} AS DOUBLE), 0.0), 6) AS {name}" for name, c in form.DIFFERENCES.items())
+
+
+@query(f"WITH RECURSIVE {MODEL} SELECT match_key, {_AS_FEATURE}, {_GAP_FEATURE} FROM md")
+def model_features(spark: SparkSession, d: str) -> DataFrame:
+    """The 35 features as a model sees them."""
+    return _features(spark, d).select("match_key", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
 @query()
 def logistic_grid(spark: SparkSession, d: str) -> DataFrame:
-    return models.logistic_grid(_features(spark, d), X).select("c", "class_weight", F.round("log_loss", 4).alias("log_loss"))
+    return models.logistic_grid(_features(spark, d), X).select("c", "class_weight", F.round("log_loss", 4).alias("log_loss"), F.round("brier_score", 4).alias("brier_score"))
 
 
 @query()
@@ -528,6 +711,21 @@ def boosting_grid(spark: SparkSession, d: str) -> DataFrame:
     return models.boosting_grid(_features(spark, d), X)
 
 
+@query()
+def boosting_importance(spark: SparkSession, d: str) -> DataFrame:
+    return models.boosting_importance(_features(spark, d), X)
+
+
+@query()
+def backtest_models(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of logistic regression, boosting and class frequencies in every fold."""
+    rows = _features(spark, d).filter("target is not null")
+    learned = models.backtest(evaluation.folds_of(rows), X)
+    kept = ["fold_number", "evaluation_season", "model"]
+    scored = learned.unionByName(evaluation.frequency_folds(rows).select(*learned.columns))
+    return _round_metrics(probability.metrics(scored, kept), kept)
+
+
 @query()
 def production_predict(spark: SparkSession, d: str) -> DataFrame:
     return models.production_predict(_features(spark, d), X)
