@@ -317,6 +317,16 @@ class Calibrated:
         return self.sigmoid.predict(self.model.raw(x))
 
 
+class SigmoidOf:
+    """Fits the sigmoid of a fitted model, which stays as it is, on rows of their own."""
+
+    def __init__(self, model: Boosting) -> None:
+        self.model = model
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Sigmoid:
+        return Sigmoid().fit(self.model.raw(x), y)
+
+
 class Blend:
     """Two fitted models and the weight of the first."""
 

@@ -681,9 +681,9 @@ FEATURES = (
 X = list(FEATURES)
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
+def _features(spark: SparkSession, d: str, *kept: str) -> DataFrame:
     m = _model(spark, d)
-    return m.select("match_key", "season", "kickoff_utc", "split", "target", *[gold.feature(c).alias(c) for c in FEATURES])
+    return m.select(*kept, "match_key", "kickoff_utc", "split", "target", *[gold.feature(c).alias(c) for c in FEATURES])
 
 
 _AS_FEATURE = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0.0), 6) AS {c}" for c in FEATURES if c not in form.DIFFERENCES)
@@ -719,7 +719,7 @@ def boosting_importance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def backtest_models(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of logistic regression, boosting and class frequencies in every fold."""
-    rows = _features(spark, d).filter("target is not null")
+    rows = _features(spark, d, "season").filter("target is not null")
     learned = models.backtest(evaluation.folds_of(rows), X)
     kept = ["fold_number", "evaluation_season", "model"]
     scored = learned.unionByName(evaluation.frequency_folds(rows).select(*learned.columns))

@@ -40,11 +40,11 @@ def test_pipeline(tmp_path):
     def fail():
         raise ValueError("no")
 
-    fine = pipeline.run_pipeline("data", [pipeline.Stage("a", fail, optional=True), pipeline.Stage("b", lambda: 1)])
-    assert [s.status for s in fine.stages] == ["failed", "success"]
-    with pytest.raises(pipeline.PipelineFailed) as e:
-        pipeline.run_pipeline("data", [pipeline.Stage("a", fail), pipeline.Stage("b", lambda: 1)])
-    assert [s.status for s in e.value.result.stages] == ["failed", "skipped"]
-    assert pipeline.write_result(fine, str(tmp_path)).exists() and (tmp_path / "latest.json").exists()
+    fine = pipeline.run_stages("data", [pipeline.Stage("a", fail, optional=True), pipeline.Stage("b", lambda: 1)])
+    assert [s.status for s in fine.outcomes] == ["failed", "success"]
+    with pytest.raises(pipeline.RunFailed) as e:
+        pipeline.run_stages("data", [pipeline.Stage("a", fail), pipeline.Stage("b", lambda: 1)]).or_raise()
+    assert [s.status for s in e.value.run.outcomes] == ["failed", "skipped"]
+    assert pipeline.write_run(fine, str(tmp_path)).exists() and (tmp_path / "latest.json").exists()
     with pytest.raises(ValueError):
         pipeline.Stage(" ", fail)
