@@ -166,44 +166,53 @@ def _shared_pieces(item: Item, rare: set[str]) -> set[int]:
     return out
 
 
-def _align(texts: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[int, int]]]:
-    """Of each (a, b), pairs of equal characters of the best local alignment of `a` with `b`; all are
-    worked out together, the shorter ones filled up with what equals nothing."""
+def _align(texts: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[list[tuple[int, int]]]:
+    """Of each (a, b, low, high), pairs of equal characters of the best local alignment of `a` with `b`
+    whose places differ (in b less in a) by low up to high. All are worked out together, in a band that
+    runs along the diagonal; the shorter ones are filled up with what equals nothing."""
     match, miss, gap = 2, -1, 1
-    n, m = max(len(a) for a, _ in texts), max(len(b) for _, b in texts)
-    left, right = np.full((len(texts), n), 0xFFFFFFFF, np.uint32), np.full((len(texts), m), 0xFFFFFFFE, np.uint32)
-    for k, (a, b) in enumerate(texts):
-        left[k, : len(a)], right[k, : len(b)] = a, b
+    n, m = max(len(a) for a, *_ in texts), max(high - low for *_, low, high in texts) + 1
+    left, right = np.full((len(texts), n), 0xFFFFFFFF, np.uint32), np.full((len(texts), n + m), 0xFFFFFFFE, np.uint32)
+    for k, (a, b, low, high) in enumerate(texts):
+        left[k, : len(a)] = a
+        part = b[max(0, low) : max(0, len(a) + high)]
+        right[k, max(0, -low) : max(0, -low) + len(part)] = part
     kind = np.int16 if match * n + gap * m < 32_000 else np.int32
-    steps = (np.arange(m + 1) * gap).astype(kind)
-    h = np.zeros((n + 1, len(texts), m + 1), dtype=kind)
-    row, diagonal = np.empty((len(texts), m + 1), kind), np.empty((len(texts), m), kind)
+    steps = (np.arange(m) * gap).astype(kind)
+    h = np.zeros((n + 1, len(texts), m + 1), dtype=kind)  # the last column stays empty
+    row, diagonal = np.empty((len(texts), m), kind), np.empty((len(texts), m), kind)
     for i in range(1, n + 1):
-        np.subtract(h[i - 1], gap, out=row)
-        np.maximum(row, 0, out=row)
-        np.multiply(right == left[:, i - 1 : i], kind(match - miss), out=diagonal)
-        diagonal += h[i - 1, :, :-1]
+        before = h[i - 1]
+        np.multiply(right[:, i - 1 : i - 1 + m] == left[:, i - 1 : i], kind(match - miss), out=diagonal)
+        diagonal += before[:, :m]
         diagonal += kind(miss)
-        np.maximum(row[:, 1:], diagonal, out=row[:, 1:])
+        np.subtract(before[:, 1:], kind(gap), out=row)
+        np.maximum(row, diagonal, out=row)
+        np.maximum(row, 0, out=row)
         row += steps
-        np.maximum.accumulate(row, axis=1, out=h[i])
-        h[i] -= steps
-    return [_trace(h[: len(a) + 1, k, : len(b) + 1], a, b, match, miss, gap) for k, (a, b) in enumerate(texts)]
+        np.maximum.accumulate(row, axis=1, out=row)
+        np.subtract(row, steps, out=h[i, :, :m])
+    return [_trace(h[: len(a) + 1, k], left[k], right[k], low, match, miss, gap) for k, (a, _, low, _) in enumerate(texts)]
 
 
-def _trace(h: np.ndarray, a: np.ndarray, b: np.ndarray, match: int, miss: int, gap: int) -> list[tuple[int, int]]:
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
+def _trace(h: np.ndarray, a: np.ndarray, b: np.ndarray, low: int, match: int, miss: int, gap: int) -> list[tuple[int, int]]:
+    """Pairs of the alignment with the greatest value; column j of row i stands for place i - 1 + j + low."""
+    i, j = map(int, np.unravel_index(int(h.argmax()), h.shape))
     pairs = []
-    while i > 0 and j > 0 and h[i, j] > 0:
-        same = a[i - 1] == b[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (match if same else miss):
+    at = h.item
+    here = at(i, j)
+    while i > 0 and here > 0:
+        same = a[i - 1] == b[i - 1 + j]
+        above = at(i - 1, j)
+        if here == above + (match if same else miss):
             if same:
-                pairs.append((int(i) - 1, int(j) - 1))
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - gap:
-            i -= 1
+                pairs.append((i - 1, i - 1 + j + low))
+            i, here = i - 1, above
+        elif here == (up := at(i - 1, j + 1)) - gap:
+            i, j, here = i - 1, j + 1, up
         else:
             j -= 1
+            here = at(i, j)
     return pairs[::-1]
 
 
@@ -213,7 +222,7 @@ def _codes(text: str) -> np.ndarray:
 
 def longest_run(item: Item, text: str) -> tuple[int, int, int]:
     """(length, start, end): of the running words of the item found in `text`, and where."""
-    return _run_of(item, dict(_align([(_codes(item.text), _codes(text))])[0]))
+    return _run_of(item, dict(_align([(_codes(item.text), _codes(text), -len(item.text), len(text))])[0]))
 
 
 def _run_of(item: Item, place: dict[int, int]) -> tuple[int, int, int]:
@@ -304,7 +313,7 @@ def find_in_texts(texts: list[str], items: list[Item], automaton) -> list[list[t
     that come near to passing, the whole item.
     """
     best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-    open_: list[tuple] = []  # text, item, offset and characters to align with, letters of the item
+    open_: list[tuple] = []  # text, item, offset and characters to align with, band, letters of the item
     whole: dict[tuple[int, int, int], tuple] = {}
     for t, text in enumerate(texts):
         flat = condense(spoken(text))
@@ -316,9 +325,12 @@ def find_in_texts(texts: list[str], items: list[Item], automaton) -> list[list[t
             item = items[i]
             low, slack = 0, len(item.text) // 2 + 80
 
-            def span(own: list[tuple[int, int]], a: int, b: int, flat: str = flat) -> tuple[int, str]:
+            def span(own: list[tuple[int, int]], a: int, b: int, flat: str = flat) -> tuple[int, str, int, int]:
                 start = max(0, own[0][0] - (own[0][1] - a) * 3 // 2 - 60)
-                return start, flat[start : min(len(flat), own[-1][0] + (b - own[-1][1]) * 3 // 2 + 60)]
+                text = flat[start : min(len(flat), own[-1][0] + (b - own[-1][1]) * 3 // 2 + 60)]
+                # places may differ by what is lost or added over half of the way to either end
+                off, far = [doc - start - (at - a) for doc, at in own], max(own[0][1] - a, b - own[-1][1]) // 2 + 60
+                return start, text, min(off) - far, max(off) + far
 
             for k in range(len(pairs)):
                 if k + 1 < len(pairs) and abs((pairs[k + 1][0] - pairs[k + 1][1]) - (pairs[k][0] - pairs[k][1])) <= slack:
@@ -338,10 +350,10 @@ def find_in_texts(texts: list[str], items: list[Item], automaton) -> list[list[t
 
 def _runs(asked: list[tuple], items: list[Item], best: list[dict[int, tuple[int, int, int]]]) -> list[tuple]:
     """Aligns what is asked, enters the runs that are long enough into `best`, and names what comes near."""
-    asked, passed = sorted(asked, key=lambda o: (o[5] - o[4], len(o[3]))), []
+    asked, passed = sorted(asked, key=lambda o: (o[7] - o[6], o[5] - o[4])), []
     for k in range(0, len(asked), ALIGNED):
         part = asked[k : k + ALIGNED]
-        for (t, i, at, _, a, _), pairs in zip(part, _align([(_codes(items[i].text[a:b]), _codes(flat)) for _, i, _, flat, a, b in part]), strict=True):
+        for (t, i, at, _, _, _, a, _), pairs in zip(part, _align([(_codes(items[i].text[a:b]), _codes(flat), low, high) for _, i, _, flat, low, high, a, b in part]), strict=True):
             length, start, end = _run_of(items[i], {a + x: y for x, y in pairs})
             if length >= items[i].least:
                 best[t][i] = max(best[t].get(i, (0, 0, 0)), (length, start + at, end + at))
