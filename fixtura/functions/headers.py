@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 #: The fields of the mapping, in their canonical order.
 FIELDS = (
@@ -130,3 +131,28 @@ def fields_of(headers: list[str]) -> list[str | None]:
         out.append(None if field is None or field in seen else field)
         seen.add(field or "")
     return out
+
+
+def _letters(text: str) -> str:
+    return re.sub(r"[\W_]+", "", text).lower()
+
+
+def _pairs(text: str) -> set[str]:
+    padded = f"^{text}$"
+    return {padded[i : i + 2] for i in range(len(padded) - 1)}
+
+
+@lru_cache(maxsize=65_536)
+def header_likeness(header: str, field: str) -> float:
+    """How far a header's wording could name a field, in [0, 1]: 1 where its words say so, else the
+    likeness of its letters to a name of the field (shared pairs of letters), which a header whose
+    words name another field cannot claim."""
+    named = field_of(header)
+    if named is not None:
+        return 1.0 if named == field else 0.0
+    own = _letters(header)
+    if len(own) < 4:
+        return 0.0  # two or three letters are a code or nothing
+    have = _pairs(own)
+    known = [_letters(field), *(code for code, f in CODES.items() if f == field and len(code) > 3)]
+    return max(2 * len(have & _pairs(name)) / (len(have) + len(_pairs(name))) for name in known)

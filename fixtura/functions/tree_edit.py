@@ -46,25 +46,34 @@ def edit_script(a: Node, b: Node, relabel: Callable, insert: float = 1.0, delete
         for y in range(1, cols):
             f[0][y] = f[0][y - 1] + insert
         for x in range(1, rows):
+            u = li + x - 1
+            above, row, whole_u, leaf_u, label = f[x - 1], f[x], lefta[u] == li, lefta[u] - li, la[u]
             for y in range(1, cols):
-                u, v = li + x - 1, lj + y - 1
-                best = min(f[x - 1][y] + delete, f[x][y - 1] + insert)
-                if lefta[u] == li and leftb[v] == lj:
-                    best = min(best, f[x - 1][y - 1] + relabel(la[u], lb[v]))
+                v = lj + y - 1
+                best = above[y] + delete
+                other = row[y - 1] + insert
+                if other < best:
+                    best = other
+                if whole_u and leftb[v] == lj:
+                    other = above[y - 1] + relabel(label, lb[v])
+                    if other < best:
+                        best = other
                     tree[u][v] = best
                 else:
-                    best = min(best, f[lefta[u] - li][leftb[v] - lj] + tree[u][v])
-                f[x][y] = best
+                    other = f[leaf_u][leftb[v] - lj] + tree[u][v]
+                    if other < best:
+                        best = other
+                row[y] = best
         return f
 
     for i in rootsa:
         for j in rootsb:
-            forest(i, j)
+            whole = forest(i, j)  # the last pair is that of the roots
     script: list[tuple] = []
     todo = [(len(la) - 1, len(lb) - 1)]
     while todo:
         i, j = todo.pop()
-        f = forest(i, j)
+        f = whole if (i, j) == (len(la) - 1, len(lb) - 1) else forest(i, j)
         li, lj = lefta[i], leftb[j]
         x, y = i - li + 1, j - lj + 1
         while x or y:

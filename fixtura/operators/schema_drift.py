@@ -1,14 +1,17 @@
 """Files whose columns drift: one consistent table and a report of every change.
 
-Each file's columns form a small nested schema (file / group of fields / column). The tree edit
-distance between the schemas of neighbouring files of one division gives a least-cost script of
-additions, deletions, renames and type changes; columns that only swap places are moves. The script
-from the canonical schema to a file is compiled into the projection with which its lines are read.
+Each file's columns form a small nested schema (file / group of fields / column). Two least-cost tree
+edit scripts do the work. The script from the canonical schema to a file decides which column carries
+which field: turning a field into a column costs the less the more alike its wording is, and a column
+that no field fits is inserted; the script is compiled into the projection with which the file's lines
+are read. The scripts between the schemas of neighbouring files of one division give the additions,
+deletions, renames and type changes; the script between their columns in file order gives the moves.
 
 A column's type is that of its good values (whole < decimal < text, missing ones left out), taken
 with one pre-aggregated pass over the parsed rows; a column without any value has no type and cannot
 be retyped. Defined results: files whose name does not follow `division_season_number.csv` are kept
-in the table but have no neighbour; nulls, repeated rows and empty tables as in `raw_records`.
+in the table but have no neighbour; of several columns that fit one field alike the first carries it;
+nulls, repeated rows and empty tables as in `raw_records`.
 """
 
 from __future__ import annotations
@@ -18,15 +21,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixtura.functions.headers import FIELDS, fields_of
+from fixtura.functions.headers import FIELDS, header_likeness
 from fixtura.functions.tree_edit import edit_script
-from fixtura.operators.raw_records import MISSING, good_rows, header_projections, headers, parse_records
+from fixtura.operators.raw_records import MISSING, good_rows, headers, parse_records
+from fixtura.session import cut_lineage
 
 KINDS = ("whole", "decimal", "text")
 COLUMN = T.StructType([T.StructField("field", T.StringType()), T.StructField("header", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("position", T.IntegerType())])
 CHANGE = T.StructType([T.StructField("field_name", T.StringType()), T.StructField("change_kind", T.StringType()), T.StructField("was", T.StringType()), T.StructField("now", T.StringType())])
 
 
+GROUPS = ("when", "teams", "score", "half_time", "counts", "other")
+
+
 def group_of(field: str | None) -> str:
     if field is None:
         return "other"
@@ -40,7 +47,7 @@ def group_of(field: str | None) -> str:
 def schema_tree(columns: list[dict]) -> tuple:
     """file / group / column, children in canonical order, so that order of columns costs nothing."""
     order = {f: i for i, f in enumerate(FIELDS)}
-    groups: dict[str, list] = {g: [] for g in ("when", "teams", "score", "half_time", "counts", "other")}
+    groups: dict[str, list] = {g: [] for g in GROUPS}
     for c in sorted(columns, key=lambda c: (order.get(c["field"], len(order)), c["header"] or "", c["position"])):
         groups[group_of(c["field"])].append((("column", c["field"], c["header"], c["kind"]), []))
     return (("file",), [(("group", g), leaves) for g, leaves in groups.items()])
@@ -56,16 +63,51 @@ def _relabel(a: tuple, b: tuple) -> float:
     return 0.5 * (a[2] != b[2]) + 0.5 * (a[3] != b[3] and None not in (a[3], b[3]))
 
 
-def _moved(was: list[dict], now: list[dict]) -> list[str]:
-    """Fields in both files that lie outside the longest run of columns in unchanged order."""
-    place = {c["field"]: c["position"] for c in now if c["field"]}
-    kept = [c["field"] for c in sorted(was, key=lambda c: c["position"]) if c["field"] in place]
-    best: list[list[str]] = []
-    for i, f in enumerate(kept):
-        before = max((best[j] for j in range(i) if place[kept[j]] < place[f]), key=len, default=[])
-        best.append([*before, f])
-    stay = set(max(best, key=len, default=[]))
-    return [f for f in kept if f not in stay]
+#: Likeness from which on a wording that no word list knows costs less to turn into than to add anew.
+ALIKE = 0.75
+
+
+def _naming(a: tuple, b: tuple) -> float:
+    """What it costs to take a file's column for a canonical field: less than a deletion and an
+    addition (2) only for a wording that is like the field's."""
+    if a[0] != "column" or b[0] != "column":
+        return 0.0 if a == b else 3.0
+    likeness = header_likeness(b[2] or "", a[1])
+    return (1 - likeness) * 2 / (1 - ALIKE) * 0.999 + 0.001 * b[3] / 1000 if likeness > 0 else 3.0
+
+
+def assign_fields(headers: list[str]) -> tuple[str | None, ...]:
+    """The field that each column of a file carries, by the least-cost script from the canonical
+    schema. A column hangs in the group, and at the place, of the field that its wording is most like."""
+    fields = [{"field": f, "header": f, "kind": None, "position": i} for i, f in enumerate(FIELDS)]
+    columns = []
+    for at, header in enumerate(headers):
+        like = [(header_likeness(header or "", f), -i) for i, f in enumerate(FIELDS)]
+        best, order = max(like)
+        columns.append((-order if best >= ALIKE else len(FIELDS), -best, at, header))
+    groups: dict[str, list] = {g: [] for g in GROUPS}
+    for order, _, at, header in sorted(columns):
+        groups[group_of(FIELDS[order] if order < len(FIELDS) else None)].append((("column", at, header, at), []))
+    own = (("file",), [(("group", g), leaves) for g, leaves in groups.items()])
+    out: list[str | None] = [None] * len(headers)
+    for op, a, b in edit_script(schema_tree(fields), own, _naming)[1]:
+        if op in ("keep", "relabel") and b[0] == "column":
+            out[b[1]] = a[1]
+    return tuple(out)
+
+
+def moves(was: list[dict], now: list[dict]) -> list[str]:
+    """Fields that the least-cost script between two files' columns in file order takes out at one
+    place and puts in at another."""
+    in_order = lambda columns: [c["field"] for c in sorted(columns, key=lambda c: c["position"]) if c["field"]]
+    before, after = in_order(was), in_order(now)
+    both = set(before) & set(after)
+    before, after = [f for f in before if f in both], [f for f in after if f in both]
+    if before == after:
+        return []
+    script = edit_script(("file", [(f, []) for f in before]), ("file", [(f, []) for f in after]), lambda a, b: 0.0 if a == b else 3.0)[1]
+    gone = [a for op, a, _ in script if op == "delete"]
+    return [f for f in gone if f in {b for op, _, b in script if op == "insert"}]
 
 
 def schema_changes(was: list[dict], now: list[dict]) -> list[tuple]:
@@ -83,7 +125,7 @@ def schema_changes(was: list[dict], now: list[dict]) -> list[tuple]:
                     out.append((a[1], "renamed", a[2], b[2]))
                 if a[3] != b[3] and None not in (a[3], b[3]):
                     out.append((a[1], "retyped", a[3], b[3]))
-    return out + [(f, "moved", None, None) for f in _moved(was, now)]
+    return out + [(f, "moved", None, None) for f in moves(was, now)]
 
 
 def _rank(value: Column) -> Column:
@@ -96,21 +138,16 @@ def _rank(value: Column) -> Column:
     )
 
 
-def file_schemas(lines: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(file_name, columns): per file its columns with field, header text, kind and position."""
-    kinds = good_rows(parsed).groupBy("file_name").agg(*[F.max(_rank(F.col(f))).alias(f) for f in FIELDS])
+def file_schemas(lines: DataFrame, parsed: DataFrame, projections: DataFrame) -> DataFrame:
+    """(file_name, columns): per file its columns with the field that each carries, header text, kind
+    and position. A line that comes twice does not change the kinds, so rows are not made distinct."""
+    kinds = parsed.filter("reason is null").groupBy("file_name").agg(*[F.max(_rank(F.col(f))).alias(f) for f in FIELDS])
     ranks = F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f).cast("int"))])
-
-    @F.pandas_udf(T.ArrayType(COLUMN))
-    def columns(header: pd.Series, rank: pd.Series) -> pd.Series:
-        def one(h, r):  # noqa: ANN001, ANN202
-            r = dict(r) if r is not None else {}
-            fields = fields_of(list(h))
-            return [{"field": f, "header": x, "kind": KINDS[int(r[f])] if f and r.get(f) is not None else None, "position": i} for i, (x, f) in enumerate(zip(h, fields, strict=True))]
-
-        return pd.Series([one(h, r) for h, r in zip(header, rank, strict=True)], dtype=object)
-
-    return headers(lines).join(kinds.select("file_name", ranks.alias("ranks")), "file_name", "left").select("file_name", columns("header", "ranks").alias("columns"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+    known = projections.join(kinds.select("file_name", ranks.alias("ranks")), "file_name", "left")
+    kind = lambda f: F.try_element_at(names, F.try_element_at("ranks", F.coalesce(f, F.lit(""))) + 1)
+    columns = F.transform(F.arrays_zip("header", "projection"), lambda c, i: F.struct(c["projection"].alias("field"), c["header"].alias("header"), kind(c["projection"]).alias("kind"), i.alias("position")))
+    return known.select("file_name", columns.alias("columns"))
 
 
 def neighbours(schemas: DataFrame) -> DataFrame:
@@ -127,38 +164,38 @@ def changes(schemas: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(CHANGE))
     def script(before: pd.Series, after: pd.Series) -> pd.Series:
-        as_dicts = lambda xs: [x if isinstance(x, dict) else x.asDict() for x in xs]
-        return pd.Series([[dict(zip(CHANGE.names, c, strict=True)) for c in schema_changes(as_dicts(a), as_dicts(b))] for a, b in zip(before, after, strict=True)], dtype=object)
+        done: dict[tuple, list] = {}
 
-    return neighbours(schemas).select("file_name", F.explode(script("before", "columns")).alias("c")).select("file_name", "c.*")
+        def one(a: list, b: list) -> list:
+            a, b = ([x if isinstance(x, dict) else x.asDict() for x in side] for side in (a, b))
+            key = tuple(tuple(c.values()) for side in (a, b) for c in [*side, {}])
+            if key not in done:
+                done[key] = [dict(zip(CHANGE.names, c, strict=True)) for c in schema_changes(a, b)]
+            return done[key]
 
+        return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
+
+    # the window leaves files by division; scripts are spread by file again
+    pairs = neighbours(schemas)
+    spread = pairs.repartition(int(schemas.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_name")
+    return spread.select("file_name", F.explode(script("before", "columns")).alias("c")).select("file_name", "c.*")
 
-def compile_projections(lines: DataFrame) -> DataFrame:
-    """(file_name, projection): the script from the canonical schema to each file, as a projection.
 
-    What the script keeps or relabels is read from its position, what it inserts belongs to no
-    field, and what it deletes stays null.
-    """
-    canonical = [{"field": f, "header": f, "kind": None, "position": i} for i, f in enumerate(FIELDS)]
+def compile_projections(lines: DataFrame) -> DataFrame:
+    """(file_name, header, projection): the script from the canonical schema to each file, as the field
+    that each column is read as; headers that come again are compiled once."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def compiled(header: pd.Series) -> pd.Series:
         done: dict[tuple, list] = {}
-
-        def one(h: list[str]) -> list[str | None]:
+        for h in header:
             if tuple(h) not in done:
-                own = [{"field": f, "header": x, "kind": None, "position": i} for i, (x, f) in enumerate(zip(h, fields_of(h), strict=True))]
-                at = {c["field"]: c["position"] for c in own if c["field"]}
-                out: list[str | None] = [None] * len(h)
-                for op, a, b in edit_script(schema_tree(canonical), schema_tree(own), _relabel)[1]:
-                    if op in ("keep", "relabel") and b[0] == "column" and b[1]:
-                        out[at[b[1]]] = a[1]
-                done[tuple(h)] = out
-            return done[tuple(h)]
-
-        return header.map(lambda h: one(list(h)))
+                done[tuple(h)] = list(assign_fields(list(h)))
+        return header.map(lambda h: done[tuple(h)])
 
-    return headers(lines).select("file_name", compiled("header").alias("projection"))
+    heads = headers(lines)
+    once = heads.select("header").distinct()
+    return cut_lineage(heads.join(once.select("header", compiled("header").alias("projection")), "header").select("file_name", "header", "projection"))
 
 
 def _clock(value: Column) -> Column:
@@ -198,5 +235,7 @@ def consistent_table(parsed: DataFrame) -> DataFrame:
 
 
 def drift_report(lines: DataFrame) -> DataFrame:
-    """All changes over the files of `lines`, types taken from their good rows."""
-    return changes(file_schemas(lines, parse_records(lines, header_projections(lines))))
+    """All changes over the files of `lines`: lines are read by the compiled projections, and types
+    taken from their good rows."""
+    projections = compile_projections(lines)
+    return changes(file_schemas(lines, parse_records(lines, projections), projections))

@@ -52,3 +52,22 @@ def test_drift_between_files(spark):
     assert got == {("d_2021_2.csv", "home_goals", "renamed"), ("d_2021_2.csv", "home_shots", "retyped"), ("d_2021_2.csv", "home_corners", "added"), ("d_2122_1.csv", "home_goals", "renamed"), ("d_2122_1.csv", "home_corners", "removed")}
     table = D.consistent_table(R.parse_records(spark.createDataFrame(rows, "file_name string, line_no long, line_text string"), D.compile_projections(spark.createDataFrame(rows, "file_name string, line_no long, line_text string"))))
     assert {(r.file_name, r.home_shots) for r in table.collect()} == {("d_2021_1.csv", 7), ("d_2021_2.csv", 7), ("d_2122_1.csv", None)}
+
+
+def test_wordings_in_no_list_are_decided_by_the_edit_distance(spark):
+    assert field_of("HomeGoalz") is None and field_of("Home Shotss") is None
+    assert D.assign_fields(["Date", "HomeTeam", "AwayTeam", "HomeGoalz", "FTAG", "FTR", "Home Shotss", "Homepage"]) == ("match_date", "home_team", "away_team", "home_goals", "away_goals", "full_time_result", "home_shots", None)
+    # a column that says so itself is dearer to part with than one that is only like it
+    assert D.assign_fields(["HomeGoalz", "FTHG"]) == (None, "home_goals")
+    rows = [("d_2021_1.csv", 1, HEADER), ("d_2021_1.csv", 2, "01/02/2021,A,B,1,0,H"), ("d_2021_2.csv", 1, HEADER.replace("FTHG", "HomeGoalz")), ("d_2021_2.csv", 2, "01/02/2021,A,B,3,0,H")]
+    lines_ = spark.createDataFrame(rows, "file_name string, line_no long, line_text string")
+    assert [tuple(r) for r in D.drift_report(lines_).collect()] == [("d_2021_2.csv", "home_goals", "renamed", "FTHG", "HomeGoalz")]
+    table = D.consistent_table(R.parse_records(lines_, D.compile_projections(lines_)))
+    assert {(r.file_name, r.home_goals) for r in table.collect()} == {("d_2021_1.csv", 1), ("d_2021_2.csv", 3)}
+
+
+def test_moves_come_from_the_script():
+    columns = lambda names: [{"field": f, "header": f, "kind": None, "position": i} for i, f in enumerate(names)]
+    was, now = columns(["match_date", "home_team", "away_team", "home_goals"]), columns(["home_goals", "match_date", "home_team", "away_team"])
+    assert D.schema_changes(was, now) == [("home_goals", "moved", None, None)]
+    assert D.schema_changes(was, was) == []
