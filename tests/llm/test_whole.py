@@ -77,3 +77,34 @@ def test_copies_of_items_and_places_in_the_raw_text(spark):
         found = leakage.leaked_items(docs, items).collect()
         assert {(r[0], r[1]) for r in found} == {(1, k) for k in range(copies)}
         assert {raw[r.start_pos : r.end_pos + 1] for r in found} == {raw[raw.index("Every") : -1]}
+
+
+# problem 1
+RECORDS = "match_id string, season string, competition string, match_date date, home_team string, away_team string, home_goals long, away_goals long"
+FEED = "api_match_id long, competition_code string, season string, kickoff_utc timestamp, home_team_id long, away_team_id long, home_team string, away_team string, home_goals long, away_goals long"
+
+
+def test_one_name_in_two_leagues(spark):
+    comps = spark.createDataFrame([("AAA", "Alpha League", "Europe/London"), ("BBB", "Beta League", "Asia/Tokyo")], "competition_code string, competition string, time_zone string")
+    hist, cur = [], []
+    for league, (code, name) in enumerate((("AAA", "Alpha League"), ("BBB", "Beta League"))):
+        others = [(f"{w} Town", 10 * league + 2 + i) for i, w in enumerate(("Velebury", "Kesotirk", "Ralistad") if league == 0 else ("Mondavar", "Tiruleth", "Osbeckam"))]
+        for k in range(12):
+            a, ai = others[k % 3]
+            hist.append((f"h{league}-{k}", "2021/22", name, date(2021, 9, 1 + k), "Rovers", a, k % 4, k % 3))
+            cur.append((1000 + 100 * league + k, code, "2021-2022", datetime(2021, 9, 1 + k, 5), 10 * league + 1, ai, "Rovers", a, k % 4, k % 3))
+    got = {(r[0], r[1]) for r in linkage.link_matches(spark.createDataFrame(hist, RECORDS), spark.createDataFrame(cur, FEED), comps).collect()}
+    assert got == {(h[0], c[0]) for h, c in zip(hist, cur, strict=True)} and len(got) == 24
+
+
+def test_sides_the_other_way_round(spark):
+    comps = spark.createDataFrame([("AAA", "Alpha League", "Europe/London")], "competition_code string, competition string, time_zone string")
+    teams = [(w, i) for i, w in enumerate(("Velebury Rovers", "Kesotirk Albion", "Ralistad City", "Mondavar Town"))]
+    hist, cur = [], []
+    for k, (x, y) in enumerate((x, y) for x in range(4) for y in range(4) if x != y):
+        (h, hi), (a, ai) = teams[x], teams[y]
+        hg, ag = k % 4 + 1, k % 3
+        hist.append((f"h{k}", "2021/22", "Alpha League", date(2021, 9, 1 + 2 * k), *((a, h, ag, hg) if k in (4, 9) else (h, a, hg, ag))))
+        cur.append((1000 + k, "AAA", "2021-2022", datetime(2021, 9, 1 + 2 * k, 14), hi, ai, h, a, hg, ag))
+    got = {(r[0], r[1]) for r in linkage.link_matches(spark.createDataFrame(hist, RECORDS), spark.createDataFrame(cur, FEED), comps).collect()}
+    assert got == {(f"h{k}", 1000 + k) for k in range(12)}
