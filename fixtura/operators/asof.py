@@ -1,8 +1,8 @@
 """Attributes as they were known at event time.
 
 A version of an entity counts from the moment it is both in force and recorded. Replaying versions
-in that order of availability while keeping the best one so far gives current-state versions, and
-then an ordinary as-of join finds the state at each event. The join runs in embedded DuckDB, bucket
+in that order of availability, and leaving out those that a better one precedes, gives current-state
+versions, and then an ordinary as-of join finds the state at each event. The join runs in embedded DuckDB, bucket
 by bucket. Buckets hash the entity together with a slice of availability time; slice bounds are
 quantiles over all versions and the state carried into each slice comes from a pre-aggregated
 maximum per entity and slice, so that one entity with a third of all rows is spread over the slices.
@@ -18,27 +18,39 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fixtura.session import cut_lineage
 
 ROWS_PER_BUCKET = 250_000
 MAX_SLICES = 4096
+#: Versions that are superseded when they become available are left out; a key orders (valid, recorded).
 _JOIN = """
-    SELECT e.event_id, v.state AS state
+    WITH keyed AS (SELECT *, valid::HUGEINT * 18446744073709551616::HUGEINT + recorded AS key FROM versions),
+    states AS (
+        SELECT * FROM keyed
+        QUALIFY key >= coalesce(max(key) OVER (PARTITION BY entity, slice ORDER BY available ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), key)
+    )
+    SELECT {columns}, s.entity IS NOT NULL AS known
     FROM events e
-    ASOF LEFT JOIN versions v
-    ON e.entity = v.entity AND e.slice = v.slice AND e.moment >= v.available
+    ASOF LEFT JOIN states s
+    ON e.entity = s.entity AND e.slice = s.slice AND e.moment >= s.available
 """
 
 
-def _join_bucket(events: pa.Table, versions: pa.Table) -> pa.Table:
-    import duckdb
+def _join_bucket(columns: list[str], out: pa.Schema):  # noqa: ANN202
+    """The join of one bucket, in DuckDB; `columns` are taken of the event (e.) or of the state (s.)."""
+    query = _JOIN.format(columns=", ".join(columns))
+
+    def join(events: pa.Table, versions: pa.Table) -> pa.Table:
+        import duckdb
+
+        with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"}) as con:
+            con.register("events", events)
+            con.register("versions", versions)
+            return con.sql(query).to_arrow_table().select(out.names).cast(out)
 
-    with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"}) as con:
-        con.register("events", events)
-        con.register("versions", versions)
-        return con.execute(_JOIN).to_arrow_table().cast(pa.schema([("event_id", pa.string()), ("state", pa.int64())]))
+    return join
 
 
 def state_as_of(
@@ -51,21 +63,24 @@ def state_as_of(
     valid_from: str = "valid_from",
     recorded_at: str = "recorded_at",
     order_by: list[str] | None = None,
+    kept: list[str] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """(event_id, entity, known, *values) for each row of `events`.
+    """(event_id, entity, *kept, known, *values) for each row of `events`; `kept` are columns of it.
 
     Known at an event is the version of its entity with valid_from and recorded_at both at or before
     the event, of several the one with the latest valid_from, then the latest recorded_at.
     """
+    kept = kept or []
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rest = [*(order_by or []), *values]
+    offset = len(order_by or [])
     usable = versions.filter(F.col(entity).isNotNull() & F.col(valid_from).isNotNull() & F.col(recorded_at).isNotNull())
     rank = F.struct(micros(valid_from).alias("valid"), micros(recorded_at).alias("recorded"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)])
     # ties of availability are settled before the join: one state per entity and moment
     moments = usable.select(F.col(entity).cast("string").alias("entity"), F.greatest(micros(valid_from), micros(recorded_at)).alias("available"), rank.alias("rank")).groupBy("entity", "available").agg(F.max("rank").alias("rank"))
     moments = cut_lineage(moments)
-    asked = events.select(F.col(event_id).cast("string").alias("event_id"), F.col(entity).cast("string").alias("entity"), micros(event_time).alias("moment"))
+    asked = events.select(F.col(event_id).alias("event_id"), F.col(entity).cast("string").alias("entity"), micros(event_time).alias("moment"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)])
     size = moments.count()
     slices = min(MAX_SLICES, max(4, size // rows_per_bucket * 4))
     bounds = moments.agg(F.percentile_approx("available", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
@@ -73,35 +88,27 @@ def state_as_of(
     # slice of a moment: how many bounds lie at or below it
     slice_of = lambda c: F.size(F.filter(bounds, lambda b: b <= c)) if slices <= 64 else _slot(bounds, c)
     moments = moments.withColumn("slice", slice_of(F.col("available")))
-    asked = asked.withColumn("slice", slice_of(F.col("moment")))
-    # the state carried into a slice: the greatest rank of the slices before it
-    per_slice = moments.groupBy("entity", "slice").agg(F.max("rank").alias("rank"))
-    needed = per_slice.select("entity", "slice", "rank").unionByName(asked.filter("entity is not null and moment is not null").select("entity", "slice").distinct().withColumn("rank", F.lit(None).cast(per_slice.schema["rank"].dataType)))
-    needed = needed.groupBy("entity", "slice").agg(F.max("rank").alias("rank"))
+    answerable = F.col("entity").isNotNull() & F.col("moment").isNotNull()
+    ours = asked.filter(answerable).withColumn("slice", slice_of(F.col("moment")))
+    # the state carried into a slice: the greatest rank of the slices before it, for all slices in use
+    in_use = moments.select("entity", "slice", "rank").unionByName(ours.select("entity", "slice").distinct().withColumn("rank", F.lit(None).cast(moments.schema["rank"].dataType)))
     before = Window.partitionBy("entity").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = needed.withColumn("rank", F.max("rank").over(before)).filter("rank is not null").select("entity", "slice", F.lit(-(1 << 62)).alias("available"), "rank")
-    # running best within the slice; its ranks stay in Spark, DuckDB only gets their numbers
-    within = Window.partitionBy("entity", "slice").orderBy("available").rowsBetween(Window.unboundedPreceding, 0)
-    states = moments.select("entity", "slice", "available", "rank").unionByName(carried).withColumns({"best": F.max("rank").over(within), "state": F.row_number().over(Window.partitionBy("entity", "slice").orderBy("available")).cast("long")})
-    states = states.select("entity", "slice", "available", "state", "best")
+    carried = in_use.groupBy("entity", "slice").agg(F.max("rank").alias("rank")).withColumn("rank", F.max("rank").over(before)).filter("rank is not null")
+    # the replay within a slice is left to the join, which has all of it at hand
+    theirs = moments.select("entity", "slice", "available", "rank").unionByName(carried.select("entity", "slice", F.lit(-(1 << 62)).alias("available"), "rank"))
     buckets = max(8, (size // rows_per_bucket + 1) * 2)
     bucket = F.pmod(F.xxhash64("entity", "slice"), F.lit(buckets))
-    ours = asked.filter("entity is not null and moment is not null").withColumn("bucket", bucket)
-    theirs = states.select("entity", "slice", "available", "state").withColumn("bucket", bucket)
-    found = (
-        ours.select("bucket", F.concat_ws("\x1f", F.col("slice").cast("string"), "entity", "event_id").alias("event_id"), "entity", "slice", "moment")
-        .groupBy("bucket")
-        .cogroup(theirs.groupBy("bucket"))
-        .applyInArrow(_join_bucket, T.StructType([T.StructField("event_id", T.StringType()), T.StructField("state", T.LongType())]))
-    )
-    split = F.split("event_id", "\x1f", 3)
-    found = found.select(split[0].cast("int").alias("slice"), split[1].alias("entity"), split[2].alias("event_id"), "state")
-    named = states.select("entity", "slice", "state", "best")
-    got = found.join(named, ["entity", "slice", "state"], "left")
-    offset = len(order_by or [])
-    out = got.select("event_id", "entity", F.col("best").isNotNull().alias("known"), *[F.col(f"best.r{i + offset}").alias(c) for i, c in enumerate(values)])
-    unknown = asked.filter("entity is null or moment is null").select("event_id", "entity", F.lit(False).alias("known"), *[F.lit(None).cast(versions.schema[c].dataType).alias(c) for c in values])
-    return out.unionByName(unknown)
+    theirs = theirs.select(bucket.alias("bucket"), "entity", "slice", "available", "rank.valid", "rank.recorded", *[F.col(f"rank.r{i + offset}").alias(f"v{i}") for i in range(len(values))])
+    types = dict(asked.dtypes) | {f"v{i}": versions.schema[c].dataType.simpleString() for i, c in enumerate(values)} | {"known": "boolean"}
+    names = ["event_id", "entity", *[f"k{i}" for i in range(len(kept))], "known", *[f"v{i}" for i in range(len(values))]]
+    schema = ", ".join(f"{n} {types[n]}" for n in names)
+    columns = ["e.event_id", "e.entity", *[f"e.k{i}" for i in range(len(kept))], *[f"s.v{i}" for i in range(len(values))]]
+    spark = events.sparkSession
+    join = _join_bucket(columns, to_arrow_schema(spark.createDataFrame([], schema).schema))
+    found = ours.withColumn("bucket", bucket).groupBy("bucket").cogroup(theirs.groupBy("bucket")).applyInArrow(join, schema)
+    unknown = asked.filter(~answerable).select("event_id", "entity", *[f"k{i}" for i in range(len(kept))], F.lit(False).alias("known"), *[F.lit(None).cast(types[f"v{i}"]).alias(f"v{i}") for i in range(len(values))])
+    both = found.unionByName(unknown)
+    return both.select("event_id", "entity", *[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "known", *[F.col(f"v{i}").alias(c) for i, c in enumerate(values)])
 
 
 def _slot(bounds, value):  # noqa: ANN001, ANN202

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixtura.operators.joins import join_lookup
+from fixtura.session import cut_lineage
 
 #: Offsets in minutes of abbreviations that a feed may use outside its own zone.
 ABBREVIATIONS = {
@@ -33,6 +34,8 @@ ABBREVIATIONS = {
 }
 
 FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: The earliest year of a text without a year of four digits: serial day numbers begin at 10,000.
+SHORT_FROM = 1927
 DAY = 86_400_000_000
 _EPOCH, _SERIAL_START = datetime(1970, 1, 1), datetime(1899, 12, 30)
 _ZONE = r"(?i:Z|UTC|[A-Z]{2,5}|(?:UTC|GMT)?[+-]\d{2}:?\d{2}|[+-]\d{2})"
@@ -108,13 +111,19 @@ def read_text(text: str, month_first: bool) -> tuple | None:
 
 @F.pandas_udf(READ)
 def _read(texts: pd.Series, month_first: pd.Series) -> pd.DataFrame:
-    out = [read_text(t, bool(f)) or (None,) * 5 if t is not None else (None,) * 5 for t, f in zip(texts, month_first, strict=True)]
+    done: dict[tuple, tuple] = {}  # dates come again and again within a batch
+    out = []
+    for key in zip(texts, month_first, strict=True):
+        if key not in done:
+            done[key] = (read_text(key[0], bool(key[1])) if key[0] is not None else None) or (None,) * 5
+        out.append(done[key])
     frame = pd.DataFrame(out, columns=READ.names, dtype=object)
     return frame.astype({"day": "Int32", "micros": "Int64", "offset_s": "Int32", "epoch": "Int64"})
 
 
-def offset_intervals(zones: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
-    """(feed_zone, local_year, spans): the intervals of constant offset that touch a local year.
+def offset_intervals(zones: DataFrame) -> DataFrame:
+    """(feed_zone, local_year, spans): the intervals of constant offset that touch a local year, of the
+    zones and from the first to the last year that `zones` (feed_zone, first_year, last_year) names.
 
     A span has its bounds in local micros [from_local, to_local), offset_s and abbreviation. Names
     that the time zone database lacks are left out.
@@ -124,19 +133,18 @@ def offset_intervals(zones: DataFrame, first_year: int = FIRST_YEAR, last_year:
         from zoneinfo import ZoneInfo, available_timezones
 
         known = available_timezones()
-        end = datetime(last_year + 1, 1, 1, tzinfo=timezone.utc)
         for batch in batches:
             out = []
-            for name in batch["feed_zone"]:
+            for name, first_year, last_year in batch.itertuples(index=False):
                 if name not in known:
                     continue
-                zone = ZoneInfo(name)
+                zone, end = ZoneInfo(name), datetime(last_year + 1, 1, 3, tzinfo=timezone.utc)
 
                 def state(at: datetime, zone=zone):  # noqa: ANN001, ANN202
                     local = at.astimezone(zone)
                     return local.utcoffset(), local.tzname()
 
-                start = datetime(first_year, 1, 1, tzinfo=timezone.utc)
+                start = datetime(first_year - 1, 12, 30, tzinfo=timezone.utc)
                 at, had = start, state(start)
                 while at < end:
                     after = min(at + timedelta(days=1), end)
@@ -156,33 +164,50 @@ def offset_intervals(zones: DataFrame, first_year: int = FIRST_YEAR, last_year:
                     at = after
             yield pd.DataFrame(out, columns=["feed_zone", "local_year", "from_local", "to_local", "offset_s", "abbreviation"])
 
-    spans = zones.select("feed_zone").filter("feed_zone is not null").distinct().mapInPandas(intervals, "feed_zone string, local_year int, from_local long, to_local long, offset_s int, abbreviation string")
+    asked = zones.filter("feed_zone is not null").groupBy("feed_zone").agg(F.min("first_year").alias("first_year"), F.max("last_year").alias("last_year"))
+    spread = asked.repartition(int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions")), "feed_zone")
+    spans = spread.mapInPandas(intervals, "feed_zone string, local_year int, from_local long, to_local long, offset_s int, abbreviation string")
     return spans.groupBy("feed_zone", "local_year").agg(F.collect_list(F.struct("from_local", "to_local", "offset_s", "abbreviation")).alias("spans"))
 
 
-def month_first_feeds(values: DataFrame) -> DataFrame:
+def feed_habits(values: DataFrame) -> DataFrame:
+    """(feed, feed_zone, first_above, second_above, first_year, last_year), in one pass over all texts:
+    how often the first and the second of all-number dates is above twelve, and the years that local
+    times can lie in. A text without a year of four digits can lie in any of FIRST_YEAR..LAST_YEAR."""
+    first, second = (_int(F.regexp_extract("tidy", _NUMBERS, i)) for i in (1, 2))
+    year = F.regexp_extract("tidy", r"(?<!\d)((?:19|20)\d{2})(?!\d{5})", 1)
+    plain = year != ""
+    least = F.when(plain, F.greatest(year.cast("int"), F.lit(FIRST_YEAR))).when(~F.col("tidy").rlike(_UNIX.pattern), F.lit(SHORT_FROM))
+    most = F.when(plain, F.least(year.cast("int"), F.lit(LAST_YEAR))).when(~F.col("tidy").rlike(_UNIX.pattern), F.lit(LAST_YEAR))
+    return values.groupBy("feed", "feed_zone").agg(
+        F.count_if(first > 12).alias("first_above"), F.count_if(second > 12).alias("second_above"), F.min(least).alias("first_year"), F.max(most).alias("last_year")
+    )
+
+
+def month_first_feeds(habits: DataFrame) -> DataFrame:
     """(feed, month_first): the order of day and month in a feed's all-number dates, by the numbers
     above twelve; a feed that never shows it counts as day first, or month first in US zones."""
-    first, second = (_int(F.regexp_extract("tidy", _NUMBERS, i)) for i in (1, 2))
-    return values.filter(F.col("tidy").rlike(_NUMBERS)).groupBy("feed").agg(
-        (F.count_if(second > 12) > F.count_if(first > 12)).alias("_more"), (F.count_if(second > 12) == F.count_if(first > 12)).alias("_none"), F.max(F.col("feed_zone").rlike("^(America/(New_York|Chicago|Denver|Los_Angeles)|US/)")).alias("_us")
-    ).select("feed", (F.col("_more") | (F.col("_none") & F.coalesce(F.col("_us"), F.lit(False)))).alias("month_first"))
+    us = F.max(F.coalesce(F.col("feed_zone").rlike("^(America/(New_York|Chicago|Denver|Los_Angeles)|US/)"), F.lit(False)))
+    summed = habits.groupBy("feed").agg(F.sum("first_above").alias("a"), F.sum("second_above").alias("b"), us.alias("us"))
+    return summed.select("feed", ((F.col("b") > F.col("a")) | (F.col("b") == F.col("a")) & F.col("us")).alias("month_first"))
 
 
 def normalise_times(records: DataFrame, id_col: str, feed: str, zone: str, dates: list[str], instants: list[str]) -> DataFrame:
     """(record_id, field_name, value_text): for each readable value its date as yyyy-MM-dd or its
     instant in UTC as yyyy-MM-ddTHH:mm:ss.SSSSSSZ.
 
-    All columns are read in one pass (one scan, exploded); no row is shuffled: the feeds' orders are
-    pre-aggregated and, like the bounded interval table, joined behind a check of their size.
+    One pass aggregates the feeds' habits, another reads all columns (one scan, exploded); no row is
+    shuffled: the feeds' orders and the interval table of the zones and years in use are joined behind
+    a check of their size.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.lit(c in dates).alias("is_date"), F.col(c).cast("string").alias("text")) for c in [*dates, *instants]]))
     values = records.select(F.col(id_col).alias("record_id"), F.col(feed).alias("feed"), F.col(zone).alias("feed_zone"), pairs.alias("p")).select("record_id", "feed", "feed_zone", "p.*").filter("text is not null")
     values = values.withColumn("tidy", _tidy(F.col("text"))).filter("tidy != ''")
-    read = join_lookup(values, month_first_feeds(values), ["feed"])
+    habits = cut_lineage(feed_habits(values))
+    read = join_lookup(values, month_first_feeds(habits), ["feed"])
     read = read.withColumn("r", _read(F.col("tidy"), F.coalesce("month_first", F.lit(False)))).select("record_id", "field_name", "is_date", "feed_zone", "r.*")
     read = read.withColumns({"date": F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")), "local": F.col("day").cast("long") * DAY + F.col("micros")})
-    read = join_lookup(read.withColumn("local_year", F.year("date")), offset_intervals(values.select("feed_zone")), ["feed_zone", "local_year"])
+    read = join_lookup(read.withColumn("local_year", F.year("date")), offset_intervals(habits), ["feed_zone", "local_year"])
     holds = F.filter("spans", lambda s: (s["from_local"] <= F.col("local")) & (F.col("local") < s["to_local"]))
     named = F.filter("spans", lambda s: s["abbreviation"] == F.col("said"))
     table = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v * 60))])

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from fixtura.operators import asof, raw_records, schema_drift, timestamps
 from fixtura.session import table
 
-FEATURES = {"home_elo_pre": ("home", "elo"), "away_elo_pre": ("away", "elo"), "home_points_last_5": ("home", "points_last_5"), "away_points_last_5": ("away", "points_last_5")}
 #: What a team without any known rating has.
 START = {"elo": 1500.0, "points_last_5": 0}
 
@@ -34,25 +33,23 @@ def p3_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features_as_known(spark: SparkSession, d: str) -> DataFrame:
-    """(match_key, side, elo, points_last_5) of both teams of each match as known at its kickoff."""
+    """(match_key, side, elo, points_last_5, given) of both teams of each match: what was known at its
+    kickoff, and what the match says. The match's own values go through the join, not beside it."""
     matches = table(spark, d, "model_dataset")
-    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_team_id").alias("team_id")) for s in ("home", "away")]))
-    events = matches.filter("match_key is not null").select(sides.alias("e"), "match_key", "kickoff_utc").select(F.concat("e.side", F.lit("|"), "match_key").alias("event_id"), "e.team_id", "kickoff_utc")
-    known = asof.state_as_of(events, table(spark, d, "team_ratings"), "team_id", "event_id", "kickoff_utc", ["elo", "points_last_5"], order_by=["rating_id"])
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_team_id").alias("team_id"), F.col(f"{s}_elo_pre").alias("given_elo"), F.col(f"{s}_points_last_5").alias("given_points")) for s in ("home", "away")]))
+    events = matches.filter("match_key is not null").select(sides.alias("e"), "match_key", "kickoff_utc").select("match_key", "kickoff_utc", "e.*")
+    known = asof.state_as_of(events, table(spark, d, "team_ratings"), "team_id", "match_key", "kickoff_utc", ["elo", "points_last_5"], order_by=["rating_id"], kept=["side", "given_elo", "given_points"])
     value = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.lit(START[c])).alias(c)
-    return known.select(F.substring_index("event_id", "|", 1).alias("side"), F.expr("substring(event_id, instr(event_id, '|') + 1)").alias("match_key"), value("elo"), value("points_last_5"))
+    return known.select(F.col("event_id").alias("match_key"), "side", value("elo"), value("points_last_5"), "given_elo", "given_points")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    matches = table(spark, d, "model_dataset").select("match_key", *FEATURES)
     known = features_as_known(spark, d)
-    given = F.when(F.col("side") == "home", F.struct(F.col("home_elo_pre").alias("e"), F.col("home_points_last_5").alias("p"))).otherwise(F.struct(F.col("away_elo_pre").alias("e"), F.col("away_points_last_5").alias("p")))
-    compared = known.join(matches, "match_key").withColumn("given", given)
     checks = F.array(
-        F.struct(F.concat("side", F.lit("_elo_pre")).alias("field_name"), F.col("given.e").eqNullSafe(F.col("elo")).alias("ok")),
-        F.struct(F.concat("side", F.lit("_points_last_5")).alias("field_name"), F.col("given.p").eqNullSafe(F.col("points_last_5").cast("long")).alias("ok")),
+        F.struct(F.concat("side", F.lit("_elo_pre")).alias("field_name"), F.col("given_elo").eqNullSafe(F.col("elo")).alias("ok")),
+        F.struct(F.concat("side", F.lit("_points_last_5")).alias("field_name"), F.col("given_points").eqNullSafe(F.col("points_last_5").cast("long")).alias("ok")),
     )
-    return compared.select("match_key", F.explode(checks).alias("c")).filter("not c.ok").select("match_key", "c.field_name").distinct()
+    return known.select("match_key", F.explode(checks).alias("c")).filter("not c.ok").select("match_key", "c.field_name").distinct()
 
 
 def p4_features(spark: SparkSession, d: str) -> DataFrame:
