@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fixtura.llm import leakage, linkage, ranking, sentences, subtitles, survivorship, tokenizer
+from fixtura.llm import leakage, linkage, queries, ranking, sentences, subtitles, survivorship, tokenizer
 
 
 # problem 1
@@ -50,9 +50,9 @@ def test_survivors(spark):
     ]
     df = spark.createDataFrame(rows, "record_id long, match_key string, source string, status string, kickoff_utc timestamp, home_goals long, away_goals long, full_time_result string, last_updated timestamp, ingested_at timestamp")
     names = ["kickoff_utc", "status", "home_goals", "away_goals", "full_time_result"]
-    got = {(r[0], r[1]): r[2] for r in survivorship.holders(df, survivorship.golden_matches(df), "match_key", names, "record_id").collect()}
+    got = {(r[0], r[1]): r[2] for r in survivorship.holders(df, survivorship.golden_matches(df, queries.RULES), "match_key", names, "record_id").collect()}
     assert got == {("k", "kickoff_utc"): 2, ("k", "status"): 2, ("k", "home_goals"): 3, ("k", "away_goals"): 3, ("k", "full_time_result"): 2}
-    assert survivorship.golden_matches(df.limit(0)).count() == 0
+    assert survivorship.golden_matches(df.limit(0), queries.RULES).count() == 0
 
 
 # problem 7
