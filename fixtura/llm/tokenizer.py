@@ -13,6 +13,7 @@ text; every row of the input has a row, repeated ones too; texts of any length a
 from __future__ import annotations
 
 import base64
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -25,7 +26,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the public vocabularies lie unless a path is given.
+VOCABULARY = os.path.join(os.environ.get("FIXTURA_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 #: Fixed value: the pattern that cuts a text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as the pattern knows it.
