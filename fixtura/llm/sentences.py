@@ -54,11 +54,13 @@ _HEADER = re.compile(r"\A﻿?WEBVTT[^\n]*")
 _CLOSE = r"(?:[   ]?»|[\"”“’'\)\]』」】）])*"
 _TERMS = frozenset(".!?…。！？؟।॥")
 _LABELLED = r"[A-ZÀ-ÞА-ЯЁ][A-ZÀ-ÞА-ЯЁ.'’-]{2,24}(?: [A-ZÀ-Þ.]{1,20})?:[  ]"
-_MARKS_OR_GAP = rf"(?P<term>[.!?…。！？؟।॥]+)(?P<close>{_CLOSE})|(?P<gap>[\n{CUE}][\s{CUE}]*+)"
-_CANDIDATE = re.compile(_MARKS_OR_GAP)
+_MARK = ".!?…。！？؟।॥"
+#: What can end a sentence: marks with what closes after them, or a gap. Each pattern begins with one set
+#: of characters, so that a search can skip to them; which of them it was is asked after.
+_CANDIDATE = re.compile(rf"[{_MARK}\n{CUE}](?:(?<=[{_MARK}])[{_MARK}]*(?P<close>{_CLOSE})|(?P<gap>(?<=[\n{CUE}])[\s{CUE}]*+))")
 #: As before, but of the gaps those that can end a sentence outside a dialogue: before a dash, a label or nothing.
-_FEWER = re.compile(_MARKS_OR_GAP + rf"(?=[-–‐‑]|{_LABELLED}|\Z)")
-_THAI_CANDIDATE = re.compile(_MARKS_OR_GAP + "|(?P<space>(?<=[\u0e00-\u0e7f”\"]) (?=[\u0e00-\u0e7f“\"]))")
+_FEWER = re.compile(rf"[{_MARK}\n{CUE}](?:(?<=[{_MARK}])[{_MARK}]*(?P<close>{_CLOSE})|(?P<gap>(?<=[\n{CUE}])[\s{CUE}]*+)(?=[-–‐‑]|{_LABELLED}|\Z))")
+_THAI_CANDIDATE = re.compile(rf"[{_MARK}\n{CUE} ](?:(?<=[{_MARK}])[{_MARK}]*(?P<close>{_CLOSE})|(?P<gap>(?<=[\n{CUE}])[\s{CUE}]*+)|(?P<space>(?<=[\u0e00-\u0e7f”\"] )(?=[\u0e00-\u0e7f“\"])))")
 _LABEL = re.compile(_LABELLED)
 _DASH = re.compile(r"[-–‐‑][  ]*(?=\S)")
 _WORD = re.compile(r"[^\W_](?:[^\s\x1e]*[^\W_])?|\S")
@@ -66,6 +68,7 @@ _NEXT = re.compile(r"[\s\x1e]*([«„“\"'‘¿¡(\[『「—–-]*[   ]?)([
 _CASED = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ]")
 _THAI = re.compile(r"[฀-๿]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
+_NO_SPACES = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
 _TOKEN = re.compile(r"\S+")
 _QUOTES = frozenset("»”“’\"』」")
 _STRONG = "!?。！？؟।॥"
@@ -211,7 +214,7 @@ def count_document(raw: str, counts: dict[str, Counter]) -> list[str]:
     counts["quote"].update(_AFTER_QUOTE.findall(flat))
     counts["dialogue"].update(_DIALOGUE.findall(f"\n{flat}\n"))
     counts["begin"].update(tokens[:1])
-    if not flat.isascii() and (_CJK.search(flat) or _THAI.search(flat)):
+    if not flat.isascii() and _NO_SPACES.search(flat):
         count_unspaced(flat, counts)
     return keys
 
@@ -445,22 +448,27 @@ def language_of(text: str, models: dict[str, Model], said: str) -> str:
         for code, script in _SCRIPTS:
             if _letters(script, text) * 8 > len(text):
                 return code
-    known, best, most = set(text.split()), said, 0.0
-    for code, words in _common_words(models):
-        votes = len(known & words) + 0.5 * (code == said)
-        if votes > most:
-            best, most = code, votes
-    return best
+    index = _common_words(models)
+    votes = {said: 0.5}
+    for word in set(text.split()) & index.keys():
+        for code in index[word]:
+            votes[code] = votes.get(code, 0) + 1
+    return max(votes, key=votes.__getitem__)
 
 
-_common: tuple[object, list[tuple[str, set[str]]]] = (None, [])
+_common: tuple[object, dict[str, list[str]]] = (None, {})
 
 
-def _common_words(models: dict[str, Model]) -> list[tuple[str, set[str]]]:
-    """The common words of each language, listed once per set of models."""
+def _common_words(models: dict[str, Model]) -> dict[str, list[str]]:
+    """The languages that each common word is common in; made once per set of models."""
     global _common
     if _common[0] is not models:
-        _common = (models, [(code, model.common) for code, model in models.items() if code != "und" and model.common])
+        words: dict[str, list[str]] = defaultdict(list)
+        for code, model in models.items():
+            if code != "und":
+                for word in model.common:
+                    words[word].append(code)
+        _common = (models, dict(words))
     return _common[1]
 
 
@@ -558,7 +566,7 @@ def _ends(text: str, model: Model) -> Iterator[int]:
             d = _DASH.match(text, after) if head in "-–‐‑" and head else None
             if d is not None and not lab:
                 lab = _LABEL.match(text, d.end())
-            fresh = CUE in gap
+            fresh = CUE in text[i:after]
             if dialogue or d or lab or not head or by_cue and fresh or thai:
                 end = last_char(i - 1)
                 if end >= begun and _ANY.search(text, begun, end + 1):
@@ -580,7 +588,8 @@ def _ends(text: str, model: Model) -> Iterator[int]:
                 yield end
                 begun = end + 1
             continue
-        term, shut = m["term"], m["close"]
+        shut = m["close"]
+        term = text[i : after - len(shut)]
         end = after - 1
         follow = _NEXT.match(text, after)
         if follow is None:
