@@ -171,6 +171,20 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
 
 
+def split_rows(df: DataFrame, split: str, features: list[str]) -> DataFrame:
+    """The labelled rows of a split in order of time, features as a model sees them; none is an error."""
+    rows = require_columns(df, ["match_key", "season", "kickoff_utc", "target", "split", *features], split).filter((F.col("split") == split) & F.col("target").isNotNull())
+    if rows.isEmpty():
+        raise DataQualityError(f"{split}: no labelled rows")
+    kept = [c for c in df.columns if c not in features]
+    return rows.select(*kept, *[feature(c).alias(c) for c in features]).orderBy("kickoff_utc", "match_key")
+
+
+def split_triple(df: DataFrame, features: list[str]) -> dict[str, DataFrame]:
+    """Train, validation and test rows, each checked."""
+    return {s: split_rows(df, s, features) for s in SPLITS}
+
+
 def require_clean(violations: DataFrame, layer: str) -> None:
     """Raise if a row of violation counts has any."""
     row = violations.first().asDict()

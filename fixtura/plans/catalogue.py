@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fixtura.functions import match_columns as C
 from fixtura.operators import elo, evaluation, form, gold, models, probability, silver
 from fixtura.session import table
-from fixtura.sources import payloads
+from fixtura.sources import layers, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,6 +201,18 @@ def prepare_current(spark: SparkSession, d: str) -> DataFrame:
     return silver.prepare_current(rows).select(F.col("away_team").alias("match_key"), "match_date", "competition")
 
 
+@query(f"WITH {M} SELECT match_key, round(1 / (1 + pow(10.0, -((1400 + CAST(match_key AS BIGINT) % 300) + 60.0 - (1400 + CAST(match_key AS BIGINT) % 170)) / 400.0)), 9) AS home_expected_score FROM m")
+def expected_score(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("match_key").cast("long")
+    return matches(spark, d).select("match_key", F.round(C.expected_home_score(1400 + k % 300, 1400 + k % 170), 9).alias("home_expected_score"))
+
+
+@query(f"WITH {M} SELECT DISTINCT season, season || '/' || lpad(CAST((CAST(season AS INT) + 1) % 100 AS VARCHAR), 2, '0') AS label, lpad(CAST(CAST(season AS INT) % 100 AS VARCHAR), 2, '0') || lpad(CAST((CAST(season AS INT) + 1) % 100 AS VARCHAR), 2, '0') AS code FROM m")
+def season_codes(spark: SparkSession, d: str) -> DataFrame:
+    year = F.col("season").cast("int")
+    return matches(spark, d).select("season", C.season_label(year).alias("label"), C.season_code(year).alias("code")).distinct()
+
+
 @query(f"WITH {M}, {H} SELECT match_key, venue, team_id, opponent_id, goals_for, goals_against, goal_difference, result, points, is_win, is_draw, is_loss FROM hp")
 def team_history(spark: SparkSession, d: str) -> DataFrame:
     return form.team_history(matches(spark, d)).drop("season", "kickoff_utc")
@@ -328,6 +340,12 @@ def season_splits(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).select("match_key", "split")
 
 
+@query(f"WITH {SPLIT} SELECT match_key, split, target, coalesce(CAST(home_goals AS DOUBLE), 0.0) AS home_goals FROM sp WHERE target IS NOT NULL AND split IN ('train', 'validation', 'test')")
+def split_rows(spark: SparkSession, d: str) -> DataFrame:
+    parts = gold.split_triple(_split(spark, d), ["home_goals"])
+    return silver.union_relaxed(*parts.values()).select("match_key", "split", "target", "home_goals")
+
+
 @query(f"WITH {SPLIT} SELECT split, count(*) AS row_count, min(kickoff_utc) AS first_kickoff, max(kickoff_utc) AS last_kickoff, count(DISTINCT season) AS seasons FROM sp GROUP BY split")
 def split_summary(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).groupBy("split").agg(F.count("*").alias("row_count"), F.min("kickoff_utc").alias("first_kickoff"), F.max("kickoff_utc").alias("last_kickoff"), F.countDistinct("season").alias("seasons"))
@@ -412,6 +430,16 @@ def null_counts(spark: SparkSession, d: str) -> DataFrame:
     return gold.null_counts(_broken(spark, d).select("match_key", "match_date", "home_goals", "away_goals", "full_time_result"))
 
 
+@query(f"""WITH {M}, p AS (SELECT match_key AS match_id, season AS season_partition, home_team_id, away_team_id, match_date FROM m UNION ALL SELECT match_key, CAST(CAST(season AS INT) + 1 AS VARCHAR), home_team_id, away_team_id, match_date FROM m WHERE CAST(match_key AS BIGINT) % 100 = 0),
+    x AS (SELECT match_id, count(DISTINCT season_partition) AS parts FROM p GROUP BY 1), t AS (SELECT season_partition, count(DISTINCT team) AS teams FROM (SELECT season_partition, home_team_id AS team FROM p UNION SELECT season_partition, away_team_id FROM p) GROUP BY 1)
+    SELECT p.season_partition, count(*) AS row_count, count(DISTINCT p.match_id) AS ids, min(match_date) AS first_date, max(match_date) AS last_date, any_value(teams) AS teams, {_count('parts > 1')} AS in_other_partitions FROM p JOIN x USING (match_id) JOIN t USING (season_partition) GROUP BY p.season_partition""")
+def audit_seasons(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions of bronze, with matches planted in two of them."""
+    m = matches(spark, d).select(F.col("match_key").alias("match_id"), F.col("season").alias("season_partition"), F.col("home_team_id").alias("home_team"), F.col("away_team_id").alias("away_team"), "match_date")
+    twice = m.filter("match_id % 100 = 0").withColumn("season_partition", (F.col("season_partition").cast("int") + 1).cast("string"))
+    return layers.audit_seasons(m.unionByName(twice))
+
+
 @query(f"WITH {M} SELECT season, count(*) AS row_count, count(DISTINCT match_key) AS ids, min(match_date) AS first_date, max(match_date) AS last_date, count(nullif(status = 'FINISHED', false)) AS finished, count(nullif(status <> 'FINISHED', false)) AS not_finished FROM m GROUP BY season")
 def bronze_audit(spark: SparkSession, d: str) -> DataFrame:
     done = F.col("status") == "FINISHED"

@@ -7,6 +7,7 @@ import os
 import sys
 from dataclasses import dataclass, fields
 from functools import lru_cache
+from importlib import import_module
 from pathlib import Path
 
 PREFIX = "FIXTURA_"
@@ -44,6 +45,28 @@ def settings() -> Settings:
     return read_settings(dict(os.environ)).make_folders()
 
 
+def health(settings: Settings, modules: tuple[str, ...] = ("pyspark", "pyarrow", "pandas", "numpy", "duckdb")) -> dict[str, bool]:
+    """Can the engine run here: its libraries be imported, and its folders be written to?"""
+    found = {}
+    for name in modules:
+        try:
+            import_module(name)
+        except ImportError:
+            found[name] = False
+        else:
+            found[name] = True
+    for folder in (settings.bronze, settings.silver, settings.gold, settings.artifacts):
+        probe = Path(folder, ".probe")
+        try:
+            probe.write_text("x")
+            probe.unlink()
+        except OSError:
+            found[folder] = False
+        else:
+            found[folder] = True
+    return found
+
+
 def configure_logging(level: str = "INFO", log_file: str | None = None) -> logging.Logger:
     """One handler to the standard output and, if named, one to a file; calling again replaces them."""
     log = logging.getLogger("fixtura")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fixtura.operators import bundle, evaluation, gold, models, probability, silver
 from fixtura.operators.joins import CardinalityError, checked_join, key_differences
 from fixtura.plans import build, pipeline
-from fixtura.settings import configure_logging, read_settings
+from fixtura.settings import configure_logging, health, read_settings
 from fixtura.sources import layers
 from fixtura.sources.files import SourceError
 
@@ -132,6 +132,9 @@ def test_sources_that_are_missing_or_wrong(spark, builds, tmp_path):
     with pytest.raises(silver.UnknownTeams):
         silver.canonical_name("Nobody", {"town a": "Town A"})
     assert silver.canonical_name("  TOWN  a", {"town a": "Town A"}) == "Town A"
+    assert all(health(builds.at).values()) and not health(builds.at, ("no_such_module",))["no_such_module"]
+    with pytest.raises(gold.DataQualityError, match="no labelled rows"):
+        gold.split_rows(builds._dataset(), "future", FEATURES)
     log = configure_logging("debug", f"{tmp_path}/x/log.txt")
     log.info("hello")
     assert len(configure_logging().handlers) == 1 and "hello" in (tmp_path / "x/log.txt").read_text()
