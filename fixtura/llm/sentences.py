@@ -147,7 +147,7 @@ def cue_keys(text: str) -> list[str]:
     """The key of each cue of a running text that could be a set piece: the first letters of its
     wording, and a hash of it all."""
     least, most = SET_CUE_LENGTH
-    return [c[:HEAD] + str(xxhash.xxh64_intdigest(c)) for c in text.translate(_KEEP_CUES).split(CUE) if least <= len(c) <= most]
+    return [c[:HEAD] + xxhash.xxh64_hexdigest(c) for c in text.translate(_KEEP_CUES).split(CUE) if least <= len(c) <= most]
 
 
 def first_word(text: str) -> str:
@@ -400,25 +400,28 @@ def build_models(rows: list[tuple[str, str, str, float]]) -> dict[str, Model]:
 def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str, Model], set[str]]:
     """(models by language, keys of set cues) from all documents."""
 
-    def rows(out: Counter) -> pa.RecordBatch:
-        keys = list(out)
-        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(list(out.values()), pa.int64())], names=["lang", "kind", "word", "n"])
+    def rows(out: Counter, cues: dict[str, Counter]) -> pa.RecordBatch:
+        columns = [[k[i] for k in out] for i in range(3)] + [list(out.values())]
+        for code, keys in cues.items():
+            for column, more in zip(columns, ([code] * len(keys), ["cue"] * len(keys), keys.keys(), keys.values()), strict=True):
+                column.extend(more)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(columns[3], pa.int64())], names=["lang", "kind", "word", "n"])
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Counter = Counter()
+        cues: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             raw: dict[str, dict] = defaultdict(lambda: defaultdict(Counter))
             for t, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if t:
                     code = (code or "und").strip().lower()
-                    for key in set(count_document(t, raw[code])):
-                        out[code, "cue", key] += 1
+                    cues[code].update(set(count_document(t, raw[code])))
             for code, counts in raw.items():
                 observations(code, counts, out)
-            if len(out) > HELD:
-                yield rows(out)
-                out = Counter()
-        yield rows(out)
+            if len(out) + sum(map(len, cues.values())) > HELD:
+                yield rows(out, cues)
+                out, cues = Counter(), defaultdict(Counter)
+        yield rows(out, cues)
 
     counted = documents.select(F.col(text), F.col(lang).cast("string")).mapInArrow(observe, "lang string, kind string, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     # of cues those that come again in a language; of words all
@@ -667,12 +670,13 @@ def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
                     ids += [d] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "end_pos"])
 
+    def ends(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "text", "lang").mapInArrow(cut, "doc_id long, end_pos long")
+
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    ends = rows.mapInArrow(cut, "doc_id long, end_pos long")
-    # ends of one row are distinct; only ids that come again need their ends made distinct
+    # ends of one row are distinct; only ids that come again need theirs made distinct
     again = rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
     if again.isEmpty():
-        return ends
-    known = cut_lineage(again.select("doc_id", F.lit(True).alias("again")))
-    marked = join_lookup(ends, known, ["doc_id"])
-    return marked.filter("again is null").drop("again").unionByName(marked.filter("again").drop("again").distinct())
+        return ends(rows)
+    marked = join_lookup(rows, cut_lineage(again.select("doc_id", F.lit(True).alias("again"))), ["doc_id"])
+    return ends(marked.filter("again is null")).unionByName(ends(marked.filter("again")).distinct())

@@ -108,3 +108,11 @@ def test_sides_the_other_way_round(spark):
         cur.append((1000 + k, "AAA", "2021-2022", datetime(2021, 9, 1 + 2 * k, 14), hi, ai, h, a, hg, ag))
     got = {(r[0], r[1]) for r in linkage.link_matches(spark.createDataFrame(hist, RECORDS), spark.createDataFrame(cur, FEED), comps).collect()}
     assert got == {(f"h{k}", 1000 + k) for k in range(12)}
+
+
+# problem 10
+def test_repeated_documents_give_one_result(spark):
+    text = "1\n00:00:01,000 --> 00:00:02,000\nThe crowd waits! We left."
+    docs = spark.createDataFrame([(k, text, "en") for k in range(6)] + [(2, text, "en"), (2, text + " So did they.", "en"), (None, text, "en")], "doc_id long, text string, lang string")
+    got = {r[0]: r[1] for r in sentences.split_sentences(docs).groupBy("doc_id").count().collect()}
+    assert got == {k: 3 if k == 2 else 2 for k in range(6)}
