@@ -143,7 +143,7 @@ class Builds:
         parts = windows.withColumn("split", F.col("part")).drop("part").unionByName(df.filter("split = 'test' and target is not null"))
         scored = models.score_with(parts, self.features, {"hist_gradient_boosting": model, bundle.BOOSTING: calibrated}, ["match_key", "kickoff_utc", "split", "target"])
         _, rows = self._scores(scored)
-        first = self._read(f"{self.predictions}/logistic_regression_validation.parquet", "logistic predictions")
+        first = self._read(layers.prediction_path(self.predictions, bundle.LOGISTIC, "validation"), "logistic predictions")
         layers.write_predictions(first.join(windows.filter("part = 'calibration'").select("match_key"), "match_key", "left_semi"), self.predictions, "logistic_regression", "calibration")
         layers.write_records(grid.orderBy("log_loss", "brier_score", "leaves", "iterations"), self.reports, "hgb_selection")
         layers.write_records(models.boosting_importance(df, self.features, boosting, repeats=20), self.reports, "hgb_importance")
@@ -156,7 +156,7 @@ class Builds:
 
     def ensemble(self, weights: tuple[float, ...] = tuple(round(k * 0.05, 2) for k in range(21))) -> object:
         """The weight of least loss on the calibration window, applied to the test season."""
-        read = lambda model, split: self._read(f"{self.predictions}/{model}_{split}.parquet", f"{model} {split}", filled=True)
+        read = lambda model, split: self._read(layers.prediction_path(self.predictions, model, split), f"{model} {split}", filled=True)
         tuned, tested = (probability.align(read(bundle.LOGISTIC, s), read(bundle.BOOSTING, s)) for s in ("calibration", "test"))
         selection = probability.weight_metrics(tuned, weights)
         weight = evaluation.best(selection, "first_weight").first()["first_weight"]

@@ -19,11 +19,10 @@ from fixtura.sources.files import SourceError, canonical_json, read_csv, save_pa
 
 #: Where season files are found, and of which division.
 BASE, DIVISION = "https://www.football-data.co.uk/mmz4281", "E0"
-#: The prediction files that are compared.
-PREDICTION_FILES = {
-    "logistic_regression": "logistic_regression_test.parquet", "hist_gradient_boosting": "hist_gradient_boosting_test.parquet", "hist_gradient_boosting_calibrated": "hist_gradient_boosting_calibrated_test.parquet",
-    "probability_ensemble": "probability_ensemble_test.parquet", "elo_baseline": "elo_baseline_test.parquet",
-}
+#: The names of models in prediction files, where they are not the models' own.
+FILE_NAMES = {"logistic_regression": "logistic", "hist_gradient_boosting": "hgb", "hist_gradient_boosting_calibrated": "hgb_calibrated", "probability_ensemble": "ensemble"}
+#: The models whose calibration is compared.
+CALIBRATED_MODELS = ("frequency", "elo", "logistic_regression", "hist_gradient_boosting", "hist_gradient_boosting_calibrated")
 
 
 def season_code(start_year: int) -> str:
@@ -77,9 +76,14 @@ def bronze_files(root: str) -> list[Path]:
     return sorted(Path(root, "historical_matches").glob("season=*/matches.parquet"))
 
 
+def prediction_path(folder: str, model: str, split: str) -> str:
+    return f"{folder}/{FILE_NAMES.get(model, model)}_{split}.parquet"
+
+
 def prediction_files(folder: str) -> dict[str, Path]:
     """Those of the known prediction files that exist; none is an error."""
-    found = {model: Path(folder, name) for model, name in PREDICTION_FILES.items() if Path(folder, name).exists()}
+    listed = {model: Path(prediction_path(folder, model, "test")) for model in CALIBRATED_MODELS}
+    found = {model: path for model, path in listed.items() if path.exists()}
     if not found:
         raise SourceError(f"no predictions in {folder}")
     return found
@@ -246,7 +250,7 @@ def write_model_dataset(dataset: DataFrame, folder: str, validation: str, test:
 
 
 def write_predictions(scored: DataFrame, folder: str, model: str, split: str) -> str:
-    path = f"{folder}/{model}_{split}.parquet"
+    path = prediction_path(folder, model, split)
     write_parquet(scored, path)
     return path
 

@@ -65,7 +65,8 @@ def test_full_pipeline(spark, builds):
     audit = layers.audit_bronze(spark, builds.at.bronze)
     assert audit["total_rows"] == 168 and audit["current"] == {"rows": 4, "finished": 0, "open": 4, "total_standing_rows": 1} and "168 rows in 3 seasons" in layers.audit_text(audit)
     rows = builds.calibration(5)
-    assert {r["model"] for r in rows} >= {"logistic_regression", "probability_ensemble"}
+    assert {r["model"] for r in rows} == set(layers.CALIBRATED_MODELS)
+    assert Path(builds.predictions, "hgb_calibrated_test.parquet").exists()
 
 
 def test_bundle_round_trip_and_artifact_checks(builds):
