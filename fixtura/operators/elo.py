@@ -29,6 +29,7 @@ class EloParameters:
             raise ValueError("initial and k must be positive, home_advantage not negative")
 
 
+MOST_PAIRS = 100_000
 COLUMNS = ["match_key", "home_elo_pre", "away_elo_pre", "elo_difference", "home_expected_score", "away_expected_score", "actual_home", "home_elo_change", "away_elo_change", "home_elo_post", "away_elo_post"]
 SCHEMA = "match_key string, " + ", ".join(f"{c} double" for c in COLUMNS[1:])
 
@@ -42,17 +43,18 @@ class Ratings:
     def play(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Ratings before and after each match, in the order given; scheduled ones only read."""
         p, of, out = self.p, self.of, []
-        for key, home, away, hg, ag, status in rows[["match_key", "home_team_id", "away_team_id", "home_goals", "away_goals", "status"]].itertuples(index=False):
+        columns = (rows[c].tolist() for c in ("match_key", "home_team_id", "away_team_id", "home_goals", "away_goals", "status"))
+        for key, home, away, hg, ag, status in zip(*columns, strict=True):
             h, a = of.get(home, p.initial), of.get(away, p.initial)
             expected = 1.0 / (1.0 + 10.0 ** (-(h + p.home_advantage - a) / 400.0))
             actual, change = None, 0.0
-            if status == "FINISHED" and not pd.isna(hg) and not pd.isna(ag):
+            if status == "FINISHED" and hg is not None and ag is not None and hg == hg and ag == ag:  # noqa: PLR0124 (NaN)
                 actual = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
                 change = p.k * (actual - expected)
                 of[home] = h + change
                 of[away] = a - change
             out.append((key, h, a, h - a, expected, 1.0 - expected, actual, change, -change, h + change, a - change))
-        return pd.DataFrame(out, columns=COLUMNS)
+        return pd.DataFrame(dict(zip(COLUMNS, zip(*out, strict=True), strict=True)) if out else {c: [] for c in COLUMNS}).astype(dict.fromkeys(COLUMNS[1:], float))
 
 
 def fold(matches: pd.DataFrame, p: EloParameters) -> pd.DataFrame:
@@ -60,10 +62,17 @@ def fold(matches: pd.DataFrame, p: EloParameters) -> pd.DataFrame:
     return Ratings(p).play(matches.sort_values(["kickoff_utc", "match_key"], kind="stable"))
 
 
-def components(matches: DataFrame) -> DataFrame:
-    """(team_id, component): the least team that each team is linked to, by the least label of the
-    neighbours, and of the labels' own labels, until none changes."""
+def components(matches: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """(team_id, component): the least team that each team is linked to.
+
+    Up to `most_pairs` different pairs of teams are joined up on the driver; more by the least label of
+    the neighbours, and of the labels' own labels, until none changes. Both give the same.
+    """
     met = matches.filter("home_team_id is not null and away_team_id is not null").select(F.col("home_team_id").alias("a"), F.col("away_team_id").alias("b")).distinct()
+    met = cut_lineage(met)
+    few = met.limit(most_pairs + 1).collect()
+    if len(few) <= most_pairs:
+        return matches.sparkSession.createDataFrame(list(_joined_up(few).items()), f"team_id {met.schema['a'].dataType.simpleString()}, component {met.schema['a'].dataType.simpleString()}")
     edges = cut_lineage(met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("team_id"), "label"))
     while True:
@@ -76,6 +85,24 @@ def components(matches: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def _joined_up(pairs: list) -> dict:
+    """The least member of the group of each member of some pairs."""
+    root: dict = {}
+
+    def find(x):  # noqa: ANN001, ANN202
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root.setdefault(a, a)
+        root.setdefault(b, b)
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {x: find(x) for x in root}
+
+
 def elo_history(matches: DataFrame, parameters: EloParameters | None = None, group_col: str | None = None) -> DataFrame:
     """Ratings before and after every match.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixtura.session import cut_lineage
@@ -51,16 +51,16 @@ def require_unique(lookup: DataFrame, keys: list[str], message: str) -> DataFram
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, validate: str, message: str = "join keys are not unique") -> DataFrame:
-    """A join that asserts its cardinality, "1:1" or "m:1": each side that must be unique is
-    aggregated by its key, and a key that comes twice fails the job. Null keys never join and are not
-    counted. The aggregation shares its shuffle with the join."""
+    """A join that asserts its cardinality, "1:1" or "m:1": rows per key are counted on each side that
+    must be unique, and a key that comes twice fails the job. Null keys never join and are not counted.
+    The count needs the rows by key, as the join does, so both share one shuffle and one sort."""
     on = [on] if isinstance(on, str) else list(on)
 
     def once(side: DataFrame) -> DataFrame:
-        rest = [c for c in side.columns if c not in on]
         null_key = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in on])
-        known = side.filter(~null_key).groupBy(*on).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None)).alias("_row"), at_most_one(F.lit(True), f"{message}: {', '.join(on)}").alias("_once")).filter("_once")
-        return known.select(*on, *[F.col("_row")[c].alias(c) for c in rest]).unionByName(side.filter(null_key))
+        counted = side.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*on)))
+        wrong = F.when((F.col("_rows") > 1) & ~null_key, F.raise_error(F.lit(f"{message}: {', '.join(on)}"))).otherwise(True)
+        return counted.filter(wrong.cast("boolean")).drop("_rows")
 
     if validate not in ("1:1", "m:1"):
         raise ValueError("validate is 1:1 or m:1")

@@ -184,7 +184,8 @@ def test_components_are_rated_apart(spark):
     day = lambda k: datetime(2020, 1, 1) + timedelta(days=k)
     chain = [(f"k{i:02}", day(i), f"t{i:02}", f"t{i + 1:02}", 1, 0, "FINISHED") for i in range(12)] + [(f"z{i}", day(i), "y", "z", i % 2, 0, "FINISHED") for i in range(3)] + [("n0", day(0), None, "solo", 1, 0, "FINISHED")]
     df = spark.createDataFrame(chain, "match_key string, kickoff_utc timestamp, home_team_id string, away_team_id string, home_goals long, away_goals long, status string")
-    assert {r.component for r in elo.components(df).collect()} == {"t00", "y"}
+    found = [{tuple(r) for r in elo.components(df, most_pairs=n).collect()} for n in (1000, 1)]
+    assert {r[1] for r in found[0]} == {"t00", "y"} and found[0] == found[1] and len(found[0]) == 15
     got = {r.match_key: (r.home_elo_pre, r.away_elo_post) for r in elo.elo_history(df).collect()}
     want = elo.fold(df.filter("home_team_id is not null").toPandas(), elo.EloParameters())
     assert len(got) == 16 and all(got[r.match_key] == pytest.approx((r.home_elo_pre, r.away_elo_post)) for r in want.itertuples())
