@@ -15,11 +15,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixtura.operators.gold import chronological_partition
+from fixtura.session import cut_lineage
 
 MOST_ROWS = 200_000
 #: Rows whose bins stay in a processor's cache while all trees score them.
@@ -271,18 +273,50 @@ def permutation_importance(predict: Callable[[np.ndarray], np.ndarray], x: np.nd
     return np.c_[out.mean(1), out.std(1)]
 
 
-def latest_rows(df: DataFrame, features: list[str], most_rows: int | None = None) -> DataFrame:
-    """(part, number, rows): the latest labelled rows (`MOST_ROWS`), the last first, as compressed
-    blocks of kickoff micros, targets and features."""
-    latest = df.filter("target is not null").orderBy(F.desc("kickoff_utc"), F.desc("match_key")).limit(MOST_ROWS if most_rows is None else most_rows)
+def _block(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def kept_rows(df: DataFrame, features: list[str], *others: str) -> DataFrame:
+    """(split, rows): the labelled rows of training and validation as compressed blocks of targets,
+    features and other columns, kept: what makes them (the ratings are one long task) runs once."""
+    rows = df.filter("target is not null and split in ('train', 'validation')").select("split", F.col("target").cast("int").alias("target"), *[F.col(c).cast("double").alias(c) for c in features], *others)
+
+    def packed(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            splits = batch.column("split")
+            for split in splits.unique().to_pylist():
+                own = batch.filter(pc.equal(splits, split))
+                yield pa.RecordBatch.from_arrays([pa.array([split]), pa.array([_block(own.select(own.schema.names[1:]))])], ["split", "rows"])
+
+    return cut_lineage(rows.mapInArrow(packed, "split string, rows binary"))
+
+
+def _unpacked(kept: DataFrame, split: str, like: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a split out of `kept_rows`, their columns typed as in `like`."""
+
+    def unpacked(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for rows in batch.column("rows"):
+                yield from (b.select(columns) for b in pa.ipc.open_stream(rows.as_py()))
+
+    return kept.filter(F.col("split") == split).select("rows").mapInArrow(unpacked, like.select(*columns).schema)
+
+
+def latest_rows(df: DataFrame, features: list[str], most_rows: float | None = None) -> DataFrame:
+    """(part, number, rows): the latest labelled rows (`MOST_ROWS`; infinite: all), the last first, as
+    compressed blocks of kickoff micros, targets and features."""
+    most_rows = MOST_ROWS if most_rows is None else most_rows
+    latest = df.filter("target is not null").orderBy(F.desc("kickoff_utc"), F.desc("match_key"))
+    latest = latest if most_rows == np.inf else latest.limit(most_rows)
 
     def packed(batches):  # noqa: ANN001, ANN202
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(batches):
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([k]), pa.array([out.getvalue().to_pybytes()])], ["part", "number", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([k]), pa.array([_block(batch)])], ["part", "number", "rows"])
 
     return latest.select(F.unix_micros(F.col("kickoff_utc").cast("timestamp")).alias("_at"), F.col("target").cast("int").alias("target"), *[F.col(c).cast("double").alias(c) for c in features]).mapInArrow(packed, "part long, number long, rows binary")
 
@@ -299,7 +333,7 @@ def _matrix(blocks: list, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return x, whole.column(1).to_numpy()[::-1].astype(int), whole.column(0).to_numpy()[::-1]
 
 
-def fit_groups(groups: list[tuple[DataFrame, list]], features: list[str], most_rows: int | None = None) -> list[list]:
+def fit_groups(groups: list[tuple[DataFrame, list]], features: list[str], most_rows: float | None = None) -> list[list]:
     """What the models of each group give when fitted on the latest rows of its frame. Rows go from
     executor to executor, to as many tasks as there are cores; none pass through the driver."""
     spark = groups[0][0].sparkSession
@@ -325,7 +359,7 @@ def fit_groups(groups: list[tuple[DataFrame, list]], features: list[str], most_r
     return [[fitted[n, k] for k in range(len(models))] for n, (_, models) in enumerate(groups)]
 
 
-def fit_all(df: DataFrame, features: list[str], models: list, most_rows: int | None = None) -> list:
+def fit_all(df: DataFrame, features: list[str], models: list, most_rows: float | None = None) -> list:
     """The models fitted on the latest rows of `df`."""
     return fit_groups([(df, models)], features, most_rows)[0]
 
@@ -396,24 +430,62 @@ def boosting_grid(df: DataFrame, features: list[str], grid: tuple = BOOSTING) ->
     return listed.withColumn("log_loss", F.round("log_loss", 5))
 
 
-def boosting_importance(df: DataFrame, features: list[str], boosting: tuple = BOOSTING[0], repeats: int = 20, most_rows: int = 20_000) -> DataFrame:
+def boosting_importance(df: DataFrame, features: list[str], boosting: tuple = BOOSTING[0], repeats: int = 20, most_rows: float = np.inf) -> DataFrame:
     """(feature, mean, deviation): how much log loss on the tuning window a shuffled feature adds, the
-    greatest first. Features are the parallel axis; the window counts with its latest `most_rows` rows."""
-    model = fit_all(df.filter("split = 'train'"), features, [Boosting(*boosting)])[0]
-    window = chronological_partition(df.filter("split = 'validation' and target is not null"), 0.6).filter("part = 'tuning'")
-    found = fit_all(window, features, [_Importance(model, j, repeats) for j in range(len(features))], most_rows)
-    rows = [(name, float(mean), float(sd)) for name, (mean, sd) in zip(features, found, strict=True)]
+    greatest first. Features are the parallel axis; of the window, the latest `most_rows` rows count."""
+    kept, columns = kept_rows(df, features, "kickoff_utc", "match_key"), ["kickoff_utc", "match_key", "target", *features]
+    like = df.select("kickoff_utc", "match_key", F.col("target").cast("int").alias("target"), *[F.col(c).cast("double").alias(c) for c in features])
+    model = fit_all(_unpacked(kept, "train", like, columns), features, [Boosting(*boosting)])[0]
+    window = chronological_partition(_unpacked(kept, "validation", like, columns), 0.6).filter("part = 'tuning'")
+    own = min(len(features), df.sparkSession.sparkContext.defaultParallelism)
+    shares = [list(range(t, len(features), own)) for t in range(own)]
+    found = fit_all(window, features, [_Importance(model, share, repeats) for share in shares], most_rows)
+    rows = [(features[j], float(mean), float(sd)) for share, part in zip(shares, found, strict=True) for j, (mean, sd) in zip(share, part, strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_std double").orderBy(F.desc("importance_mean"), "feature")
 
 
 class _Importance:
-    """What shuffling one feature adds to the loss of a fitted model, which stays as it is."""
+    """What shuffling each of some features adds to the loss of a fitted model, which stays as it is."""
 
-    def __init__(self, model: Boosting, feature: int, repeats: int) -> None:
-        self.model, self.feature, self.repeats = model, feature, repeats
+    def __init__(self, model: Boosting, columns: list[int], repeats: int) -> None:
+        self.model, self.columns, self.repeats = model, columns, repeats
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return permutation_importance(self.model.predict, x, y, self.repeats, 42 + self.feature, [self.feature])[0]
+        """(columns, 2), as `permutation_importance` with a seed for each column. A shuffled column only
+        changes the trees that ask for it: what each row gets of them for each bin of the column is found
+        once, whatever it is shuffled to."""
+        codes = self.model._codes(x)
+        shuffled = []
+        for j in self.columns:
+            rng = np.random.default_rng(42 + j)
+            shuffled.append([rng.permutation(codes[j]) for _ in range(self.repeats)])
+        base, losses = 0.0, np.zeros((len(self.columns), self.repeats))
+        lost = lambda raw, y: -np.log(np.clip(_softmax(raw)[np.arange(len(y)), y], 2.220446049250313e-16, 1)).sum()
+        for low in range(0, len(y), SCORED_AT_ONCE):
+            part = slice(low, low + SCORED_AT_ONCE)
+            raw, ys, rows = self.model.raw(x[part]), y[part], np.arange(len(y[part]))
+            base += lost(raw, ys)
+            for k, j in enumerate(self.columns):
+                level, given = self._by_bin(codes[:, part], j)
+                rest = raw - given[level[codes[j, part]], :, rows]
+                for r, own in enumerate(shuffled[k]):
+                    losses[k, r] += lost(rest + given[level[own[part]], :, rows], ys)
+        added = (losses - base) / max(len(y), 1)
+        return np.c_[added.mean(1), added.std(1)]
+
+    def _by_bin(self, codes: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """(level of each bin, (levels, 3, rows) sums of the trees that ask for column j): bins that no tree tells apart are one level."""
+        asking = [(c, nodes, sorted({n[1] for n in nodes if n[0] == j})) for round_ in self.model.trees for c, nodes in enumerate(round_) if any(n[0] == j for n in nodes)]
+        cuts = sorted({at for _, _, own in asking for at in own})
+        given, codes = np.zeros((len(cuts) + 1, 3, codes.shape[1])), codes.copy()
+        for c, nodes, own in asking:
+            before = 0.0
+            for first, bin_ in zip((0, *(cuts.index(at) + 1 for at in own)), (0, *(at + 1 for at in own)), strict=True):
+                codes[j] = bin_
+                value = self.model._walk(nodes, codes)
+                given[first, c] += value - before
+                before = value
+        return np.searchsorted(cuts, np.arange(self.model.bins + 1)), self.model.rate * given.cumsum(0)
 
 
 class Calibrated:
