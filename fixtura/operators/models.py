@@ -3,7 +3,8 @@
 A grid's configurations are the parallel axis: each is fitted in one task on the rows of the training
 window (bounded by `MOST_ROWS` labelled rows of it, the latest ones, a documented parameter), which
 go there from the executors that made them. The bound is for fitting only: fitted models go to the executors and score every
-row of the validation window.
+row of the validation window. The grid of logistic regressions has no bound: all its models are fitted at
+once on sums over all rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from fixtura.session import cut_lineage
 MOST_ROWS = 200_000
 #: Rows whose bins stay in a processor's cache while all trees score them.
 SCORED_AT_ONCE = 8192
+#: Rows whose products of features are in memory at once.
+MULTIPLIED_AT_ONCE = 2048
 PROBABILITIES = ("probability_away_win", "probability_draw", "probability_home_win")
 C_VALUES = (0.001, 0.01, 0.1, 0.5, 1.0, 2.0, 10.0, 100.0)
 #: Iterations, learning rate, leaves, least rows of a leaf, penalty.
@@ -408,10 +411,104 @@ def _listed(grid: list[tuple], schema: str, losses: DataFrame) -> DataFrame:
     return listed.join(F.broadcast(losses), "configuration")
 
 
+def _over_blocks(blocks: DataFrame, width: int, work: Callable) -> list:
+    """What `work` makes of the rows of each task, as (features, targets) a few at a time; as many tasks as cores."""
+
+    def parts(blocks):  # noqa: ANN001, ANN202
+        for (rows,) in blocks:
+            table = pa.ipc.open_stream(bytes(rows)).read_all()
+            x, y = np.stack([table.column(1 + j).to_numpy() for j in range(width)], 1), table.column(0).to_numpy().astype(int)
+            yield from ((x[low : low + MULTIPLIED_AT_ONCE], y[low : low + MULTIPLIED_AT_ONCE]) for low in range(0, len(y), MULTIPLIED_AT_ONCE))
+
+    return blocks.select("rows").rdd.coalesce(blocks.sparkSession.sparkContext.defaultParallelism).mapPartitions(lambda b: [work(parts(b))]).collect()
+
+
+def _moments(parts) -> list:  # noqa: ANN001
+    """[(rows by class, mean, squares about it, least, greatest)] of the parts together; none of no rows."""
+    found = None
+    for x, y in parts:
+        mean = x.mean(0)
+        found = _together(found, (np.bincount(y, minlength=3), mean, ((x - mean) ** 2).sum(0), x.min(0), x.max(0)))
+    return [found] if found else []
+
+
+def _together(a: tuple | None, b: tuple) -> tuple:
+    if a is None:
+        return b
+    m, n = a[0].sum(), b[0].sum()
+    gap = b[1] - a[1]
+    return a[0] + b[0], a[1] + gap * (n / (m + n)), a[2] + b[2] + gap**2 * (m * n / (m + n)), np.minimum(a[3], b[3]), np.maximum(a[4], b[4])
+
+
+def fit_logistics(blocks: DataFrame, width: int, models: list[Logistic]) -> list[Logistic]:
+    """The models fitted on all rows of blocks of `kept_rows`, by the Newton steps of `Logistic`: a pass
+    over the rows sums up the slopes of all models, and their curvatures until steps are short."""
+    found = reduce(_together, (f for own in _over_blocks(blocks, width, _moments) for f in own), None)
+    if found is None or not found[0].all():
+        raise ValueError("training needs all three classes")
+    n, many, k = found[0].sum(), len(models), width + 1
+    for model in models:
+        model.mean, model.scale = found[1], np.where((found[4] > found[3]) & (found[2] > 0), np.sqrt(found[2] / n), np.inf)
+    weights = np.stack([n / (3 * found[0]) if m.balanced else np.ones(3) for m in models], 1)  # by class and model
+    c, ridge, w = np.array([m.c for m in models]), np.r_[np.ones(width), 1e-8], np.zeros((k, many, 3))
+    one, other = np.triu_indices(k)
+    hot, pairs = np.eye(3), ((0, 1), (0, 2), (1, 2))
+
+    def sums(parts, w, curved):  # noqa: ANN001, ANN202
+        slope, curve = np.zeros((k, 3 * many)), np.zeros((3 * many, len(one)))
+        for x, y in parts:
+            z = models[0]._prepare(x)
+            p = _softmax((z @ w.reshape(k, -1)).reshape(-1, 3)).reshape(-1, many, 3)
+            weight = weights.take(y, 0)[:, :, None]
+            slope += z.T @ (weight * (p - hot.take(y, 0)[:, None])).reshape(len(y), -1)
+            if curved:
+                v = np.stack([p[:, :, a] * p[:, :, b] for a, b in pairs], 2) * weight
+                curve += v.reshape(len(y), -1).T @ (z.take(one, 1) * z.take(other, 1))
+        return slope, curve if curved else None
+
+    last, curved, curves = np.full(many, np.inf), True, None
+    for _ in range(100):
+        got = _over_blocks(blocks, width, lambda parts, w=w.copy(), curved=curved: sums(parts, w, curved))
+        slope = c[None, :, None] * sum(g[0] for g in got).reshape(k, many, 3) + ridge[:, None, None] * w
+        slope -= slope.mean(2, keepdims=True)  # the same for all classes is rounding: it changes no probability
+        if curved:
+            curves = np.zeros((many, 3, k, 3, k))
+            for (a, b), s in zip(pairs, np.moveaxis(sum(g[1] for g in got).reshape(many, 3, -1), 1, 0), strict=True):
+                whole = np.zeros((many, k, k))
+                whole[:, one, other] = whole[:, other, one] = c[:, None] * s
+                for i, j, sign in ((a, a, 1), (b, b, 1), (a, b, -1), (b, a, -1)):
+                    curves[:, i, :, j] += sign * whole
+            curves = curves.reshape(many, 3 * k, 3 * k) + np.diag(np.tile(ridge, 3) + 1e-9)
+        step = np.stack([np.linalg.solve(curves[m], slope[:, m].T.ravel()).reshape(3, k).T for m in range(many)], 1)
+        w -= step - step.mean(2, keepdims=True)
+        size = np.abs(step - step.mean(2, keepdims=True)).max((0, 2))
+        # short of 1e-8, steps that no longer shrink are rounding
+        if ((size < 1e-8) | (size < 1e-6) & (size > last / 2)).all():
+            break
+        curved = bool((size > 0.05).any() or ((size > last / 4) & (size >= 1e-6)).any())
+        last = size
+    for m, model in enumerate(models):
+        model.w = w[:, m]
+    return models
+
+
 def logistic_grid(df: DataFrame, features: list[str], c_values: tuple[float, ...] = C_VALUES) -> DataFrame:
-    """Validation log loss of each C and class weight."""
+    """Validation log loss of each C and class weight, fitted on all training rows."""
     grid = [(c, b) for c in c_values for b in (False, True)]
-    losses = _grid_losses(df, features, [Logistic(c, b) for c, b in grid], df.filter("split = 'validation'"))
+    kept, width = kept_rows(df, features), len(features)
+    fitted = fit_logistics(kept.filter("split = 'train'"), width, [Logistic(c, b) for c, b in grid])
+
+    def score(parts):  # noqa: ANN001, ANN202
+        total = np.zeros((len(fitted), 3))
+        for x, y in parts:
+            for m, model in enumerate(fitted):
+                p = model.predict(x)
+                total[m] += len(y), log_loss(p, y) * len(y), ((p - np.eye(3)[y]) ** 2).sum()
+        return total
+
+    total = sum(_over_blocks(kept.filter("split = 'validation'"), width, score), np.zeros((len(grid), 3)))
+    rows = [(m, *(float(v / n) if n else None for v in (loss, brier))) for m, (n, loss, brier) in enumerate(total)]
+    losses = df.sparkSession.createDataFrame(rows, "configuration int, log_loss double, brier_score double")
     return _listed([(float(c), "balanced" if b else "none") for c, b in grid], "c double, class_weight string", losses).drop("configuration")
 
 
