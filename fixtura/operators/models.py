@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtura.operators.gold import chronological_partition
@@ -284,9 +284,14 @@ def _block(batch: pa.RecordBatch) -> bytes:
 
 
 def kept_rows(df: DataFrame, features: list[str], *others: str) -> DataFrame:
-    """(split, rows): the labelled rows of training and validation as compressed blocks of targets,
+    """(split, rows): the labelled rows of training and validation, as `kept_labelled`."""
+    return kept_labelled(df.filter("split in ('train', 'validation')"), "split", features, *others)
+
+
+def kept_labelled(df: DataFrame, by: str | Column, features: list[str], *others: str) -> DataFrame:
+    """(split, rows): the labelled rows as compressed blocks, each of one value of `by`, of targets,
     features and other columns, kept: what makes them (the ratings are one long task) runs once."""
-    rows = df.filter("target is not null and split in ('train', 'validation')").select("split", F.col("target").cast("int").alias("target"), *[F.col(c).cast("double").alias(c) for c in features], *others)
+    rows = df.filter("target is not null").select((F.col(by) if isinstance(by, str) else by).alias("split"), F.col("target").cast("int").alias("target"), *[F.col(c).cast("double").alias(c) for c in features], *others)
 
     def packed(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -440,10 +445,11 @@ def _together(a: tuple | None, b: tuple) -> tuple:
     return a[0] + b[0], a[1] + gap * (n / (m + n)), a[2] + b[2] + gap**2 * (m * n / (m + n)), np.minimum(a[3], b[3]), np.maximum(a[4], b[4])
 
 
-def fit_logistics(blocks: DataFrame, width: int, models: list[Logistic]) -> list[Logistic]:
-    """The models fitted on all rows of blocks of `kept_rows`, by the Newton steps of `Logistic`: a pass
-    over the rows sums up the slopes of all models, and their curvatures until steps are short."""
-    found = reduce(_together, (f for own in _over_blocks(blocks, width, _moments) for f in own), None)
+def fit_logistics(over: Callable[[Callable], list], width: int, models: list[Logistic]) -> list[Logistic]:
+    """The models fitted on all rows, by the Newton steps of `Logistic`: a pass over the rows sums up the
+    slopes of all models, and their curvatures until steps are short. `over` gives what a function makes
+    of each share of the rows."""
+    found = reduce(_together, (f for own in over(_moments) for f in own), None)
     if found is None or not found[0].all():
         raise ValueError("training needs all three classes")
     n, many, k = found[0].sum(), len(models), width + 1
@@ -468,7 +474,7 @@ def fit_logistics(blocks: DataFrame, width: int, models: list[Logistic]) -> list
 
     last, curved, curves = np.full(many, np.inf), True, None
     for _ in range(100):
-        got = _over_blocks(blocks, width, lambda parts, w=w.copy(), curved=curved: sums(parts, w, curved))
+        got = over(lambda parts, w=w.copy(), curved=curved: sums(parts, w, curved))
         slope = c[None, :, None] * sum(g[0] for g in got).reshape(k, many, 3) + ridge[:, None, None] * w
         slope -= slope.mean(2, keepdims=True)  # the same for all classes is rounding: it changes no probability
         if curved:
@@ -496,7 +502,8 @@ def logistic_grid(df: DataFrame, features: list[str], c_values: tuple[float, ...
     """Validation log loss of each C and class weight, fitted on all training rows."""
     grid = [(c, b) for c in c_values for b in (False, True)]
     kept, width = kept_rows(df, features), len(features)
-    fitted = fit_logistics(kept.filter("split = 'train'"), width, [Logistic(c, b) for c, b in grid])
+    train = kept.filter("split = 'train'")
+    fitted = fit_logistics(lambda work: _over_blocks(train, width, work), width, [Logistic(c, b) for c, b in grid])
 
     def score(parts):  # noqa: ANN001, ANN202
         total = np.zeros((len(fitted), 3))
@@ -513,8 +520,9 @@ def logistic_grid(df: DataFrame, features: list[str], c_values: tuple[float, ...
 
 
 def logistic_coefficients(df: DataFrame, features: list[str], c: float = 0.1, balanced: bool = False) -> DataFrame:
-    """Coefficients of the final fit, by class, the greatest first."""
-    w = fit_all(df, features, [Logistic(c, balanced)])[0].w
+    """Coefficients of the final fit, on all labelled rows, by class, the greatest first."""
+    blocks, width = kept_labelled(df, F.lit("all"), features), len(features)
+    w = fit_logistics(lambda work: _over_blocks(blocks, width, work), width, [Logistic(c, balanced)])[0].w
     rows = [(name, f, round(float(w[j, k]), 5), round(abs(float(w[j, k])), 5)) for k, name in enumerate(("away_win", "draw", "home_win")) for j, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "class_label string, feature string, coefficient double, absolute double").orderBy("class_label", F.desc("absolute"), "feature")
 
